@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winaudit.llm import exact_dedup, license_scan, url_filter
+from winaudit.llm import bpe, exact_dedup, license_scan, mixing, quality, url_filter
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -32,10 +33,30 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.with_decoded(bpe.with_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = quality.classify(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return out.select("doc_id", "p_text", "host_mean", "path_mean", "p_quality", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": license_scans,
+    "op3_byte_bpe": byte_bpe,
     "op4_exact_dedup": exact_duplicates,
+    "op6_mixing": mixing_weights,
     "op7_url_filters": url_filters,
+    "op9_quality_classifier": quality_classifier,
 }
 
 
