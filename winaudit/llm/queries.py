@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winaudit.llm import bpe, exact_dedup, license_scan, mixing, quality, url_filter
+from winaudit.llm import bpe, exact_dedup, jaccard, license_scan, mixing, quality, url_filter
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -39,6 +39,11 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": license_scans,
     "op3_byte_bpe": byte_bpe,
     "op4_exact_dedup": exact_duplicates,
+    "op5_ngram_jaccard": ngram_jaccard,
     "op6_mixing": mixing_weights,
     "op7_url_filters": url_filters,
     "op9_quality_classifier": quality_classifier,
