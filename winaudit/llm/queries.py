@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winaudit.llm import bpe, exact_dedup, jaccard, license_scan, mixing, quality, url_filter
+from winaudit.functions.scratch import scratch_path
+from winaudit.llm import bpe, exact_dedup, jaccard, license_scan, mixing, quality, url_filter, warc
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -33,6 +34,13 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    index = warc.write_archives(warc.record_types(_table(spark, sf_dir, "pages").select("page_id", "url", "html")), folder)
+    out = warc.read_pages(index, folder)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.with_decoded(bpe.with_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
@@ -57,6 +65,7 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": license_scans,
+    "op2_warc": warc_archives,
     "op3_byte_bpe": byte_bpe,
     "op4_exact_dedup": exact_duplicates,
     "op5_ngram_jaccard": ngram_jaccard,
@@ -95,6 +104,15 @@ from whole w left join kd using (digest) left join n on n.doc_id = w.doc_id"""
 
 ORACLES: dict[str, str] = {
     "op1_license_scans": _license_sql(),
+    # DuckDB has no base32; SHA-1's hex digits are taken five at a time, 20 bits, four letters.
+    "op2_warc": f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+g as (select html, max(page_id) as first from p group by html),
+d as (select h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31 as bigint), 1), '' order by i) as digest
+  from (select distinct h from p), range(32) r(i) group by h)
+select page_id, cast(strlen(p.html) as bigint) as payload_bytes, d.digest as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from p join g on p.html = g.html join d on p.h = d.h""",
     "op4_exact_dedup": f"""
 with d as (select doc_id, translate(coalesce(text, ''), {_AZ}) as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
