@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 _FOREVER = 1 << 60
 #: Entries that a task's tables of known pieces and token pairs may hold before they start anew.
-MAX_PIECES, MAX_PAIRS = 500_000, 500_000
+MAX_PIECES, MAX_PAIRS = 150_000, 200_000
 #: Texts whose words are looked up together.
-BATCH = 2_000
+BATCH = 256
 #: Characters of context beyond a piece's end on which its extent can depend ("'re" and its like).
 LOOKAHEAD = 3
 
@@ -49,7 +49,7 @@ class Vocabulary:
         self._right: dict[int, list[tuple[bytes, int]]] = {}
         self._left: dict[int, list[tuple[bytes, int]]] = {}
         self._halves: dict[bytes, tuple[bytes, bytes]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def _split(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts whose merge makes the token: what merging its bytes leaves just before."""
@@ -81,7 +81,7 @@ class Vocabulary:
         A merge crosses their bound if it comes before either part is consumed
         on its own side; at equal rank the leftmost pair merges first.
         """
-        key = (left, right)
+        key = left << 32 | right
         got = self._fits.get(key)
         if got is None:
             ranks = self.ranks
@@ -266,8 +266,8 @@ def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         own = tokenizer(path, pattern)
         for batch in batches:
             out: list[bytes] = []
-            for part in _slices(batch.to_pylist(), BATCH):
-                out += own.encode_all([x or "" for x in part])
+            for at in range(0, len(batch), BATCH):
+                out += own.encode_all([x or "" for x in batch.slice(at, BATCH).to_pylist()])
             yield pa.array(out, pa.binary())
 
     return df.withColumn(ids, encode(F.col(text)))
