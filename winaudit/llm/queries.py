@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import scratch_path
-from winaudit.llm import bpe, exact_dedup, jaccard, license_scan, mixing, quality, url_filter, warc
+from winaudit.llm import bpe, embeddings, exact_dedup, jaccard, license_scan, mixing, quality, url_filter, warc
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -57,6 +57,11 @@ def mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = quality.classify(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": ngram_jaccard,
     "op6_mixing": mixing_weights,
     "op7_url_filters": url_filters,
+    "op8_embedding_near_dedup": embedding_near_dedup,
     "op9_quality_classifier": quality_classifier,
 }
 
