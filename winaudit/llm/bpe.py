@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FOREVER = 1 << 60
-#: Entries that a task's tables of known pieces and token pairs may hold before they start anew.
+_SHORT = (2, 1)
+#: Entries of a worker's tables of known pieces, words and token pairs. A full table of pieces or words becomes the old one, from which what recurs is taken over.
 MAX_PIECES, MAX_PAIRS = 150_000, 200_000
 #: Texts whose words are looked up together.
 BATCH = 256
@@ -45,7 +46,12 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.longest = max(map(len, ranks))
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) >= 3:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        #: Lengths of the tokens that end in three given bytes, longest first; shorter tokens are always tried.
+        self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
         self._right: dict[int, list[tuple[bytes, int]]] = {}
         self._left: dict[int, list[tuple[bytes, int]]] = {}
         self._halves: dict[bytes, tuple[bytes, bytes]] = {}
@@ -101,13 +107,21 @@ class Vocabulary:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Fill `last` (last token of each prefix of 1, 2, ... bytes) up to the whole piece."""
-        ranks, fits, longest = self.ranks, self.fits, self.longest
+        rank_of, known, lengths = self.ranks.get, self._fits.get, self.lengths
         for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(piece[start:end])
-                if token is not None and (start == 0 or fits(last[start - 1], token)):
-                    last.append(token)
-                    break
+            for size in lengths.get(piece[end - 3 : end], _SHORT) if end > 2 else _SHORT:
+                start = end - size
+                if start < 0:
+                    continue
+                token = rank_of(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    fit = known(last[start - 1] << 32 | token)
+                    if not (self.fits(last[start - 1], token) if fit is None else fit):
+                        continue
+                last.append(token)
+                break
         return last
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -130,13 +144,23 @@ class Tokenizer:
         self.pieces = regex.compile(pattern)
         self._packed: dict[str, bytes] = {}  # piece -> ids as little-endian 32-bit integers
         self._words: dict[str, bytes | None] = {}  # the same for a space and the word behind it; None: it can't stand alone
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces in byte order: each continues the prefix table of the one before it."""
-        if len(self._packed) + len(pieces) > MAX_PIECES:
-            self._packed.clear()
+        self._old_packed: dict[str, bytes] = {}
+        self._old_words: dict[str, bytes | None] = {}
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Their ids. New pieces are encoded in byte order: each continues the prefix table of the one before it."""
+        if len(self._packed) > MAX_PIECES:
+            self._packed, self._old_packed = {}, self._packed
+        known, old = self._packed, self._old_packed
+        fresh = []
+        for p in pieces:
+            if p not in known:
+                if p in old:
+                    known[p] = old[p]
+                else:
+                    fresh.append((p.encode(), p))
         before, last = b"", []
-        for data, piece in sorted((p.encode(), p) for p in pieces if p not in self._packed):
+        for data, piece in sorted(fresh):
             same = 0
             for x, y in zip(data, before, strict=False):
                 if x != y:
@@ -146,13 +170,11 @@ class Tokenizer:
             self.vocabulary.extend(data, last)
             before = data
             whole = self.vocabulary.ranks.get(data)
-            self._packed[piece] = np.array([whole] if whole is not None else self.vocabulary.read_back(last), "<u4").tobytes()
+            known[piece] = np.array([whole] if whole is not None else self.vocabulary.read_back(last), "<u4").tobytes()
+        return known
 
     def _encode_pieces(self, pieces: list[str]) -> bytes:
-        new = {p for p in pieces if p not in self._packed}
-        if new:
-            self._learn(new | {p for p in pieces if p in self._packed} if len(self._packed) + len(new) > MAX_PIECES else new)
-        return b"".join(map(self._packed.__getitem__, pieces))
+        return b"".join(map(self._learn(set(pieces)).__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
@@ -168,38 +190,33 @@ class Tokenizer:
         cut = [t.split(" ") for t in texts]
         new: set[str] = set()
         for words in cut:
-            new.update(words)
-        known = self._words
-        fresh = new.difference(known)
-        if len(known) + len(fresh) > MAX_PIECES:
-            known.clear()
-            fresh = new
-        parts = {w: self.pieces.findall(" " + w) for w in fresh if w and not w[0].isspace()}
-        for w in fresh:
-            known[w] = None
-        for group in _slices(list(parts.items()), MAX_PIECES // 8):
-            self._learn({p for _, found in group for p in found})
-            for w, found in group:
-                known[w] = b"".join(map(self._packed.__getitem__, found))
+            new.update(words[1:])
+        if len(self._words) > MAX_PIECES:
+            self._words, self._old_words = {}, self._words
+        known, old = self._words, self._old_words
+        parts: dict[str, list[str]] = {}
+        for w in new.difference(known):
+            if w in old:
+                known[w] = old[w]
+            elif not w or w[0].isspace():
+                known[w] = None
+            else:
+                parts[w] = self.pieces.findall(" " + w)
+        packed = self._learn({p for found in parts.values() for p in found})
+        for w, found in parts.items():
+            known[w] = b"".join(map(packed.__getitem__, found))
         out = []
         for text, words in zip(texts, cut, strict=True):
             try:
                 out.append(self._encode_pieces(self.pieces.findall(words[0])) + b"".join(map(known.__getitem__, words[1:])))
             except TypeError:
                 out.append(self._encode_pieces(self.pieces.findall(text)))
-        if len(known) > MAX_PIECES:
-            known.clear()
         return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _slices(items: list, n: int) -> Iterator[list]:
-    for i in range(0, len(items), n):
-        yield items[i : i + n]
-
-
 class EncodedText:
     """A text with its prefix tables; append() and replace() re-encode only what they touch."""
 
