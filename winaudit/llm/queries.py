@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import scratch_path
-from winaudit.llm import bpe, embeddings, exact_dedup, jaccard, license_scan, mixing, quality, url_filter, warc
+from winaudit.llm import bpe, embeddings, exact_dedup, jaccard, license_scan, maxent, mixing, quality, url_filter, warc
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -68,6 +68,10 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "p_text", "host_mean", "path_mean", "p_quality", "keep")
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": license_scans,
     "op2_warc": warc_archives,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": url_filters,
     "op8_embedding_near_dedup": embedding_near_dedup,
     "op9_quality_classifier": quality_classifier,
+    "op10_lm_scoring": lm_scoring,
 }
 
 
