@@ -62,7 +62,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with its token ids (packed, little-endian 32-bit), their number, and whether decoding gives back the text."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.with_decoded(bpe.with_ids(docs.select("doc_id", "source", "text"), path, pattern), path, pattern)
+    coded = bpe.with_ids(docs.select("doc_id", "source", "text"), path, pattern, decoded="decoded")
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -19,16 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FOREVER = 1 << 60
 _SHORT = (2, 1)
 #: Entries of a worker's tables of known pieces, words and token pairs. A full table of pieces or words becomes the old one, from which what recurs is taken over.
-MAX_PIECES, MAX_PAIRS = 150_000, 200_000
-#: Texts whose words are looked up together.
-BATCH = 256
+MAX_PIECES, MAX_PAIRS = 250_000, 250_000
+#: Beginnings of pieces whose prefix tables are kept, and their bytes.
+MAX_HEADS, HEAD = 100_000, 8
+#: Texts whose words are looked up together; characters of them at most, about.
+BATCH, BATCH_CHARS = 1024, 4 << 20
 #: Characters of context beyond a piece's end on which its extent can depend ("'re" and its like).
 LOOKAHEAD = 3
 
@@ -146,6 +149,7 @@ class Tokenizer:
         self._words: dict[str, bytes | None] = {}  # the same for a space and the word behind it; None: it can't stand alone
         self._old_packed: dict[str, bytes] = {}
         self._old_words: dict[str, bytes | None] = {}
+        self._heads: dict[bytes, list[int]] = {}
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Their ids. New pieces are encoded in byte order: each continues the prefix table of the one before it."""
@@ -159,15 +163,23 @@ class Tokenizer:
                     known[p] = old[p]
                 else:
                     fresh.append((p.encode(), p))
-        before, last = b"", []
+        before, last, heads, extend = b"", [], self._heads, self.vocabulary.extend
+        if len(heads) > MAX_HEADS:
+            heads.clear()
         for data, piece in sorted(fresh):
-            same = 0
+            same, head = 0, data[:HEAD]
             for x, y in zip(data, before, strict=False):
                 if x != y:
                     break
                 same += 1
-            del last[same:]
-            self.vocabulary.extend(data, last)
+            if same < len(head):
+                last = heads.get(head)
+                if last is None:
+                    last = heads[head] = extend(head, [])
+                last = last[:]
+            else:
+                del last[same:]
+            extend(data, last)
             before = data
             whole = self.vocabulary.ranks.get(data)
             known[piece] = np.array([whole] if whole is not None else self.vocabulary.read_back(last), "<u4").tobytes()
@@ -275,28 +287,46 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return _loaded[path, pattern]
 
 
-def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the column `ids`: each whole text's token ids, packed as little-endian 32-bit integers."""
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded number of texts and, but for a longer single one, of characters."""
+    sizes = batch.column(text).cast(pa.large_string()) if not pa.types.is_binary(batch.column(text).type) else batch.column(text)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        till = min(at + BATCH, max(at + 1, int(np.searchsorted(ends, before + BATCH_CHARS, side="right"))))
+        yield batch.slice(at, till - at)
+        at = till
+
+
+def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the column `ids`: each whole text's token ids, packed as little-endian 32-bit integers.
+
+    decoded: also add what the ids decode to, bytes, in the same pass. The columns go through the Python
+    worker in small parts, so what a task holds doesn't grow with its texts.
+    """
+    extra = [pa.field(ids, pa.binary())] + ([pa.field(decoded, pa.binary())] if decoded else [])
 
-    @F.arrow_udf("binary")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:
-            out: list[bytes] = []
-            for at in range(0, len(batch), BATCH):
-                out += own.encode_all([x or "" for x in batch.slice(at, BATCH).to_pylist()])
-            yield pa.array(out, pa.binary())
+            for part in _slices(batch, text):
+                coded = own.encode_all([x or "" for x in part.column(text).to_pylist()])
+                new = [coded] + ([[own.decode(x) for x in coded]] if decoded else [])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa.binary()) for x in new]], schema=pa.schema([*part.schema, *extra]))
 
-    return df.withColumn(ids, encode(F.col(text)))
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f.name, T.BinaryType()) for f in extra]])
+    return df.mapInArrow(run, schema)
 
 
 def with_decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add the column `decoded`: the bytes that the packed ids stand for."""
 
-    @F.arrow_udf("binary")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:
-            yield pa.array((own.decode(x.as_py() or b"") for x in batch), pa.binary())
+            for part in _slices(batch, ids):
+                out = pa.array([own.decode(x or b"") for x in part.column(ids).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, out], schema=pa.schema([*part.schema, pa.field(decoded, pa.binary())]))
 
-    return df.withColumn(decoded, decode(F.col(ids)))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))

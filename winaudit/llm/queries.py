@@ -43,7 +43,7 @@ def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.with_decoded(bpe.with_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
+    coded = bpe.with_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decoded="decoded")
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
