@@ -11,10 +11,12 @@ frequency make costly segments, so they are left out of the universe; a set with
 too little left is indexed by its rarest shingles instead, each a segment of its
 own. Either member of a pair being well covered suffices, and the rest meet there.
 
-Sets that are equal form one class, a node of the join. Within groups of nodes that
-share an index key one pivot after another is compared with the members that are not
-yet in its component, so a group of n near copies costs about n comparisons, and
-no pair is left unless its ends are already connected. Comparisons are exact.
+Sets that are equal form one class, a node of the join. Each node has a sketch, a
+bitmap that every shingle flips a bit of: the bits in which two sketches differ
+never outnumber the shingles in which the sets do, so pairs that differ in too many bits
+are ruled out exactly, in blocks, without moving sets. Of the pairs left in a group
+that share an index key, the most similar ones that span it are compared first;
+then those whose ends are still in different components. Comparisons are exact.
 
 Null text counts as empty; a text without words links with nothing. Rows that
 repeat an id are rows like others; a null id never names a component that has
@@ -50,7 +52,10 @@ FILTER_BITS = 1 << 25
 ROW, FALSE, SHARED = 1.0, 64.0, 0.2
 #: Shingles a segment in bands indexed by subset alone.
 LOAD = 3
-_FREQUENCY_BITS = 44
+#: Bits of a shingle by which its frequency is counted, and of an index key: collisions cost, they don't err.
+_FREQUENCY_BITS, _KEY_BITS = 40, 48
+#: Members of a group that are compared in one block; rows of a task's share of blocks, about.
+BLOCK, CELL_ROWS = 1024, 20_000
 
 
 @contextmanager
@@ -151,60 +156,78 @@ def _nodes(texts: pa.Array, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
                 yield node, s
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bitmap of 64 bits or the power of two from twice the set's size on; each shingle flips one."""
+    size = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    at = (mix(shingles) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketches of fewer bits that the same sets would have."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), node (64-bit digest of the set) and check (a second one)."""
+    """id, n (set size), node (64-bit digest of the set), check (a second one) and sketch."""
+    schema = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), xxhash.xxh3_128_intdigest(s.tobytes(), 7) % (1 << 63), np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None) for s in shingle_sets(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array((x[0] for x in found), pa.int64()), pa.array((x[2] for x in found), pa.int64()), pa.array((x[1] for x in found), pa.int64())], names=["id", "n", "node", "check"])
+            n, node, check, bits = [], [], [], []
+            for s in shingle_sets(batch["text"]):
+                data = s.tobytes()
+                n.append(len(s))
+                node.append(_signed(xxhash.xxh3_64_intdigest(data)) if len(s) else None)
+                check.append(xxhash.xxh3_64_intdigest(data, 7) >> 1)
+                bits.append(sketch(s).tobytes() if len(s) else None)
+            cols = [pa.array(c, f.type) for c, f in zip((n, node, check, bits), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["id"], *cols], names=["id", *schema.names])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(sets, f"id {kind}, n long, node long, check long"), "sets")
+    return materialize(rows.mapInArrow(sets, f"id {kind}, n long, node long, check long, sketch binary"), "sets")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted integers as their differences, byte by byte place, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return pa.compress(np.ascontiguousarray(steps.T), codec="zstd", asbytes=True)
 
 
-def _packed(buckets: int, key: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, one binary per array); the buckets are ranges of the key."""
-    order = np.argsort(key)
-    key = key[order]
-    place = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(key))
-    cols = [key, *[v[order] for v in values]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(place[cuts].astype(np.int64)), *[pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for c in cols]],
-        names=["bucket", *[f"c{i}" for i in range(len(cols))]],
-    )
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _unpacked(table: pa.Table, column: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table[column].to_pylist()), np.uint64)
+def _by_bucket(values: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of sorted values of so many bits, and where each begins and ends."""
+    place = ((values >> np.uint64(max(bits - 32, 0))) * np.uint64(buckets)) >> np.uint64(min(bits, 32))
+    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return place[cuts].astype(np.int64), cuts, np.append(cuts[1:], len(values))
 
 
 def costly_shingles(docs: DataFrame, text_col: str, buckets: int, more_than: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 44-bit prefixes of shingles in more than so many distinct sets, and their counts; the `most` most frequent.
+    """Sorted 40-bit prefixes of shingles in more than so many distinct sets, and their counts; the `most` most frequent.
 
-    The sets' prefixes are sent sorted as differences of 32 bits. Any choice gives the right result, so the bound drops nothing.
+    The sets' prefixes are sent sorted, as packed differences. Any choice gives the right result, so the bound drops nothing.
     """
-    span = 1 << _FREQUENCY_BITS
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            x = np.sort(np.concatenate(held)) >> np.uint64(64 - _FREQUENCY_BITS)
-            width = -(-span // buckets)
-            place = x // np.uint64(width)
-            x = x - place * np.uint64(width)
-            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            step = np.diff(x, prepend=np.uint64(0))
-            step[cuts] = x[cuts]
-            wide = width > 1 << 32
-            out = [step[a:b].astype("<u8" if wide else "<u4").tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(x)), strict=True)]
+            x = np.sort(np.concatenate(held) >> np.uint64(64 - _FREQUENCY_BITS))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(place[cuts].astype(np.int64)), pa.array(out, pa.binary())], names=["bucket", "steps"])
+            place, cuts, ends = _by_bucket(x, _FREQUENCY_BITS, buckets)
+            return pa.RecordBatch.from_arrays([pa.array(place), pa.array(ends - cuts), pa.array([pack_sorted(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "n", "packed"])
 
         n = 0
         for batch in batches:
@@ -218,17 +241,14 @@ def costly_shingles(docs: DataFrame, text_col: str, buckets: int, more_than: int
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
-        width = -(-span // buckets)
-        kind = "<u8" if width > 1 << 32 else "<u4"
         values, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if table.num_rows:
-            all_ = np.concatenate([np.cumsum(np.frombuffer(x, kind).astype(np.uint64)) for x in table["steps"].to_pylist()])
-            values, times = np.unique(all_ + np.uint64(table["bucket"][0].as_py()) * np.uint64(width), return_counts=True)
+            values, times = np.unique(np.concatenate([unpack_sorted(x, n) for x, n in zip(table["packed"].to_pylist(), table["n"].to_pylist(), strict=True)]), return_counts=True)
             keep = times > more_than
             values, times = values[keep], times[keep]
         return pa.table({"shingle": pa.array(values.astype(np.int64)), "times": pa.array(times.astype(np.int64))})
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket long, steps binary")
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket long, n long, packed binary")
     found = materialize(sent.groupBy("bucket").applyInArrow(count, "shingle long, times long"), "costly")
     top = found.orderBy(F.desc("times"), "shingle").limit(most).toArrow()  # at most 16 bytes each
     shingle, times = top["shingle"].to_numpy().astype(np.uint64), top["times"].to_numpy()
@@ -244,6 +264,16 @@ def index_groups(docs: DataFrame, text_col: str, costly: tuple[np.ndarray, np.nd
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         seen: set[int] = set()
+
+        def flush() -> pa.RecordBatch:
+            key, node = np.concatenate(keys) >> np.uint64(64 - _KEY_BITS), np.concatenate(nodes)
+            keys.clear(), nodes.clear()
+            order = np.argsort(key)
+            key, node = key[order], node[order]
+            place, cuts, ends = _by_bucket(key, _KEY_BITS, buckets)
+            spans = list(zip(cuts.tolist(), ends.tolist(), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(place), pa.array([pack_sorted(key[a:b]) for a, b in spans], pa.binary()), pa.array([node[a:b].tobytes() for a, b in spans], pa.binary())], names=["bucket", "keys", "nodes"])
+
         n = 0
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -253,16 +283,17 @@ def index_groups(docs: DataFrame, text_col: str, costly: tuple[np.ndarray, np.nd
                     nodes.append(np.full(len(k), node, np.uint64))
                     n += len(k)
                     if n >= 1_000_000:
-                        yield _packed(buckets, np.concatenate(keys), np.concatenate(nodes))
-                        keys.clear(), nodes.clear()
+                        yield flush()
                         n = 0
             if n:
-                yield _packed(buckets, np.concatenate(keys), np.concatenate(nodes))
+                yield flush()
 
     def gather(table: pa.Table) -> pa.Table:
         gids, members = [], []
         if table.num_rows:
-            key, node = _unpacked(table, "c0"), _unpacked(table, "c1")
+            parts = [np.frombuffer(x, np.uint64) for x in table["nodes"].to_pylist()]
+            node = np.concatenate(parts)
+            key = np.concatenate([unpack_sorted(x, len(p)) for x, p in zip(table["keys"].to_pylist(), parts, strict=True)])
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
@@ -279,7 +310,7 @@ def index_groups(docs: DataFrame, text_col: str, costly: tuple[np.ndarray, np.nd
         g, m = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (gids, members))
         return pa.table({"gid": pa.array(g), "node": pa.array(m)})
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket long, c0 binary, c1 binary")
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket long, keys binary, nodes binary")
     found = sent.groupBy("bucket").applyInArrow(gather, "gid long, node long")
     return materialize(materialize(found, "found").distinct(), "groups")
 
@@ -328,38 +359,105 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean"), "verified")
 
 
-def link_components(groups: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) over linked nodes. groups: gid, node; sizes: node, n.
+def similar_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left with right, places in the arrays) in different components that size and sketch allow.
 
-    Each round takes pivots, twice as many as before, from every group that spans components, compares
-    each with the members of other components and size in range, and takes it out of the group.
+    spanning: only the most similar ones that connect what they can.
     """
-    spark = groups.sparkSession
-    groups = materialize(groups.join(sizes, "node").select("gid", "node", "n"), "members")
-    labels = spark.createDataFrame([], "node long, component long")
-    done = spark.createDataFrame([], "a long, b long")
-    turn = 0
-    while True:
-        named = groups.join(labels, "node", "left").select("gid", "node", "n", F.coalesce("component", "node").alias("comp"))
-        named = materialize(named, "named")
-        lane = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << min(turn, 20)))
-        pick = F.max(F.struct("comp", F.xxhash64("node").alias("h"), "node", "n"))
-        pivots = named.groupBy("gid", lane.alias("lane")).agg(pick.alias("p"), F.min("comp").alias("low"))
-        spread = pivots.groupBy("gid").agg((F.min("low") < F.max("p.comp")).alias("open")).where("open").select("gid")
-        pivots = materialize(pivots.join(spread, "gid", "left_semi").select("gid", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")), "pivots")
-        if pivots.isEmpty():
-            return labels
-        met = named.join(pivots, "gid").where(F.col("comp") != F.col("pcomp"))
-        met = met.where((F.col("n") * 100 >= F.col("pn") * percent) & (F.col("pn") * 100 >= F.col("n") * percent))
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        checked = _verified(materialize(pairs, "pairs"), sets, percent)
-        done = materialize(done.unionAll(checked.select("a", "b")), "done")
+    a_, b_ = _similarity(percent)
+    words = np.array([len(x) // 8 for x in sketches])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for w in np.unique(words):
+        for v in (w, 2 * w):
+            sides = [(left[words[left] == w], right[words[right] == v])] + ([(right[words[right] == w], left[words[left] == v])] if v != w else [])
+            for one, two in sides:
+                if not len(one) or not len(two):
+                    continue
+                x = np.array([np.frombuffer(sketches[i], np.uint64) for i in one])
+                y = folded(np.array([np.frombuffer(sketches[i], np.uint64) for i in two]), w)
+                step = max(1, (1 << 21) // max(1, len(two) * int(w)))
+                for at in range(0, len(one), step):
+                    p = one[at : at + step]
+                    total = n[p][:, None] + n[two][None, :]
+                    bits = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                    ok = (bits * b_ <= total * a_) & (comp[p][:, None] != comp[two][None, :])
+                    ok &= (n[p][:, None] * 100 >= n[two][None, :] * percent) & (n[two][None, :] * 100 >= n[p][:, None] * percent)
+                    i, j = np.nonzero(ok)
+                    found.append((p[i], two[j], bits[i, j] / total[i, j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    p, q, far = (np.concatenate([f[k] for f in found]) for k in range(3))
+    lower = node[p] < node[q]
+    p, q = np.where(lower, p, q), np.where(lower, q, p)
+    if not spanning:
+        return p, q
+    parent = {int(c): int(c) for c in np.unique(comp)}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    keep = []
+    for k in np.argsort(far, kind="stable").tolist():
+        x, y = root(int(comp[p[k]])), root(int(comp[q[k]]))
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+    return p[keep], q[keep]
+
+
+def _candidates(members: DataFrame, percent: int, spanning: bool, block: int) -> DataFrame:
+    """(a, b) distinct from members (gid, node, n, sketch, comp). A group is worked in cells of two blocks."""
+    counts = members.groupBy("gid").agg(F.count("*").alias("size"), (F.min("comp") < F.max("comp")).alias("open")).where("open")
+    counts = materialize(counts.select("gid", F.ceil(F.col("size") / block).alias("blocks")), "open_groups")
+    placed = members.join(counts, "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("gid", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "comp", "sketch")
+    shares = max(256, math.ceil(members.count() / CELL_ROWS))
+
+    def work(table: pa.Table) -> pa.Table:
+        gid, low, high, mine, node, n, comp = (table[c].to_numpy() for c in ("gid", "low", "high", "block", "node", "n", "comp"))
+        bits = table["sketch"].to_pylist()
+        order = np.lexsort((node, high, low, gid))
+        k = np.stack([gid[order], low[order], high[order]]) if len(order) else np.zeros((3, 0))
+        cuts = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(0)])) if len(order) else np.zeros(0, np.int64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist(), strict=True):
+            rows = order[s:e]
+            one, two = rows[mine[rows] == low[rows]], rows[mine[rows] == high[rows]]
+            local = np.arange(len(rows))
+            here = np.isin(rows, one), np.isin(rows, two)
+            p, q = similar_pairs(node[rows], n[rows], comp[rows], [bits[i] for i in rows], local[here[0]], local[here[1]], percent, spanning)
+            a.append(node[rows][p])
+            b.append(node[rows][q])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    dealt = cells.withColumn("share", F.pmod(F.xxhash64("gid", "low", "high"), F.lit(shares)))
+    return dealt.groupBy("share").applyInArrow(work, "a long, b long").distinct()
+
+
+def link_components(docs: DataFrame, text_col: str, groups: DataFrame, classes: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(node, component) over linked nodes. groups: gid, node; classes: node, n, sketch.
+
+    Two rounds: pairs that span the groups, then all allowed pairs whose ends the first round left apart.
+    """
+    spark = docs.sparkSession
+    labels, done = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "a long, b long")
+    members = materialize(groups.join(classes, "node").select("gid", "node", "n", "sketch"), "members")
+    for spanning in (True, False):
+        named = members.join(labels, "node", "left").select("gid", "node", "n", "sketch", F.coalesce("component", "node").alias("comp"))
+        pairs = materialize(_candidates(materialize(named, "named"), percent, spanning, block), "similar")
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        wanted = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "wanted")
+        if wanted.isEmpty():
+            break
+        checked = _verified(pairs, candidate_sets(docs, text_col, wanted), percent)
+        done = checked.select("a", "b")
         links = checked.where("linked").select("a", "b").unionAll(labels.select("node", "component"))
         labels = materialize(connected_components(links), "labels")
-        # Groups that were settled leave; of the others, the pivots do.
-        rest = named.join(pivots.select("gid").distinct(), "gid", "left_semi")
-        groups = materialize(rest.join(pivots.select("gid", F.col("pivot").alias("node")), ["gid", "node"], "left_anti").select("gid", "node", "n"), "members")
-        turn += 1
+    return labels
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, costly: int = COSTLY, bucket: int = BUCKET) -> DataFrame:
@@ -367,7 +465,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     with arrow_batches(spark, 1000, "16m"):
         sets = document_sets(docs, id_col, text_col)
-        classes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), (F.min("check") == F.max("check")).alias("verified"))
+        classes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("check") == F.max("check")).alias("verified"))
         classes = materialize(classes, "classes")
         if classes.where("not verified").limit(1).count():
             raise ValueError("two different shingle sets share a 64-bit digest")
@@ -375,9 +473,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         buckets = max(256, math.ceil(total / bucket))
         heavy = costly_shingles(docs, text_col, buckets, costly, MAX_COSTLY)
         groups = index_groups(docs, text_col, heavy, buckets, percent)
-        members = materialize(groups.select("node").distinct(), "candidate_nodes")
-        store = candidate_sets(docs, text_col, members)
-        labels = link_components(groups, store, classes.select("node", "n"), percent)
+        labels = link_components(docs, text_col, groups, classes.select("node", "n", "sketch"), percent)
         named = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"))
         named = materialize(named, "named")
         least = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
