@@ -9,7 +9,7 @@ A token fits behind another exactly if no merge would cross their bound; whether
 one would is read from the two tokens' own merge histories (their spines).
 
 Null text counts as empty and encodes to no ids; special tokens are plain text.
-Repeated rows each give a row; an empty table gives none; other columns pass.
+Repeated rows each give a row; an empty table gives none; other columns pass, those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -305,6 +305,7 @@ def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     decoded: also add what the ids decode to, bytes, in the same pass. The columns go through the Python
     worker in small parts, so what a task holds doesn't grow with its texts.
     """
+    df = df.drop(ids, *([decoded] if decoded else []))
     extra = [pa.field(ids, pa.binary())] + ([pa.field(decoded, pa.binary())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +323,8 @@ def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 def with_decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add the column `decoded`: the bytes that the packed ids stand for."""
 
+    df = df.drop(decoded)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:

@@ -12,7 +12,7 @@ hash of their id; everything else covers all documents. Null or empty text has
 statistics of zeros; null hosts and paths are sites of their own. Repeated rows each
 count and are each judged; labels that contradict each other are all used. Without
 labels of both classes the model is flat at the labelled mean (0.5 if none) and all
-documents stay. An empty table gives none; extra columns pass through.
+documents stay. An empty table gives none; extra columns pass through, but those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max
     sites = materialize(sites, "sites")
     small = sites.limit(MAX_SITES + 1).count() <= MAX_SITES
     sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_mean", "path_mean")
-    base = docs.withColumns({"p_text": evidence(F.col(text_col), model), "__h": host, "__p": path})
+    base = docs.drop("p_text", "host_mean", "path_mean", "p_quality", "keep").withColumns({"p_text": evidence(F.col(text_col), model), "__h": host, "__p": path})
     out = base.join(F.broadcast(sites) if small else sites, F.col("__h").eqNullSafe(F.col("__host")) & F.col("__p").eqNullSafe(F.col("__path")), "left")
     odds = _log_odds(F.col("p_text")) + _log_odds(F.col("path_mean")) - _log_odds(F.lit(top))
     keep = (F.col("p_quality") >= threshold) | F.lit(not model.fitted)
