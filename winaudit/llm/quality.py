@@ -32,6 +32,8 @@ from winaudit.llm.words import words as words_of
 MAX_ROWS = 20_000
 #: Site tables of so many rows at most are broadcast; larger ones are joined by shuffle.
 MAX_SITES = 100_000
+#: Bytes of text whose statistics are taken together.
+SLICE = 1 << 20
 FEATURES = ("length", "upper", "digit", "mark", "bar", "bang", "dash", "accent", "line", "word_length", "repeat", "again")
 _MARKS = np.frombuffer(b"#$%&*+/<=>@[\\]^_`{}~", np.uint8)
 
@@ -42,7 +44,17 @@ def _share(mask: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """One row of FEATURES per text, counted over whole texts in the column's own bytes."""
+    """One row of FEATURES per text, counted over whole texts; so many bytes at a time, or one longer text."""
+    _, ends = buffer_of(texts)
+    out, at = [np.zeros((0, len(FEATURES)))], 0
+    while at < len(texts):
+        till = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
+        out.append(_statistics(texts.slice(at, till - at)))
+        at = till
+    return np.concatenate(out)
+
+
+def _statistics(texts: pa.Array) -> np.ndarray:
     raw, bounds = buffer_of(texts)
     size = np.diff(bounds)
     n = np.maximum(size, 1)
