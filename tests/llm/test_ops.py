@@ -448,10 +448,10 @@ def test_lm_is_a_distribution(spark):
     frequent = np.argsort(-counts)[:200]
     rare = np.setdiff1d(np.arange(len(known)), frequent)
     mass = np.zeros(maxent.SHARES)
-    np.add.at(mass, (known[rare] >> np.uint64(60)).astype(int), counts[rare] + maxent.SMOOTH)
+    np.add.at(mass, (known[rare] >> np.uint64(64 - maxent._SHARE_BITS)).astype(int), counts[rare] + maxent.SMOOTH)
     voc = maxent.Vocabulary(known[frequent], counts[frequent], mass)
     weights = voc.start() + rng.standard_normal((maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    p = np.exp(maxent.log_classes(weights, np.array([[1, 2, 3, 4]], np.int32)))[0]
+    p = np.exp(maxent.log_classes(weights, np.array([[1, 2, 3]], np.int32)))[0]
     at, found = voc.look_up(known)
     cls = voc.classes_of(known, at, found)
     total = (p[cls] * (counts + maxent.SMOOTH) / voc.mass[cls]).sum()
