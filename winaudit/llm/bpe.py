@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 _FOREVER = 1 << 60
 _SHORT = (2, 1)
 #: Entries of a worker's tables of known pieces, words and token pairs. A full table of pieces or words becomes the old one, from which what recurs is taken over.
-MAX_PIECES, MAX_PAIRS = 250_000, 250_000
+MAX_PIECES, MAX_PAIRS = 350_000, 250_000
 #: Beginnings of pieces whose prefix tables are kept, and their bytes.
 MAX_HEADS, HEAD = 100_000, 8
 #: Texts whose words are looked up together; characters of them at most, about.
