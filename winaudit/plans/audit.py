@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winaudit.functions import clean
-from winaudit.functions.scratch import materialize
+from winaudit.functions.scratch import materialize, scratch_path
 from winaudit.operators import calibrate, curves, drift, evaluate, features, leakage, scoring, segments, splits, summary, windows
 from winaudit.plans import views
 from winaudit.plans.views import FPR, RATIO, ROLES, SEGMENT, STRIDE, W, records, raw_records, scores, table
@@ -876,3 +876,46 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = materialize(test_scores(spark, sf_dir), "test")
     auc = curves.roc_auc(curves.curve_points(t, ["run_id"]), ["run_id"])
     return rounded(evaluate.confusion_at_threshold(t, ["run_id"]).join(auc, "run_id"), *RATES, "auc")
+
+
+# ---- files
+
+
+@query("read_flow_csv", "select p_partkey, p_brand, p_size, case when p_partkey % 4 = 0 then 'Infinity'::double else p_retailprice end as p_retailprice from part")
+def read_csv(spark, sf_dir):
+    """The part table as a padded CSV, read back as flow records."""
+    p = table(spark, sf_dir, "part")
+    price = F.when(F.col("p_partkey") % 4 == 0, "Infinity").otherwise(F.col("p_retailprice").cast("string"))
+    path = scratch_path(spark, "csv")
+    p.select(F.col("p_partkey").alias(" p_partkey "), F.concat(F.lit("  "), "p_brand").alias("p_brand"), F.col("p_size").alias(" p_size"), price.alias("p_retailprice ")).write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").csv(path)
+    df = flow.read_flow_csv(spark, path)
+    return df.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", F.col("p_size").cast("int").alias("p_size"), F.col("p_retailprice").cast("double").alias("p_retailprice"))
+
+
+@query("write_table", f"with {views.REC} select split_role, source_file, count(*) as n, round(sum(value), 4) as total from rec group by all")
+def write_table(spark, sf_dir):
+    """Records written by role, then read back."""
+    path = scratch_path(spark, "by_role")
+    flow.write_table(records(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("split_role", "source_file").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("list_dataset_files")
+def list_files(spark, sf_dir):
+    return flow.list_dataset_files(spark, sf_dir, "parquet").select(F.regexp_replace("path", r"^.*/", "").alias("name"), "length")
+
+
+@query("file_hash_check")
+def hash_check(spark, sf_dir):
+    """Hashes of the labels files against a manifest with one wrong and one missing entry."""
+    found = materialize(flow.file_hashes(spark, f"{sf_dir}/labels.parquet"), "hashes")
+    wrong = found.orderBy("path").limit(1).select("path", F.lit("0").alias("sha256"))
+    manifest = found.join(wrong, "path", "left_anti").unionByName(wrong).unionByName(spark.createDataFrame([("gone.parquet", "0")], "path string, sha256 string"))
+    return flow.file_hash_check(found, manifest)
+
+
+@query("write_summary_csv", f"with {views.RAW} select attack_type, count(*) as n from raw group by 1")
+def summary_csv(spark, sf_dir):
+    path = scratch_path(spark, "summary")
+    flow.write_summary_csv(raw_records(spark, sf_dir).groupBy("attack_type").agg(F.count("*").alias("n")), path)
+    return spark.read.option("header", "true").schema("attack_type string, n long").csv(path)
