@@ -359,8 +359,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean"), "verified")
 
 
-def similar_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of left with right, places in the arrays) in different components that size and sketch allow.
+def similar_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int, spanning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (of left with right, places in the arrays) in different components that size and sketch allow, and how far they are apart.
 
     spanning: only the most similar ones that connect what they can.
     """
@@ -385,12 +385,12 @@ def similar_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: l
                     i, j = np.nonzero(ok)
                     found.append((p[i], two[j], bits[i, j] / total[i, j]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     p, q, far = (np.concatenate([f[k] for f in found]) for k in range(3))
     lower = node[p] < node[q]
     p, q = np.where(lower, p, q), np.where(lower, q, p)
     if not spanning:
-        return p, q
+        return p, q, far
     parent = {int(c): int(c) for c in np.unique(comp)}
 
     def root(c: int) -> int:
@@ -405,11 +405,11 @@ def similar_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: l
         if x != y:
             parent[x] = y
             keep.append(k)
-    return p[keep], q[keep]
+    return p[keep], q[keep], far[keep]
 
 
 def _candidates(members: DataFrame, percent: int, spanning: bool, block: int) -> DataFrame:
-    """(a, b) distinct from members (gid, node, n, sketch, comp). A group is worked in cells of two blocks."""
+    """(a, b, far) distinct from members (gid, node, n, sketch, comp). A group is worked in cells of two blocks."""
     counts = members.groupBy("gid").agg(F.count("*").alias("size"), (F.min("comp") < F.max("comp")).alias("open")).where("open")
     counts = materialize(counts.select("gid", F.ceil(F.col("size") / block).alias("blocks")), "open_groups")
     placed = members.join(counts, "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -423,43 +423,65 @@ def _candidates(members: DataFrame, percent: int, spanning: bool, block: int) ->
         order = np.lexsort((node, high, low, gid))
         k = np.stack([gid[order], low[order], high[order]]) if len(order) else np.zeros((3, 0))
         cuts = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(0)])) if len(order) else np.zeros(0, np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist(), strict=True):
             rows = order[s:e]
             one, two = rows[mine[rows] == low[rows]], rows[mine[rows] == high[rows]]
             local = np.arange(len(rows))
             here = np.isin(rows, one), np.isin(rows, two)
-            p, q = similar_pairs(node[rows], n[rows], comp[rows], [bits[i] for i in rows], local[here[0]], local[here[1]], percent, spanning)
+            p, q, f = similar_pairs(node[rows], n[rows], comp[rows], [bits[i] for i in rows], local[here[0]], local[here[1]], percent, spanning)
             a.append(node[rows][p])
             b.append(node[rows][q])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+            far.append(f)
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b)), "far": pa.array(np.concatenate(far))})
 
     dealt = cells.withColumn("share", F.pmod(F.xxhash64("gid", "low", "high"), F.lit(shares)))
-    return dealt.groupBy("share").applyInArrow(work, "a long, b long").distinct()
+    return dealt.groupBy("share").applyInArrow(work, "a long, b long, far double").distinct()
 
 
 def link_components(docs: DataFrame, text_col: str, groups: DataFrame, classes: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(node, component) over linked nodes. groups: gid, node; classes: node, n, sketch.
 
-    Two rounds: pairs that span the groups, then all allowed pairs whose ends the first round left apart.
+    First pairs that span the groups: each component's nearest one, twice, then what is left of them. Then
+    all allowed pairs whose ends are still apart. Only compared pairs' sets move.
     """
     spark = docs.sparkSession
     labels, done = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "a long, b long")
     members = materialize(groups.join(classes, "node").select("gid", "node", "n", "sketch"), "members")
+    store = None
     for spanning in (True, False):
         named = members.join(labels, "node", "left").select("gid", "node", "n", "sketch", F.coalesce("component", "node").alias("comp"))
-        pairs = materialize(_candidates(materialize(named, "named"), percent, spanning, block), "similar")
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        wanted = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "wanted")
-        if wanted.isEmpty():
-            break
-        checked = _verified(pairs, candidate_sets(docs, text_col, wanted), percent)
-        done = checked.select("a", "b")
-        links = checked.where("linked").select("a", "b").unionAll(labels.select("node", "component"))
-        labels = materialize(connected_components(links), "labels")
+        similar = materialize(_candidates(materialize(named, "named"), percent, spanning, block), "similar")
+        if store is None:  # a node of any allowed pair is in one that spans its group
+            wanted = materialize(similar.select(F.col("a").alias("node")).unionAll(similar.select("b")).distinct(), "wanted")
+            if wanted.isEmpty():
+                return labels
+            store = candidate_sets(docs, text_col, wanted)
+        for nearest in (True, True, False) if spanning else (False,):
+            pairs = materialize(_apart(similar, labels, nearest).join(done, ["a", "b"], "left_anti"), "pairs")
+            if pairs.isEmpty():
+                break
+            checked = _verified(pairs, store, percent)
+            done = materialize(done.unionAll(checked.select("a", "b")), "done")
+            links = checked.where("linked").select("a", "b").unionAll(labels.select("node", "component"))
+            labels = materialize(connected_components(links), "labels")
     return labels
 
 
+def _apart(similar: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components; nearest: of each component the nearest pair only."""
+    ends = similar
+    for end in ("a", "b"):
+        names = labels.select(F.col("node").alias(end), F.col("component").alias("__c"))
+        ends = ends.join(names, end, "left").withColumn(f"c{end}", F.coalesce("__c", end)).drop("__c")
+    ends = ends.where("ca <> cb")
+    if not nearest:
+        return ends.select("a", "b")
+    pair = F.struct("far", "a", "b").alias("p")
+    sides = ends.select(F.col("ca").alias("c"), pair).unionAll(ends.select(F.col("cb").alias("c"), pair))
+    return sides.groupBy("c").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, costly: int = COSTLY, bucket: int = BUCKET) -> DataFrame:
     """Per row: id, n_shingles, node (class of equal sets) and component_id, the smallest id reachable by links."""
     spark = docs.sparkSession
