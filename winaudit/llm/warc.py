@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,8 @@ from winaudit.functions.scratch import materialize
 
 #: Bytes of an archive file after which a task begins the next; of one coalesced read; of a gap that is read over.
 FILE_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 64 << 10
-#: Records of a task's share when selected ones are read: offsets are dealt in stretches of so many bytes.
-STRETCH = 32 << 20
+#: Bytes of records that a task reads, about: offsets are dealt in stretches of so many bytes.
+STRETCH = 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
@@ -143,7 +144,10 @@ def coalesced(places: list[tuple[str, int, int]], read_bytes: int = READ_BYTES,
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Fetch and parse the index rows' records. Places are dealt in stretches of a file and read in order."""
+    """Fetch and parse the index rows' records. Places are dealt in stretches of a file and read in order.
+
+    The number of tasks follows the bytes to read, which the few bytes of the index rows don't show.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -165,7 +169,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=_READ_SCHEMA)
 
     stretch = F.expr(f"offset div {STRETCH}")
-    dealt = index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    tasks = math.ceil((index.agg(F.sum("length")).first()[0] or 1) / STRETCH)
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, _READ)
 
 
