@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from winaudit.functions.scratch import materialize
 from winaudit.llm import bpe, exact_dedup, jaccard, mixing, quality
 
+#: Pieces that the token stage's tables hold in a Python worker, which it shares with the other stages.
+PIECES = 50_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Labels of documents that aren't in docs are not used."""
@@ -62,7 +65,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with its token ids (packed, little-endian 32-bit), their number, and whether decoding gives back the text."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.with_ids(docs.select("doc_id", "source", "text"), path, pattern, decoded="decoded")
+    coded = bpe.with_ids(docs.select("doc_id", "source", "text"), path, pattern, decoded="decoded", most=PIECES)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", same.alias("round_trip"))
 

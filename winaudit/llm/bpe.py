@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 _FOREVER = 1 << 60
 _SHORT = (2, 1)
 #: Entries of a worker's tables of known pieces, words and token pairs. A full table of pieces or words becomes the old one, from which what recurs is taken over.
-MAX_PIECES, MAX_PAIRS = 350_000, 250_000
+MAX_PIECES, MAX_PAIRS = 250_000, 250_000
 #: Beginnings of pieces whose prefix tables are kept, and their bytes.
 MAX_HEADS, HEAD = 100_000, 8
 #: Texts whose words are looked up together; characters of them at most, about.
@@ -142,8 +142,8 @@ class Vocabulary:
 
 
 class Tokenizer:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.vocabulary = Vocabulary(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int | None = None):
+        self.vocabulary, self.most = Vocabulary(ranks), most or MAX_PIECES
         self.pieces = regex.compile(pattern)
         self._packed: dict[str, bytes] = {}  # piece -> ids as little-endian 32-bit integers
         self._words: dict[str, bytes | None] = {}  # the same for a space and the word behind it; None: it can't stand alone
@@ -153,7 +153,7 @@ class Tokenizer:
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Their ids. New pieces are encoded in byte order: each continues the prefix table of the one before it."""
-        if len(self._packed) > MAX_PIECES:
+        if len(self._packed) > self.most:
             self._packed, self._old_packed = {}, self._packed
         known, old = self._packed, self._old_packed
         fresh = []
@@ -164,7 +164,7 @@ class Tokenizer:
                 else:
                     fresh.append((p.encode(), p))
         before, last, heads, extend = b"", [], self._heads, self.vocabulary.extend
-        if len(heads) > MAX_HEADS:
+        if len(heads) > min(MAX_HEADS, self.most):
             heads.clear()
         for data, piece in sorted(fresh):
             same, head = 0, data[:HEAD]
@@ -203,7 +203,7 @@ class Tokenizer:
         new: set[str] = set()
         for words in cut:
             new.update(words[1:])
-        if len(self._words) > MAX_PIECES:
+        if len(self._words) > self.most:
             self._words, self._old_words = {}, self._words
         known, old = self._words, self._old_words
         parts: dict[str, list[str]] = {}
@@ -277,14 +277,14 @@ class EncodedText:
         return out
 
 
-_loaded: dict[tuple[str, str], Tokenizer] = {}
+_loaded: dict[tuple[str, str, int | None], Tokenizer] = {}
 
 
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One per Python worker; path is a rank file that every executor has."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Tokenizer(read_ranks(path), pattern)
-    return _loaded[path, pattern]
+def tokenizer(path: str, pattern: str, most: int | None = None) -> Tokenizer:
+    """One per Python worker; path is a rank file that every executor has. most: pieces that its tables hold."""
+    if (path, pattern, most) not in _loaded:
+        _loaded[path, pattern, most] = Tokenizer(read_ranks(path), pattern, most)
+    return _loaded[path, pattern, most]
 
 
 def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
@@ -299,17 +299,18 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         at = till
 
 
-def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, most: int | None = None) -> DataFrame:
     """Add the column `ids`: each whole text's token ids, packed as little-endian 32-bit integers.
 
-    decoded: also add what the ids decode to, bytes, in the same pass. The columns go through the Python
+    decoded: also add what the ids decode to, bytes, in the same pass. most: pieces that a worker's tables hold
+    between tasks, fewer for workers that other stages share. The columns go through the Python
     worker in small parts, so what a task holds doesn't grow with its texts.
     """
     df = df.drop(ids, *([decoded] if decoded else []))
     extra = [pa.field(ids, pa.binary())] + ([pa.field(decoded, pa.binary())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path, pattern)
+        own = tokenizer(path, pattern, most)
         for batch in batches:
             for part in _slices(batch, text):
                 coded = own.encode_all([x or "" for x in part.column(text).to_pylist()])
