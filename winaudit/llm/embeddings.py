@@ -1,10 +1,13 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal directions is learnt so that signs lose little (ITQ);
-several rotations give a code of some 192 balanced bits. The code is cut into
-substrings, one per table; vectors that agree in a whole substring meet in that table's
-bucket and are compared by cosine of the original vectors. A pair counts in the first
-table where it meets, so no list of pairs has to be deduplicated. Buckets are
+several rotations give a code of balanced bits. The code is cut into substrings,
+one per table; vectors that agree in a whole substring meet in that table's
+bucket and are compared by cosine of the original vectors. Substrings widen with the
+number of vectors, and tables and rotations are added with them until pairs at the
+threshold meet with the probability RECALL: by the angle, and of pairs planted
+about the sample. A pair counts in the first table where it meets, so no list of pairs
+has to be deduplicated. Buckets are
 worked in cells of two blocks of bounded size, however large they are.
 
 Equal vectors form one class with a weight; counts weigh it, pairs don't
@@ -30,10 +33,14 @@ from winaudit.functions.scratch import materialize
 from winaudit.llm.components import connected_components
 from winaudit.llm.jaccard import arrow_batches
 
-#: Vectors that rotations are learnt from, at most; rotations; components kept; steps of learning.
+#: Vectors that rotations are learnt from, at most; rotations at least; components kept; steps of learning.
 SAMPLE, ROTATIONS, COMPONENTS, STEPS = 20_000, 3, 64, 30
-#: Vectors that a bucket holds on average, about; tables at most; vectors of a block.
+#: Vectors that a bucket holds on average, about; tables at least; vectors of a block.
 OCCUPANCY, TABLES, BLOCK = 48, 16, 1024
+#: Share of the pairs at the threshold that meet, at any number of vectors; pairs planted to measure it.
+RECALL, PLANTED = 0.98, 4000
+#: More tables than this aren't made: substrings are shortened instead, which only costs.
+MOST_TABLES = 512
 
 
 def learn(sample: np.ndarray, rotations: int = ROTATIONS, components: int = COMPONENTS, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +73,45 @@ def table_keys(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, width
     return keys
 
 
+def tables_needed(width: int, threshold: float, recall: float = RECALL) -> int:
+    """Tables in one of which a pair at cosine `threshold` agrees in all `width` bits with probability `recall`."""
+    meet = (1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi) ** width
+    return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log1p(-meet)) if meet > 1e-9 else 1 << 40
+
+
+def planted_recall(sample: np.ndarray, model: tuple[np.ndarray, np.ndarray], width: int, tables: int, threshold: float, seed: int = 7) -> float:
+    """Share of pairs at cosine `threshold` that meet; the lesser of partners turned any way and towards other vectors of the sample."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(0, len(sample), PLANTED)]
+    met = []
+    for towards in (rng.standard_normal(x.shape), sample[rng.integers(0, len(sample), PLANTED)]):
+        aside = towards - (towards * x).sum(1, keepdims=True) * x
+        length = np.sqrt((aside * aside).sum(1))
+        some = length > 1e-6
+        if some.any():
+            y = threshold * x[some] + math.sqrt(max(0.0, 1 - threshold**2)) * aside[some] / length[some, None]
+            met.append(float((table_keys(x[some], *model, width, tables) == table_keys(y, *model, width, tables)).any(1).mean()))
+    return min(met, default=1.0)
+
+
+def fit(sample: np.ndarray, n: int, threshold: float) -> tuple[tuple[np.ndarray, np.ndarray], int, int]:
+    """(model, width, tables) for n vectors: pairs at the threshold meet with probability RECALL, whatever n."""
+    width = min(max(8, math.ceil(math.log2(max(n, 2) / OCCUPANCY))), 40)
+    while tables_needed(width, threshold) > MOST_TABLES:
+        width -= 1
+    tables = max(TABLES, tables_needed(width, threshold))
+    per = max(1, min(COMPONENTS, sample.shape[1]))
+    while True:
+        model = learn(sample, max(ROTATIONS, math.ceil(tables * width / per)))
+        if not width or planted_recall(sample, model, width, tables, threshold) >= RECALL:
+            return model, width, tables
+        if tables < 2 * max(TABLES, tables_needed(width, threshold)):
+            tables += max(1, tables // 4)
+        else:
+            width -= 1
+            tables = max(TABLES, tables_needed(width, threshold)) if width else 1
+
+
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(-1, dim) if dim else flat.reshape(len(column), 0)
@@ -82,8 +128,8 @@ def _cell(table: pa.Table, threshold: float) -> pa.Table:
     ids, weight, block = (table[c].to_numpy() for c in ("class_id", "weight", "block"))
     vectors = table["vector"].combine_chunks()
     unit = _unit(_vectors(vectors, len(vectors[0]))) if n else np.zeros((0, 1))
-    keys = np.array(table["keys"].combine_chunks().flatten()).reshape(n, -1)
-    t = int(table["at"][0].as_py()) if n else 0
+    code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(n, -1)
+    t, width = (int(table[c][0].as_py()) if n else 0 for c in ("at", "width"))
     low, high = (int(table[c][0].as_py()) if n else 0 for c in ("low", "high"))
     a = np.flatnonzero(block == low)
     b = a if low == high else np.flatnonzero(block == high)
@@ -91,7 +137,10 @@ def _cell(table: pa.Table, threshold: float) -> pa.Table:
     p, q = a[p], b[q]
     once = p < q if low == high else np.ones(len(p), bool)
     p, q = p[once], q[once]
-    new = ~(keys[p, :t] == keys[q, :t]).any(1)
+    new = np.ones(len(p), bool)
+    for s in range(0, len(p), 1 << 14):
+        differ = np.unpackbits(code[p[s : s + (1 << 14)]] ^ code[q[s : s + (1 << 14)]], axis=1, count=t * width, bitorder="little")
+        new[s : s + (1 << 14)] = differ.reshape(len(differ), t, width).any(2).all(1)
     p, q = p[new], q[new]
     links = np.bincount(p, weight[q], n) + np.bincount(q, weight[p], n)
     root = np.arange(n)
@@ -111,26 +160,26 @@ def _links(classes: DataFrame, dim: int, threshold: float, block: int) -> DataFr
     spark = classes.sparkSession
     n = classes.count()
     picked = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
-    model = learn(_unit(_vectors(picked, dim)))
-    width = min(max(8, math.ceil(math.log2(max(n, 2) / OCCUPANCY))), 40)
-    tables = max(1, min(TABLES, model[1].shape[1] // min(width, model[1].shape[1])))
+    model, width, tables = fit(_unit(_vectors(picked, dim)), n, threshold)
     shared = spark.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = table_keys(_unit(_vectors(batch["vector"], dim)), *shared.value, width, tables)
-                yield pa.RecordBatch.from_arrays([batch["class_id"], batch["weight"], batch["vector"], pa.array(list(keys), pa.list_(pa.int64()))], names=["class_id", "weight", "vector", "keys"])
+                bits = (keys[:, :, None] >> np.arange(width, dtype=np.int64) & 1).astype(np.uint8).reshape(len(keys), -1)
+                code = [x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")]
+                yield pa.RecordBatch.from_arrays([batch["class_id"], batch["weight"], batch["vector"], pa.array(list(keys), pa.list_(pa.int64())), pa.array(code, pa.binary())], names=["class_id", "weight", "vector", "keys", "code"])
 
     kind = classes.schema["vector"].dataType.simpleString()
-    coded = materialize(classes.select("class_id", "weight", "vector").mapInArrow(encode, f"class_id long, weight long, vector {kind}, keys array<long>"), "codes")
+    coded = materialize(classes.select("class_id", "weight", "vector").mapInArrow(encode, f"class_id long, weight long, vector {kind}, keys array<long>, code binary"), "codes")
     crowded = coded.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > block)
     crowded = materialize(crowded.select("key", F.ceil(F.col("count") / block).alias("blocks")), "crowded")
-    placed = coded.select("class_id", "weight", "vector", "keys", F.posexplode("keys").alias("at", "key")).join(crowded, "key", "left")
+    placed = coded.select("class_id", "weight", "vector", "code", F.posexplode("keys").alias("at", "key")).join(crowded, "key", "left")
     blocks = F.coalesce("blocks", F.lit(1))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("class_id"), blocks))
     cells = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    cells = cells.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "at", "block", "class_id", "weight", "vector", "keys")
+    cells = cells.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "at", F.lit(width).alias("width"), "block", "class_id", "weight", "vector", "code")
     return materialize(cells.groupBy("key", "low", "high").applyInArrow(lambda t: _cell(t, threshold), "class_id long, links long, root long"), "links")
 
 
