@@ -9,7 +9,7 @@ operator's decisions to every row that its predecessor kept.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import materialize
@@ -34,21 +34,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest doc_id stays; texts without words all do.
 
-    The ids to drop are matched against docs. A repeated id that names its component keeps one of its rows.
+    Ids that are null come last, then the text's hash decides. Rows are told apart by id and text, so documents
+    whose id is null or repeated stand for themselves; of rows equal in both one stays.
     """
-    found = materialize(jaccard.jaccard_components(docs), "near")
-    gone = found.where("n_shingles > 0 and not (id <=> component_id)").select("id", "node").distinct()
-    left = found.where("n_shingles = 0 or id <=> component_id").groupBy("id").count()
-    doubtful = gone.join(left, "id", "left_semi").limit(1).count() or left.where("count > 1").limit(1).count()
-    if not doubtful:
-        return docs.join(gone.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
-    # Ids repeat: rows are told apart by their text. Of those with words one stays per component.
-    keyed = docs.withColumn("__n", F.xxhash64("text"))
-    numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("__n")))
-    lost = gone.select(F.col("id").alias("doc_id")).distinct().join(left.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    kept = numbered.join(lost, "doc_id", "left_anti")
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)
-    return kept.where(empty | (F.col("__nth") == 1)).select(*docs.columns)
+    found = materialize(jaccard.jaccard_components(docs), "near").where("n_shingles > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("first")
+    kept = materialize(found.groupBy("component").agg(first).select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash")), "near_kept")
+    gone = found.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_anti")
+    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "near_gone")
+    out = docs.withColumn("__h", F.xxhash64("text"))
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_anti")
+    if found.groupBy("id", "text_hash").count().where("count > 1").limit(1).count():
+        empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)
+        out = out.where(~empty).dropDuplicates(["doc_id", "__h"]).unionAll(out.where(empty))
+    return out.select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import scratch_path
+import corpus_pipeline
 from winaudit.llm import bpe, components, embeddings, exact_dedup, jaccard, license_scan, maxent, mixing, quality, url_filter, warc, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -244,6 +245,29 @@ def test_jaccard(spark, docs, costly):
     assert got == sorted(brute_components(rows), key=str)
 
 
+def test_near_stage_tells_null_and_repeated_ids_apart(spark):
+    """Against brute force: of each component the smallest (id, nulls last) stays, and every text without near copies."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))
+    three, nobody, nine = text(), text(), text()
+    keep = [(3, three), (7, text()), (7, text()), (None, text()), (None, text()), (None, ""), (None, None), (7, ""), (8, text()), (8, text()), (9, nine)]
+    gone = [(7, three + " more"), (None, nine + " more"), (9, nine + " other")]
+    pair = [(None, nobody), (None, nobody + " more")]  # one of them stays
+    df = spark.createDataFrame(keep + gone + pair, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, df, "").collect())
+    one = collections.Counter(p for p in pair if p in got)
+    assert one.total() == 1 and got[next(iter(one))] == 1
+    nines = [r for r in ((9, nine), (9, nine + " other")) if r in got]
+    assert len(nines) == 1 and got[nines[0]] == 1
+    assert got - one - collections.Counter(nines) == collections.Counter(keep[:-1])
+
+
+def test_near_stage_keeps_one_of_equal_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h")] * 3 + [(None, "i j k l m n o p")] * 2 + [(2, "")] * 2, "doc_id long, text string")
+    got = sorted(r.text for r in corpus_pipeline.near_stage(spark, df, "").collect())
+    assert got == ["", "", "a b c d e f g h", "i j k l m n o p"]
+
+
 def test_jaccard_of_empty_table(spark, docs):
     assert jaccard.jaccard_components(docs.where("false")).count() == 0
 

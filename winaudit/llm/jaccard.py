@@ -172,7 +172,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), node (64-bit digest of the set), check (a second one) and sketch."""
+    """id, text_hash, n (set size), node (64-bit digest of the set), check (a second one) and sketch."""
     schema = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +185,11 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 check.append(xxhash.xxh3_64_intdigest(data, 7) >> 1)
                 bits.append(sketch(s).tobytes() if len(s) else None)
             cols = [pa.array(c, f.type) for c, f in zip((n, node, check, bits), schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["id"], *cols], names=["id", *schema.names])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], *cols], names=["id", "text_hash", *schema.names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(sets, f"id {kind}, n long, node long, check long, sketch binary"), "sets")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return materialize(rows.mapInArrow(sets, f"id {kind}, text_hash long, n long, node long, check long, sketch binary"), "sets")
 
 
 def _signed(x: int) -> int:
@@ -483,7 +483,10 @@ def _apart(similar: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, costly: int = COSTLY, bucket: int = BUCKET) -> DataFrame:
-    """Per row: id, n_shingles, node (class of equal sets) and component_id, the smallest id reachable by links."""
+    """Per row: id, text_hash, n_shingles, node (class of equal sets), component (of nodes) and component_id, the smallest id reachable by links.
+
+    component tells components apart whose ids are null or repeated; it is null for texts without words.
+    """
     spark = docs.sparkSession
     with arrow_batches(spark, 1000, "16m"):
         sets = document_sets(docs, id_col, text_col)
@@ -499,6 +502,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         named = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"))
         named = materialize(named, "named")
         least = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
-        final = materialize(named.join(least, "comp").select("node", "component_id"), "components")
-    out = sets.where("n > 0").join(final, "node").select("id", F.col("n").alias("n_shingles"), "node", "component_id")
-    return out.unionByName(sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), "node", F.col("id").alias("component_id")))
+        final = materialize(named.join(least, "comp").select("node", F.col("comp").alias("component"), "component_id"), "components")
+    out = sets.where("n > 0").join(final, "node").select("id", "text_hash", F.col("n").alias("n_shingles"), "node", "component", "component_id")
+    return out.unionByName(sets.where("n = 0").select("id", "text_hash", F.col("n").alias("n_shingles"), "node", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id")))
