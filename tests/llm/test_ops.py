@@ -479,6 +479,39 @@ def test_lm_scores(spark, docs):
     assert math.isfinite(alone.score)
 
 
+def test_lm_learns_from_the_third_word_before():
+    """Texts that repeat three words: only the skip of two tells the next word."""
+    rng = np.random.default_rng(2)
+    word = np.unique(rng.integers(0, 1 << 63, 30, dtype=np.uint64))
+    t = np.concatenate([np.tile(rng.choice(word, 3, replace=False), 20) for _ in range(1500)])
+    bounds = np.arange(0, len(t) + 1, 60)
+    voc = maxent.Vocabulary(word, np.array([(t == w).sum() for w in word]), np.zeros(maxent.SHARES))
+    at, found = voc.look_up(t)
+    rows, classes = maxent.features(voc, t, bounds, at, found), voc.classes_of(t, at, found)
+    weights, squares = voc.start(), np.zeros((maxent.ROWS, maxent.CLASSES), np.float32)
+    train = len(t) - 6000
+    for _ in range(maxent.EPOCHS):
+        for a in range(0, train, 8192):
+            maxent._update(weights, squares, rows[a : min(a + 8192, train)], classes[a : min(a + 8192, train)])
+    mean = lambda w: maxent.log_classes(w, rows[train:])[np.arange(6000), classes[train:]].mean()
+    assert mean(weights) > mean(voc.start()) + 0.5
+    assert (maxent.EPOCHS, maxent.CLASSES) == (2, 96)
+
+
+def test_lm_update_equals_its_formula():
+    rng = np.random.default_rng(3)
+    rows, classes = rng.integers(1, 50, (2000, 4)).astype(np.int32), rng.integers(0, maxent.CLASSES, 2000)
+    weights = rng.standard_normal((maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    gradient = -np.exp(maxent.log_classes(weights, rows)).astype(float)
+    gradient[np.arange(2000), classes] += 1
+    want = np.zeros(weights.shape)
+    np.add.at(want, rows.ravel(), np.repeat(gradient, 4, 0))
+    want[0] = gradient.sum(0)
+    squares, new = np.zeros_like(weights), weights.copy()
+    maxent._update(new, squares, rows, classes)
+    assert np.allclose(new - weights, maxent.STEP * want / np.sqrt(want**2 + 1), atol=1e-3)
+
+
 def test_lm_is_a_distribution(spark):
     """Over all known words and the unknown one of each share, probabilities after a context sum to one."""
     rng = np.random.default_rng(0)
