@@ -42,8 +42,8 @@ def test_window_counts_of_published_segments():
 
 
 def test_ratio_at_threshold_and_family_tie(spark):
-    df = frame(spark, 4, label=[1, 1, 0, 0], attack_type=["b", "a", "BENIGN", "BENIGN"]).withColumns({"seg": F.lit("s"), "seg_rows": F.lit(4)})
-    win = windows.with_label(windows.sliding_windows(df, ["seg"], 4, 4, {"n_attack": F.col("label")}), 4, 0.5)
+    df = frame(spark, 4, label=[1, 1, 0, 0], anomaly_type=["b", "a", "BENIGN", "BENIGN"]).withColumns({"seg": F.lit("s"), "seg_rows": F.lit(4)})
+    win = windows.with_label(windows.sliding_windows(df, ["seg"], 4, 4, {"n_anomaly": F.col("label")}), 4, 0.5)
     assert win.first().label == 1
     assert windows.dominant_family(df, ["seg"], 4, 4).first().family == "a"
 
@@ -121,7 +121,7 @@ def test_confusion_without_denominators(spark):
     assert (r.tp, r.tn, r.precision, r.recall, r.f1, r.fpr) == (0, 1, 0, 0, 0, 0)
 
 
-def test_attack_segments(spark):
+def test_anomaly_segments(spark):
     #            0  1  2  3  4  5  6
     labels = [1, 1, 0, 1, 0, 1, 1]
     alarms = [0, 1, 1, 0, 0, 0, 0]
@@ -129,7 +129,7 @@ def test_attack_segments(spark):
     df = spark.createDataFrame(rows, "file string, w long, label int, prediction int, window_id string, family string, score double")
     want = [("f", 1, "w0", "w1", 2, 1, 1), ("f", 2, "w3", "w3", 1, 0, None), ("f", 3, "w5", "w6", 2, 0, None), ("g", 1, "v0", "v0", 1, 1, 0)]
     for large in (False, True):
-        got = segments.attack_segments(df, ["file"], "w", large=large).orderBy("file", "segment").collect()
+        got = segments.anomaly_segments(df, ["file"], "w", large=large).orderBy("file", "segment").collect()
         assert [(r.file, r.segment, r.start_window_id, r.end_window_id, r.length, r.detected, r.delay) for r in got] == want
 
 
@@ -146,7 +146,7 @@ def test_splits(spark):
     assert roles == [splits.TRAIN] * 9 + [splits.CALIBRATION]
     cut = splits.split_chrono(spark.range(12), 0.1, 0.1, 3, ["id"]).orderBy("id").collect()
     assert [r.split_role for r in cut] == [splits.TRAIN] * 3 + [splits.CALIBRATION] * 3 + [splits.TEST] * 6
-    assert {r.split_role for r in splits.split_chrono(spark.range(5), 0.5, 0.2, 3, ["id"]).collect()} == {None}
+    assert {r.split_role for r in splits.split_chrono(spark.range(5), 0.5, 0.2, 3, ["id"], strict=False).collect()} == {None}
     labelled = spark.range(10).select("id", (F.col("id") >= 7).cast("int").alias("label"))
     got = splits.subset_balanced(labelled, 8, ["id"]).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in got} == {0: 5, 1: 3}
@@ -186,7 +186,7 @@ def test_csv_and_hashes(spark, tmp_path):
     read = flow.read_flow_csv(spark, f"file://{data}")
     assert read.columns == ["Flow ID", "Rate", "Label"]
     assert clean.drop_nonfinite_rows(read).count() == 1
-    assert [r.path.rsplit("/", 1)[1] for r in flow.list_dataset_files(spark, f"file://{data}").collect()] == ["Monday.csv"]
+    assert [r.path for r in flow.list_dataset_files(spark, f"file://{data}").collect()] == ["Monday.csv"]
     found = flow.file_hashes(spark, f"file://{data}")
     right = found.first().sha256
     manifest = spark.createDataFrame([("Monday.csv", right), ("gone.csv", "0")], "path string, sha256 string")
@@ -236,3 +236,68 @@ def test_iforest_ranks_outliers_first(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     scored = detectors.iforest_score(df, "v", detectors.fit_iforest(df, "v", "id", trees=30))
     assert scored.orderBy(F.desc("score")).first().id == 1000
+
+
+@pytest.mark.parametrize("most", [10_000, 100])
+def test_many_ranges_lose_no_row(spark, most):
+    from winaudit.functions.ranges import meeting_ranges
+
+    ranges = spark.createDataFrame([(f"r{i}", 10 * i, 10 * i + (4 if i % 50 else 400)) for i in range(1500)], "split_role string, lo long, hi long")
+    df = spark.createDataFrame([(i, i + 1) for i in range(-5, 15_600, 7)] + [(None, 3)], "ts_s long, until long")
+    want = sum(10 * k <= t <= 10 * k + (4 if k % 50 else 400) for t in range(-5, 15_600, 7) for k in range(1500))
+    assert meeting_ranges(df, ranges, "ts_s", "ts_s", most=most).count() == want
+    assert splits.split_by_ts_ranges(df, ranges).count() == want
+    met = sum(any(10 * k <= t + 1 and t <= 10 * k + (4 if k % 50 else 400) for k in range(1500)) for t in range(-5, 15_600, 7))
+    assert meeting_ranges(df, ranges, "ts_s", "until", "left_semi", most=most).count() == met
+
+
+def test_segments_too_short_to_cut(spark):
+    df = spark.createDataFrame([("f", i) for i in range(40)], "source_file string, i long")
+    counts = {r.split_role: r["count"] for r in splits.split_chrono(df, 0.5, 0.25, 16, ["i"]).groupBy("split_role").count().collect()}
+    assert counts == {splits.TRAIN: 20, splits.CALIBRATION: 4, splits.TEST: 16}
+    with pytest.raises(Exception, match="too few rows"):
+        splits.split_chrono(df, 0.6, 0.2, 18, ["i"]).collect()
+    with pytest.raises(Exception, match="too short"):
+        splits.split_mixed(df, 0.5, 40, ["i"]).collect()
+    assert splits.split_mixed(df, 0.5, 40, ["i"], strict=False).where("split_role is null").count() == 40
+
+
+def test_recommendation(spark):
+    def choice(f1, auc, families=(), failures=None):
+        deltas = spark.createDataFrame(list(zip(f1, auc, strict=True)), "delta_f1 double, delta_auc double")
+        fam = spark.createDataFrame([("a", f, 0.5, 0) for f, _ in families] + [("b", f, 0.5 + g, failures or 0) for f, g in families], "model string, family string, recall double, failed int")
+        return summary.model_recommendation(deltas, fam, "a", "b", F.col("failed")).first().recommended
+
+    up, down = [0.05, 0.04, -0.01, 0.03], [-0.05, -0.04, -0.03, 0.01]
+    assert choice(up, up) == "A"
+    assert choice([0.3, -0.1, -0.1, 0.3], up) == "A"  # too few wins, yet both gains are positive
+    assert choice(up, up, [("x", 0.2), ("y", -0.2)], failures=1) == "C"
+    assert choice([0.001] * 4, [-0.002] * 4, [("x", 0.2), ("y", -0.2)]) == "B"
+    assert choice(down, down, [("x", 0.2), ("y", -0.2)]) == "C"
+    assert choice(down, down, [("x", 0.2)]) == "B"
+
+
+def test_hash_check_tells_paths_and_contents_apart(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    for name, data in (("a/x.csv", b"1"), ("b/x.csv", b"2"), ("a/y.csv.gz", gzip.compress(b"3"))):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    found = flow.file_hashes(spark, str(tmp_path))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    packed = sha((tmp_path / "a/y.csv.gz").read_bytes())
+    rows = [("a/x.csv", sha(b"1"), None), ("b/x.csv", sha(b"1"), None), ("a/y.csv.gz", packed, sha(b"4")), ("z", "0", None)]
+    manifest = spark.createDataFrame(rows, "path string, sha256 string, uncompressed_sha256 string")
+    got = {r.path: r.status for r in flow.file_hash_check(found, manifest).collect()}
+    assert got == {"a/x.csv": "ok", "b/x.csv": "mismatch", "a/y.csv.gz": "uncompressed mismatch", "z": "missing"}
+    assert [r.path for r in flow.list_dataset_files(spark, str(tmp_path)).collect()] == ["a/x.csv", "b/x.csv"]
+    (tmp_path / "Training and Testing Sets/deep").mkdir(parents=True)
+    for name in ("top.csv", "Training and Testing Sets/t.csv", "Training and Testing Sets/deep/no.csv"):
+        (tmp_path / name).write_text("x")
+    assert [r.path for r in flow.list_dataset_files(spark, str(tmp_path), "UNSW").collect()] == ["Training and Testing Sets/t.csv", "top.csv"]
+
+
+def test_numeric_screen_takes_nan_as_missing(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (float("nan"), 2.0), (1.0, float("nan"))], "a double, b double")
+    assert {r.column: (r.keep, r.reason) for r in features.numeric_screen(df, ["a", "b"]).collect()} == {"a": (False, "constant_or_single_value"), "b": (True, "")}

@@ -13,13 +13,16 @@ from pyspark.sql import types as T
 MISSING = ("", "-", "nan", "none", "null", "nat")
 BENIGN = ("0", "benign", "normal", "no", "false")
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-#: Column names that are never features, lower-cased.
+# Column names that are never features, lower-cased, as flow tables spell them.
 NOT_FEATURES = frozenset({
-    "label", "attack", "attack_type", "attack_cat", "type", "class", "timestamp", "ts", "time", "date", "flow id", "flow_id", "id", "source ip", "src ip", "src_ip", "srcip",
-    "destination ip", "dst ip", "dst_ip", "dstip", "source port", "src_port", "destination port", "dst_port", "source_file", "source_day", "row_index",
+    "label", "label_full", "label1", "label2", "label3", "label4", "id", "type", "class", "attack", "attack_cat", "flow id", "source ip", "destination ip", "src ip", "dst ip",
+    "timestamp", "timestamp_start", "timestamp_end", "date", "time", "device_name", "device_mac",
 })
-#: Label columns in order of preference, per kind of data set.
-LABEL_COLUMNS = {"default": ("label", "attack", "class"), "ton": ("label", "type"), "unsw": ("label", "attack_cat")}
+#: Columns that with_provenance() and the splits add.
+OWN_COLUMNS = frozenset({"source_file", "source_day", "row_index", "line", "split_role"})
+# Label columns in order of preference, per data set; and other names of the data sets.
+LABEL_COLUMNS = {"generic": ("label", "label1", "type", "class", "attack"), "swat": ("label1", "label", "type"), "ton_iot": ("label", "type"), "cicids2017": ("label",)}
+DATASET_NAMES = {"cicids": "cicids2017", "cicids_2017": "cicids2017", "cic_ids_2017": "cicids2017", "unsw": "unsw_nb15", "unsw15": "unsw_nb15", "ton": "ton_iot", "toniot": "ton_iot", "ton_lot": "ton_iot"}
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -47,23 +50,31 @@ def clean_names(names: Iterable[str]) -> list[str]:
     return [n.replace("﻿", "").strip() for n in names]
 
 
-def pick_label_col(cols: Sequence[str], dataset: str = "default") -> str:
-    by_lower = {c.lower(): c for c in cols}
-    for want in LABEL_COLUMNS.get(dataset, LABEL_COLUMNS["default"]):
+def dataset_name(name: str) -> str:
+    """A data set's usual name; unknown ones stay, lower-cased with underscores."""
+    key = name.strip().lower().replace("-", "_")
+    return DATASET_NAMES.get(key, key)
+
+
+def pick_label_col(cols: Sequence[str], dataset: str = "generic") -> str:
+    """The first preferred label column among cols, whatever its case and padding; an error if none is there."""
+    by_lower = {c.strip().lower(): c for c in cols}
+    for want in LABEL_COLUMNS.get(dataset_name(dataset), LABEL_COLUMNS["generic"]):
         if want in by_lower:
             return by_lower[want]
     raise ValueError(f"no label column among {list(cols)}")
 
 
 def binary_label(c: Column, numeric: bool) -> Column:
-    """1 for an attack: a number other than 0 (null is 0), or a word that doesn't mean benign."""
+    """1 for an anomaly: a number other than 0 (null is 0), or a word that doesn't mean benign."""
     if numeric:
         return (F.coalesce(c.cast("double"), F.lit(0.0)) != 0).cast("int")
     return (~F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))).isin(*BENIGN)).cast("int")
 
 
 def feature_columns(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema if isinstance(f.dataType, _NUMERIC) and f.name.strip().lower() not in NOT_FEATURES]
+    """Numeric columns that are neither labels, identities, times nor provenance."""
+    return [f.name for f in schema if isinstance(f.dataType, _NUMERIC) and f.name.strip().lower() not in NOT_FEATURES | OWN_COLUMNS]
 
 
 def select_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -106,7 +117,7 @@ def sanitize(token: str) -> str:
 
 
 def drop_contaminated_benign(df: DataFrame, roles: Sequence[str], role: str = "split_role", label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(df without attack rows in the given roles, per role rows_before and dropped)."""
+    """(df without anomaly rows in the given roles, per role rows_before and dropped)."""
     bad = F.col(role).isin(*roles) & (F.col(label) != 0)
     report = df.where(F.col(role).isin(*roles)).groupBy(role).agg(F.count("*").alias("rows_before"), F.count(F.when(bad, 1)).alias("dropped"))
     return df.where(~bad), report

@@ -1,21 +1,30 @@
 """Tables written to the folder that every executor shares.
 
 Lineage is cut by writing Parquet there and reading it back: a lost executor
-then costs a re-read, never a recomputation of what came before.
+then costs a re-read, never a recomputation of what came before. A table that
+nothing will read any more is discarded, so a job's disk holds its live tables only.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where the tables of materialize() stand.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset on a single machine (tests), a new local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-winaudit-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,4 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what materialize() wrote for these very frames. No frame still to be run may read them; other frames are left alone."""
+    for t in tables:
+        path = _PATHS.pop(t, None) if t is not None else None
+        if path:
+            jvm = t.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

@@ -40,13 +40,13 @@ def pr_points(points: DataFrame, group: Sequence[str] = (), score: str = "score"
 
 
 def roc_auc(points: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """(group, auc): share of (attack, benign) pairs in order, ties half; null for one class."""
+    """(group, auc): share of (anomaly, benign) pairs in order, ties half; null for one class."""
     area = F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2))
     return points.groupBy(*group).agg(F.try_divide(area, F.max("p") * F.max("n")).alias("auc"))
 
 
 def average_precision(points: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """(group, ap): sum of recall steps times precision, no interpolation; 0 without attacks."""
+    """(group, ap): sum of recall steps times precision, no interpolation; 0 without anomalies."""
     return points.groupBy(*group).agg(F.coalesce(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("p")), F.lit(0.0)).alias("ap"))
 
 

@@ -35,22 +35,24 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def fit_iforest(df: DataFrame, vector: str, ident: str, trees: int = 100, seed: int = 0, rows: int = TREE_ROWS) -> list[np.ndarray]:
-    """Trees over distinct hash samples of at most `rows` rows each: trees * rows vectors reach the driver at most."""
+def fit_iforest(df: DataFrame, vector: str, ident: str, trees: int = 100, seed: int = 0, rows: int = TREE_ROWS) -> tuple[list[np.ndarray], int]:
+    """Trees over distinct hash samples of at most `rows` rows each, and the rows a tree got: trees * rows vectors reach the driver at most."""
     drawn = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(ident, F.lit(seed)), ident).limit(trees * rows).select(vector).toArrow()[0].to_pylist()
     x = np.array(drawn, float)
     rng, out = np.random.default_rng(seed), []
+    rows = min(rows, len(x))
     for _ in range(trees if len(x) else 0):
-        some = x[rng.choice(len(x), min(rows, len(x)), replace=False)]
+        some = x[rng.choice(len(x), rows, replace=False)]
         nodes: list[tuple[int, float, int, int]] = []
         _grow(some, rng, max(1, int(np.ceil(np.log2(max(len(some), 2))))), nodes)
         out.append(np.array(nodes))
-    return out
+    return out, rows
 
 
-def iforest_score(df: DataFrame, vector: str, forest: list[np.ndarray], rows: int = TREE_ROWS, name: str = "score") -> DataFrame:
+def iforest_score(df: DataFrame, vector: str, forest: tuple[list[np.ndarray], int], name: str = "score") -> DataFrame:
     """2 ** (-mean path / expected path): higher is more anomalous."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)  # trees of at most 2 * rows nodes
+    trees, rows = forest
+    shared = df.sparkSession.sparkContext.broadcast(trees)  # trees of at most 2 * rows nodes
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -80,7 +82,7 @@ def _supervised(df: DataFrame, fit_on: DataFrame, vector: str, label: str, name:
 
 
 def rf_window_score(df: DataFrame, fit_on: DataFrame, vector: str, label: str = "label", trees: int = 100, depth: int = 20, seed: int = 0, name: str = "score") -> DataFrame:
-    """Probability of an attack by a random forest."""
+    """Probability of an anomaly by a random forest."""
     from pyspark.ml.classification import RandomForestClassifier
 
     model = RandomForestClassifier(featuresCol="__v", labelCol="__y", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__out", numTrees=trees, maxDepth=depth, seed=seed)
@@ -88,7 +90,7 @@ def rf_window_score(df: DataFrame, fit_on: DataFrame, vector: str, label: str =
 
 
 def mlp_window_score(df: DataFrame, fit_on: DataFrame, vector: str, dim: int, label: str = "label", layers: tuple[int, ...] = (256, 128, 64), steps: int = 100, seed: int = 0, name: str = "score") -> DataFrame:
-    """Probability of an attack by a multilayer perceptron."""
+    """Probability of an anomaly by a multilayer perceptron."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
     model = MultilayerPerceptronClassifier(featuresCol="__v", labelCol="__y", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__out", layers=[dim, *layers, 2], maxIter=steps, seed=seed)

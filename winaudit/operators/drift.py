@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winaudit.functions.ordering import with_position
+from winaudit.functions.ordering import with_position, with_running_sums
 from winaudit.operators import curves
 from winaudit.operators.calibrate import threshold_from_benign_fpr
 from winaudit.operators.evaluate import confusion_at_threshold
@@ -99,8 +99,13 @@ def fpr_transfer(calibration: DataFrame, benign_test: DataFrame, group: Sequence
     keys = [*group, "repeat", "fraction"]
     thresholds = parts.groupBy(*keys).agg(F.expr(f"percentile({score}, array({wanted}))").alias("t")).select(*keys, F.posexplode("t").alias("i", "threshold"))
     thresholds = thresholds.withColumn("target_fpr", F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("i") + 1))
-    seen = benign_test.select(*group, score).groupBy(*group, score).agg(F.count("*").alias("c"))
-    hit = thresholds.join(seen, list(group)).groupBy(*keys, "target_fpr").agg((F.sum(F.when(F.col(score) >= F.col("threshold"), F.col("c")).otherwise(0)) / F.sum("c")).alias("observed"))
+    # Scores below each threshold: thresholds take their places among the counted scores, before equal ones, and read the running count.
+    seen = benign_test.groupBy(*group, score).agg(F.count("*").alias("c"))
+    none = {k: F.lit(None).cast(t) for k, t in thresholds.dtypes if k in ("repeat", "fraction", "target_fpr")}
+    points = seen.select(*group, F.col(score).cast("double").alias("__s"), F.lit(1).alias("__side"), "c", *[v.alias(k) for k, v in none.items()])
+    points = points.unionByName(thresholds.select(*group, F.col("threshold").alias("__s"), F.lit(0).alias("__side"), F.lit(0).cast("long").alias("c"), *none))
+    placed = with_running_sums(points, list(group), ["__s", "__side"], {"below": "c"}, {"all": "c"})
+    hit = placed.where("__side = 0 and all > 0").withColumn("observed", 1 - F.col("below") / F.col("all"))
     out = hit.groupBy("fraction", "target_fpr").agg(F.avg("observed").alias("mean_fpr"), F.stddev_samp("observed").alias("std_fpr"), F.count("*").alias("runs"))
     bias = F.col("mean_fpr") - F.col("target_fpr")
     return out.withColumns({"bias": bias, "relative_bias": bias / F.col("target_fpr")})

@@ -89,7 +89,7 @@ def family_recall(df: DataFrame, group: Sequence[str] = (), family: str = "famil
 
 
 def family_stats(df: DataFrame, group: Sequence[str] = (), family: str = "family", score: str = "score") -> DataFrame:
-    """Support, recall and the scores' mean, quartiles and mean margin per attack family. df: prediction, threshold."""
+    """Support, recall and the scores' mean, quartiles and mean margin per anomaly family. df: prediction, threshold."""
     s = F.col(score)
     return df.where("label = 1").groupBy(*group, family).agg(
         F.count("*").alias("support"), F.avg(F.col("prediction").cast("double")).alias("recall"), F.avg(s).alias("mean_score"),
@@ -118,7 +118,7 @@ def separation_summary(df: DataFrame, group: Sequence[str], calibration: Column,
     """Mean test scores of both classes, deviations, and flags of a degenerate run. df: prediction."""
     s = F.col(score)
     out = df.groupBy(*group).agg(
-        F.avg(F.when(test & (F.col("label") == 0), s)).alias("mean_benign"), F.avg(F.when(test & (F.col("label") == 1), s)).alias("mean_attack"),
+        F.avg(F.when(test & (F.col("label") == 0), s)).alias("mean_benign"), F.avg(F.when(test & (F.col("label") == 1), s)).alias("mean_anomaly"),
         F.stddev_pop(F.when(calibration, s)).alias("std_calibration"), F.stddev_pop(F.when(test, s)).alias("std_test"),
         F.max(F.when(s.isNull() | F.isnan(s), 1).otherwise(0)).alias("__nan"), F.min(F.when(test, F.col("prediction"))).alias("__lo"), F.max(F.when(test, F.col("prediction"))).alias("__hi"),
     )

@@ -55,8 +55,8 @@ def _stacked(df: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
 
 def numeric_screen(df: DataFrame, cols: Sequence[str], most_missing: float = 0.995) -> DataFrame:
     """column, missing_ratio, keep, reason. More than one value is told by min <> max: no distinct count is shuffled."""
-    v = F.col("value")
-    per = _stacked(df, cols, "double").groupBy("column").agg(F.avg(F.when(v.isNull() | F.isnan(v), 1.0).otherwise(0.0)).alias("missing_ratio"), (F.coalesce(F.min(v) != F.max(v), F.lit(False))).alias("varies"))
+    v = F.when(~F.isnan("value"), F.col("value"))  # NaN is missing, no value
+    per = _stacked(df, cols, "double").groupBy("column").agg(F.avg(F.when(v.isNull(), 1.0).otherwise(0.0)).alias("missing_ratio"), (F.coalesce(F.min(v) != F.max(v), F.lit(False))).alias("varies"))
     reason = F.when(F.col("missing_ratio") > most_missing, "near_all_missing").when(~F.col("varies"), "constant_or_single_value").otherwise("")
     return per.select("column", "missing_ratio", (reason == "").alias("keep"), reason.alias("reason"))
 

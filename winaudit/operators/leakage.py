@@ -35,8 +35,8 @@ def entity_overlap(records: DataFrame, entities: Sequence[str], role: str = "spl
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.role_a", "p.role_b").agg(F.count("*").alias("shared"))
 
 
-def leakage_stats(records: DataFrame, fields: Sequence[str], kind: str = "attack_type", role: str = "split_role", test: str = "test", least: int = 50, hours: Column | None = None) -> DataFrame:
-    """Per (field, value): rows, attack rate, dominant type and its purity, benign-role and test rows.
+def leakage_stats(records: DataFrame, fields: Sequence[str], kind: str = "anomaly_type", role: str = "split_role", test: str = "test", least: int = 50, hours: Column | None = None) -> DataFrame:
+    """Per (field, value): rows, anomaly rate, dominant type and its purity, benign-role and test rows.
 
     Rows are counted per (field, value, type, in test) before they meet, so a value that most rows
     share is no hot key. Values with fewer than `least` rows go, but hour buckets all stay.
@@ -45,11 +45,11 @@ def leakage_stats(records: DataFrame, fields: Sequence[str], kind: str = "attack
     if hours is not None:
         pairs.append(F.struct(F.lit("hour").alias("field"), hours.cast("string").alias("value")))
     long = records.select(F.explode(F.array(*pairs)).alias("p"), F.col(kind).alias("kind"), "label", (F.col(role) == test).alias("t"))
-    small = long.groupBy("p.field", "p.value", "kind", "t").agg(F.count("*").alias("n"), F.sum("label").alias("attacks"))
-    by_kind = small.groupBy("field", "value", "kind").agg(F.sum("n").alias("n"), F.sum("attacks").alias("attacks"), F.sum(F.when(F.col("t"), F.col("n")).otherwise(0)).alias("in_test"))
-    out = by_kind.groupBy("field", "value").agg(F.sum("n").alias("rows"), F.sum("attacks").alias("a"), F.sum("in_test").alias("test_rows"), F.min(F.struct((-F.col("n")).alias("m"), "kind")).alias("d"))
+    small = long.groupBy("p.field", "p.value", "kind", "t").agg(F.count("*").alias("n"), F.sum("label").alias("anomalies"))
+    by_kind = small.groupBy("field", "value", "kind").agg(F.sum("n").alias("n"), F.sum("anomalies").alias("anomalies"), F.sum(F.when(F.col("t"), F.col("n")).otherwise(0)).alias("in_test"))
+    out = by_kind.groupBy("field", "value").agg(F.sum("n").alias("rows"), F.sum("anomalies").alias("a"), F.sum("in_test").alias("test_rows"), F.min(F.struct((-F.col("n")).alias("m"), "kind")).alias("d"))
     out = out.where((F.col("rows") >= least) | (F.col("field") == "hour"))
-    return out.select("field", "value", "rows", (F.col("a") / F.col("rows")).alias("attack_rate"), F.col("d.kind").alias("dominant_type"), (-F.col("d.m") / F.col("rows")).alias("purity"), (F.col("rows") - F.col("test_rows")).alias("benign_role_rows"), "test_rows")
+    return out.select("field", "value", "rows", (F.col("a") / F.col("rows")).alias("anomaly_rate"), F.col("d.kind").alias("dominant_type"), (-F.col("d.m") / F.col("rows")).alias("purity"), (F.col("rows") - F.col("test_rows")).alias("benign_role_rows"), "test_rows")
 
 
 def feature_inventory(df: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -60,5 +60,5 @@ def feature_inventory(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     return counts.groupBy("column", "role_group").agg(F.count("*").alias("distinct_values"), (F.sum(F.when(missing, F.col("n")).otherwise(0)) / F.sum("n")).alias("missing_ratio"))
 
 
-def attack_mix(windows: DataFrame, test: str = "test", role: str = "split_role", family: str = "family") -> DataFrame:
+def anomaly_mix(windows: DataFrame, test: str = "test", role: str = "split_role", family: str = "family") -> DataFrame:
     return windows.where(F.col(role) == test).groupBy(family).agg(F.count("*").alias("windows"))

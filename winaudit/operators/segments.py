@@ -1,4 +1,4 @@
-"""Runs of consecutive attack windows and the delay until the first alarm."""
+"""Runs of consecutive anomaly windows and the delay until the first alarm."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from winaudit.functions.ordering import with_position, with_running_sums
 
 
-def attack_segments(df: DataFrame, file: Sequence[str], order: str, score: str = "score", large: bool = False) -> DataFrame:
+def anomaly_segments(df: DataFrame, file: Sequence[str], order: str, score: str = "score", large: bool = False) -> DataFrame:
     """One row per run of label 1 in a file, by window order. df: label, prediction, family, window_id.
 
     A run begins where the window before is benign or missing; its number is a running count of beginnings.

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winaudit.functions.ordering import with_position
+from winaudit.functions.ranges import meeting_ranges
 
 TRAIN, REFERENCE, CALIBRATION, TEST = "model_train_benign", "reference_benign", "independent_calibration_benign", "test"
 
 
 def split_by_ts_ranges(df: DataFrame, ranges: DataFrame, ts: str = "ts_s") -> DataFrame:
-    """A row for every closed [lo, hi] of ranges (split_role, lo, hi; the split's definition, a handful of rows) that holds its ts."""
-    return df.join(F.broadcast(ranges.limit(1000)), F.col(ts).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    """A row for every closed [lo, hi] of ranges (split_role, lo, hi), however many, that holds its ts; none for a null ts."""
+    return meeting_ranges(df, ranges, ts, ts).drop("lo", "hi")
 
 
 def stable_order(df: DataFrame, keys: Sequence[str] = ("ts_s", "file_order", "row_index")) -> DataFrame:
@@ -35,31 +36,42 @@ def split_benign_calibration(df: DataFrame, ratio: float, order: Sequence[str],
     return placed.withColumn("split_role", F.when(F.col("benign_pos") < train, TRAIN).otherwise(CALIBRATION)).drop("__n")
 
 
-def split_chrono(df: DataFrame, train: float, calibration: float, window: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """Cut each group's rows in order at int(n * share), each part leaving room for a window. Adds pos and split_role.
+def _refused(why: str, strict: bool) -> Column:
+    """The role of rows in a group too short to cut: an error, or null."""
+    return F.raise_error(F.lit(why)).cast("string") if strict else F.lit(None).cast("string")
 
-    Groups shorter than three windows get the role null.
+
+def split_chrono(df: DataFrame, train: float, calibration: float, window: int, order: Sequence[str], group: Sequence[str] = (), strict: bool = True) -> DataFrame:
+    """Cut each group's rows in order at int(n * share), train and test leaving room for a window. Adds pos and split_role.
+
+    Where nothing is left for calibration, groups of up to two windows and a short train part, running the
+    plan raises an error; with strict off their rows get the role null.
     """
     placed = with_position(df, list(group), list(order), "pos", count="__n")
     n, w = F.col("__n"), window
     first = F.greatest(F.floor(n * F.lit(train)), F.lit(w))
     second = F.least(F.greatest(F.floor(n * F.lit(train + calibration)), first + w), n - w)
-    role = F.when(n < 3 * w, F.lit(None).cast("string")).when(F.col("pos") < first, TRAIN).when(F.col("pos") < second, CALIBRATION).otherwise(TEST)
+    short = second <= first
+    role = F.when(short, _refused("too few rows for train, calibration and test", strict)).when(F.col("pos") < first, TRAIN).when(F.col("pos") < second, CALIBRATION).otherwise(TEST)
     return placed.withColumn("split_role", role).drop("__n")
 
 
-def split_benign_attack(benign: DataFrame, attack: DataFrame, window: int, order: Sequence[str], train: float = 0.6, calibration: float = 0.2) -> DataFrame:
-    """Benign rows are cut in order, the attack rows all join the last part."""
-    cut = split_chrono(benign, train, calibration, window, order)
-    return cut.unionByName(attack.withColumns({"split_role": F.lit(TEST), "pos": F.lit(None).cast("long")}).select(*cut.columns))
+def split_benign_anomaly(benign: DataFrame, anomaly: DataFrame, window: int, order: Sequence[str], train: float = 0.6, calibration: float = 0.2, strict: bool = True) -> DataFrame:
+    """Benign rows are cut in order, the anomaly rows all join the last part."""
+    cut = split_chrono(benign, train, calibration, window, order, strict=strict)
+    return cut.unionByName(anomaly.withColumns({"split_role": F.lit(TEST), "pos": F.lit(None).cast("long")}).select(*cut.columns))
 
 
-def split_mixed(df: DataFrame, share: float, window: int, order: Sequence[str], file: str = "source_file") -> DataFrame:
-    """Each file is cut at clamp(int(n * share), W, n - W): first part train, rest test. Files shorter than two windows get null."""
+def split_mixed(df: DataFrame, share: float, window: int, order: Sequence[str], file: str = "source_file", strict: bool = True) -> DataFrame:
+    """Each file is cut at min(max(int(n * share), W), n - W): first part train, rest test.
+
+    A file of no more than W rows has no cut: running the plan raises an error; with strict off its rows get the role null.
+    """
     placed = with_position(df, [file], list(order), "pos", count="__n")
     n = F.col("__n")
-    cut = _clamp(F.floor(n * F.lit(share)), window, n - window)
-    role = F.when(n < 2 * window, F.lit(None).cast("string")).when(F.col("pos") < cut, TRAIN).otherwise(TEST)
+    cut = F.least(F.greatest(F.floor(n * F.lit(share)), F.lit(window)), n - window)
+    short = cut <= 0
+    role = F.when(short, _refused("a file is too short for train and test", strict)).when(F.col("pos") < cut, TRAIN).otherwise(TEST)
     return placed.withColumn("split_role", role).drop("__n")
 
 
@@ -69,7 +81,7 @@ def draw_key(id_col: str, seed: int) -> Column:
 
 
 def split_random_benign(windows: DataFrame, share: float, seed: int, id_col: str, label: str = "label") -> DataFrame:
-    """int(n * share) benign windows drawn by draw_key join all attack windows in the test part."""
+    """int(n * share) benign windows drawn by draw_key join all anomaly windows in the test part."""
     benign = windows.where(F.col(label) == 0).withColumn("__key", draw_key(id_col, seed))
     placed = with_position(benign, [], ["__key", id_col], "__at", count="__n")
     role = F.when(F.col("__at") < F.floor(F.col("__n") * F.lit(share)), TEST).otherwise(TRAIN)
@@ -86,7 +98,7 @@ def subset_prefix(windows: DataFrame, most: int, order: Sequence[str]) -> DataFr
 
 
 def subset_balanced(windows: DataFrame, most: int, order: Sequence[str], label: str = "label") -> DataFrame:
-    """Half benign, half attack windows, the first of each; if one runs short the other fills up."""
+    """Half benign, half anomaly windows, the first of each; if one runs short the other fills up."""
     placed = with_position(windows, [label], list(order), "__at", count="__n")
     half = most // 2
     counts = F.col("__n")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Two-sided 95 % quantiles of Student's t by degrees of freedom; beyond them 1.96.
-T95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228}
+T95 = {
+    1: 12.706204736432095, 2: 4.302652729696142, 3: 3.182446305284263, 4: 2.7764451051977987, 5: 2.5705818366147395, 6: 2.4469118511449692, 7: 2.3646242515927844, 8: 2.306004135204166, 9: 2.2621571628540993,
+}
 
 
 def _long(runs: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -49,19 +51,27 @@ def paired_stats(deltas: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return per.withColumns({"ci_low": F.col("mean") - 1.96 * error, "ci_high": F.col("mean") + 1.96 * error, "t_statistic": F.try_divide(F.col("mean"), error)})
 
 
-def model_recommendation(stats: DataFrame, families: DataFrame, first: str, second: str, model: str = "model") -> DataFrame:
-    """One row. second: its mean F1 and AUC gains are positive, it wins most seeds, and no family loses more than 0.1 recall.
-    first: its F1 gain is negative and it wins most seeds. Otherwise: none is recommended alone.
+def model_recommendation(deltas: DataFrame, families: DataFrame, first: str, second: str, failures: Column | None = None, model: str = "model") -> DataFrame:
+    """One row: A (second is better), B (no clear difference) or C (it depends on the family), with the gains and wins it follows from.
+
+    deltas: delta_f1 and delta_auc, one row a seed. families: model, family, recall; and `failures`, a count over
+    its rows of second's failed runs (none if not given). A: no failure, both mean gains above 0.01 and wins in all seeds but
+    one at most. Else B: both gains within 0.01. Else C: a family gains more than 0.05 recall and another
+    loses more. Else A if both gains are positive, B if not.
     """
-    s = stats.groupBy().agg(
-        F.max(F.when(F.col("metric") == "delta_f1", F.col("mean"))).alias("f1"), F.max(F.when(F.col("metric") == "delta_auc", F.col("mean"))).alias("auc"),
-        F.max(F.when(F.col("metric") == "delta_f1", F.col("wins"))).alias("wins"), F.max("n").alias("n"),
+    s = deltas.agg(
+        F.avg("delta_f1").alias("f1_gain"), F.avg("delta_auc").alias("auc_gain"), F.count(F.when(F.col("delta_f1") > 0, 1)).alias("f1_wins"), F.count(F.when(F.col("delta_auc") > 0, 1)).alias("auc_wins"), F.count("*").alias("pairs"),
     )
-    wide = families.groupBy("family").pivot(model, [first, second]).agg(F.avg("recall"))
-    worst = wide.agg(F.min(F.col(f"`{second}`") - F.col(f"`{first}`")).alias("worst")).first().worst
-    ok = (F.col("f1") > 0) & (F.col("auc") > 0) & (F.col("wins") * 2 > F.col("n")) & (F.coalesce(F.lit(worst).cast("double"), F.lit(0.0)) >= -0.1)
-    choice = F.when(ok, F.lit(second)).when((F.col("f1") < 0) & (F.col("wins") * 2 < F.col("n")), F.lit(first)).otherwise(F.lit("report both"))
-    return s.select(choice.alias("recommended"), F.col("f1").alias("f1_gain"), F.col("auc").alias("auc_gain"), "wins")
+    means = lambda m: F.avg(F.when(F.col(model) == m, F.col("recall")))
+    per = families.groupBy("family").agg((means(second) - means(first)).alias("gain"))
+    f = per.agg(F.coalesce(F.max("gain") > 0.05, F.lit(False)).alias("some_gain"), F.coalesce(F.min("gain") < -0.05, F.lit(False)).alias("some_lose"))
+    failed = families.agg(F.coalesce(F.sum(failures), F.lit(0)).alias("failures")) if failures is not None else families.agg(F.lit(0).alias("failures"))
+    both = s.join(f).join(failed)  # three rows of one
+    enough = F.greatest(F.greatest("pairs", F.lit(1)) - 1, F.lit(1))
+    clear = (F.col("failures") == 0) & (F.col("auc_gain") > 0.01) & (F.col("f1_gain") > 0.01) & (F.col("f1_wins") >= enough) & (F.col("auc_wins") >= enough)
+    close = (F.abs("auc_gain") <= 0.01) & (F.abs("f1_gain") <= 0.01)
+    choice = F.when(clear, "A").when(close, "B").when(F.col("some_gain") & F.col("some_lose"), "C").when((F.col("f1_gain") > 0) & (F.col("auc_gain") > 0), "A").otherwise("B")
+    return both.select(choice.alias("recommended"), "f1_gain", "auc_gain", "f1_wins", "auc_wins", "pairs")
 
 
 def upsert_results(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("dataset", "method", "target_fpr")) -> DataFrame:

@@ -48,10 +48,10 @@ def sliding_windows(df: DataFrame, segment: Sequence[str], window: int, stride:
     return out.select(*segment, "w", start.alias("start_pos"), (start + window - 1).alias("end_pos"), *sums, *mins, *maxs)
 
 
-def with_label(windows: DataFrame, window: int, ratio: float, attacks: str = "n_attack") -> DataFrame:
-    """attack_ratio = attacks / window; label 1 where it is at least `ratio`."""
-    share = F.col(attacks) / F.lit(float(window))
-    return windows.withColumns({"attack_ratio": share, "label": (share >= F.lit(ratio)).cast("int")})
+def with_label(windows: DataFrame, window: int, ratio: float, anomalies: str = "n_anomaly") -> DataFrame:
+    """anomaly_ratio = anomalies / window; label 1 where it is at least `ratio`."""
+    share = F.col(anomalies) / F.lit(float(window))
+    return windows.withColumns({"anomaly_ratio": share, "label": (share >= F.lit(ratio)).cast("int")})
 
 
 def benign_windows_only(windows: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def value_counts(df: DataFrame, segment: Sequence[str], window: int, stride: int
     return _spread(blocks, window, stride, g).groupBy(*segment, "w", value).agg(F.sum("n").alias("n"))
 
 
-def dominant_family(df: DataFrame, segment: Sequence[str], window: int, stride: int, family: str = "attack_type") -> DataFrame:
+def dominant_family(df: DataFrame, segment: Sequence[str], window: int, stride: int, family: str = "anomaly_type") -> DataFrame:
     """(segment, w, family): the most frequent family other than BENIGN; a tie goes to the smallest name. Windows without one are left out."""
     counts = value_counts(df.where(F.col(family) != "BENIGN"), segment, window, stride, family)
     best = counts.groupBy(*segment, "w").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(family).alias("family"))).alias("b"))
@@ -100,15 +100,15 @@ def numbered(df: DataFrame, role: str, roles: Sequence[str], order: Sequence[str
 
 
 def window_manifest(df: DataFrame, window: int, stride: int, ratio: float, roles: Sequence[str], segment: Sequence[str] = ("split_role", "source_file"), test: str = "test") -> DataFrame:
-    """df: segment, pos, seg_rows, row_index, label, attack_type, ts_s. Outside the test role label, family and ratio are benign by definition."""
+    """df: segment, pos, seg_rows, row_index, label, anomaly_type, ts_s. Outside the test role label, family and ratio are benign by definition."""
     row = F.struct("pos", "row_index", "ts_s")
-    wins = sliding_windows(df, segment, window, stride, {"n_attack": F.col("label")}, {"__first": row}, {"__last": row})
+    wins = sliding_windows(df, segment, window, stride, {"n_anomaly": F.col("label")}, {"__first": row}, {"__last": row})
     wins = with_label(wins, window, ratio).join(dominant_family(df, segment, window, stride), [*segment, "w"], "left")
     is_test = F.col("split_role") == test
     wins = wins.select(
         *segment, "w", "start_pos", "end_pos", F.col("__first.row_index").alias("start_row"), F.col("__last.row_index").alias("end_row"), F.col("__first.ts_s").alias("start_ts"), F.col("__last.ts_s").alias("end_ts"),
-        F.when(is_test, F.col("label")).otherwise(0).alias("label"), F.when(is_test & (F.col("label") == 1), F.coalesce("family", F.lit("BENIGN"))).otherwise(F.lit("BENIGN")).alias("attack_family"),
-        F.when(is_test, F.col("attack_ratio")).otherwise(0.0).alias("attack_ratio"), ((F.col("n_attack") > 0) & (F.col("n_attack") < window)).alias("mixed_label_window"),
+        F.when(is_test, F.col("label")).otherwise(0).alias("label"), F.when(is_test & (F.col("label") == 1), F.coalesce("family", F.lit("BENIGN"))).otherwise(F.lit("BENIGN")).alias("anomaly_family"),
+        F.when(is_test, F.col("anomaly_ratio")).otherwise(0.0).alias("anomaly_ratio"), ((F.col("n_anomaly") > 0) & (F.col("n_anomaly") < window)).alias("mixed_label_window"),
     )
     wins = wins.withColumns({"start_line": F.col("start_row") + 2, "end_line": F.col("end_row") + 2, "benign_flag": F.col("label") == 0})
     wins = wins.withColumn("source_rows", F.concat(F.col("source_file"), F.lit(":"), F.col("start_row").cast("string"), F.lit("-"), F.col("end_row").cast("string")))
@@ -129,9 +129,9 @@ def window_features(df: DataFrame, segment: Sequence[str], window: int, stride:
 
 
 def window_size_sweep(df: DataFrame, segment: Sequence[str], sizes: Sequence[int], stride: int, ratio: float) -> DataFrame:
-    """Per window size and role-like segment: windows and attack windows."""
+    """Per window size and role-like segment: windows and anomaly windows."""
     out = None
     for size in sizes:
-        one = with_label(sliding_windows(df, segment, size, stride, {"n_attack": F.col("label")}), size, ratio).withColumn("window_size", F.lit(size))
+        one = with_label(sliding_windows(df, segment, size, stride, {"n_anomaly": F.col("label")}), size, ratio).withColumn("window_size", F.lit(size))
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("window_size", segment[0]).agg(F.count("*").alias("windows"), F.sum("label").alias("attack_windows"))
+    return out.groupBy("window_size", segment[0]).agg(F.count("*").alias("windows"), F.sum("label").alias("anomaly_windows"))

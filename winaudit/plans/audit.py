@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,15 +103,20 @@ def binary_label(spark, sf_dir):
     return c.select("c_custkey", clean.binary_label(F.col("c_mktsegment"), False).alias("by_word"), clean.binary_label(F.col("c_nationkey"), True).alias("by_number"))
 
 
-@query("pick_label_col", "select quality as label, count(*) as n from labels group by 1")
+@query("pick_label_col", "select dataset, label, count(*) as n from (select 'generic' as dataset, toxic as label from labels union all select 'swat', toxic from labels union all select 'ton', quality from labels) group by all")
 def pick_label(spark, sf_dir):
-    df = table(spark, sf_dir, "labels").withColumnRenamed("quality", " Label".strip())
-    return df.groupBy(F.col(clean.pick_label_col(df.columns)).alias("label")).agg(F.count("*").alias("n"))
+    """The label column by each data set's preference: label1 (padded) before type, but the third knows no label1."""
+    df = table(spark, sf_dir, "labels").toDF(*[{"quality": "Type", "toxic": " LABEL1 "}.get(c, c) for c in table(spark, sf_dir, "labels").columns])
+    picked = [df.select(F.lit(d).alias("dataset"), F.col(clean.pick_label_col(df.columns, d)).alias("label")) for d in ("generic", "swat", "ton")]
+    return reduce(DataFrame.unionAll, picked).groupBy("dataset", "label").agg(F.count("*").alias("n"))
 
 
-@query("select_features", "select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax from lineitem")
+@query("select_features", "select l_orderkey, l_suppkey, l_quantity, l_extendedprice, l_discount from lineitem")
 def select_features(spark, sf_dir):
-    return clean.select_features(table(spark, sf_dir, "lineitem"))
+    """Numeric columns of lineitem, of which three carry names of labels and identities."""
+    names = {"l_partkey": "Label2", "l_linenumber": " device_mac", "l_tax": "Timestamp_End"}
+    li = table(spark, sf_dir, "lineitem")
+    return clean.select_features(li.toDF(*[names.get(c, c) for c in li.columns]))
 
 
 @query("common_features", "select value, source from (select value, 0 as source from events union all select value, 1 from events where event_type = 'error')")
@@ -215,18 +221,18 @@ def one_hot(spark, sf_dir):
     return features.one_hot(li, features.fit_vocab(li.where(_LTRAIN), ["l_returnflag"])).drop("l_returnflag")
 
 
-@query("encode_codes", f"with {views.RAW} select attack_type, attack_type_code, count(*) as n from raw join (select attack_type, row_number() over (order by attack_type) - 1 as attack_type_code from (select distinct attack_type from raw union select 'BENIGN')) using (attack_type) group by all")
+@query("encode_codes", f"with {views.RAW} select anomaly_type, anomaly_type_code, count(*) as n from raw join (select anomaly_type, row_number() over (order by anomaly_type) - 1 as anomaly_type_code from (select distinct anomaly_type from raw union select 'BENIGN')) using (anomaly_type) group by all")
 def encode_codes(spark, sf_dir):
-    return features.encode_codes(raw_records(spark, sf_dir), "attack_type").groupBy("attack_type", "attack_type_code").agg(F.count("*").alias("n"))
+    return features.encode_codes(raw_records(spark, sf_dir), "anomaly_type").groupBy("anomaly_type", "anomaly_type_code").agg(F.count("*").alias("n"))
 
 
 # ---- splits
 
 
-@query("split_by_ts_ranges", f"with {views.RAW}, rg(role, lo, hi) as (values {_RANGES_SQL}) select role as split_role, count(*) as n, sum(label) as attacks from raw join rg on ts_s between lo and hi group by 1")
+@query("split_by_ts_ranges", f"with {views.RAW}, rg(role, lo, hi) as (values {_RANGES_SQL}) select role as split_role, count(*) as n, sum(label) as anomalies from raw join rg on ts_s between lo and hi group by 1")
 def by_ranges(spark, sf_dir):
     ranges = spark.createDataFrame(RANGES, "split_role string, lo long, hi long")
-    return splits.split_by_ts_ranges(raw_records(spark, sf_dir).drop("split_role"), ranges).groupBy("split_role").agg(F.count("*").alias("n"), F.sum("label").alias("attacks"))
+    return splits.split_by_ts_ranges(raw_records(spark, sf_dir).drop("split_role"), ranges).groupBy("split_role").agg(F.count("*").alias("n"), F.sum("label").alias("anomalies"))
 
 
 @query("stable_order", f"with {views.RAW} select event_id, row_number() over (order by ts_s, source_file, row_index) - 1 as order_pos from raw")
@@ -239,10 +245,15 @@ def benign_calibration(spark, sf_dir):
     return splits.split_benign_calibration(raw_records(spark, sf_dir), 0.2, ["source_file", "row_index"]).select("event_id", "benign_pos", "split_role")
 
 
-@query("split_windows_calibration", f"with {views.WIN}, b as (select window_id, row_number() over (order by window_id) - 1 as p, count(*) over () as n from named where label = 0) select window_id, case when p < n - greatest(1, least(cast(floor(n * 0.25e0) as bigint), n - 1)) then '{TRAIN}' else '{CAL}' end as new_role from b")
+@query("split_windows_calibration", f"with {views.WIN}, b as (select window_id, row_number() over (order by n_all) - 1 as p, count(*) over () as n from named where label = 0) select window_id, case when p < n - greatest(1, least(cast(floor(n * 0.25e0) as bigint), n - 1)) then '{TRAIN}' else '{CAL}' end as new_role from b")
 def windows_calibration(spark, sf_dir):
-    w = base_windows(spark, sf_dir)
-    return splits.split_benign_calibration(w.drop("split_role"), 0.25, ["window_id"]).select("window_id", F.col("split_role").alias("new_role"))
+    w = base_windows(spark, sf_dir).withColumn("role_rank", role_rank())
+    return splits.split_benign_calibration(w.drop("split_role"), 0.25, ["role_rank", "window_index"]).select("window_id", F.col("split_role").alias("new_role"))
+
+
+def role_rank() -> Column:
+    """Places of the roles in order; with window_index they order windows, however many digits the ids have."""
+    return F.array_position(F.array(*[F.lit(x) for x in ROLES]), F.col("split_role"))
 
 
 def base_windows(spark, sf_dir) -> DataFrame:
@@ -251,23 +262,23 @@ def base_windows(spark, sf_dir) -> DataFrame:
     return windows.numbered(views.window_means(rec), "split_role", ROLES, ["source_file", "w"], "window")
 
 
-_CHRONO = "case when n < 48 then null when p < greatest(floor(n * 0.5e0), 16) then '{a}' when p < least(greatest(floor(n * 0.75e0), greatest(floor(n * 0.5e0), 16) + 16), n - 16) then '{b}' else '{c}' end".format(a=TRAIN, b=CAL, c=TEST)
+_CHRONO = "case when least(greatest(floor(n * 0.75e0), greatest(floor(n * 0.5e0), 16) + 16), n - 16) <= greatest(floor(n * 0.5e0), 16) then null when p < greatest(floor(n * 0.5e0), 16) then '{a}' when p < least(greatest(floor(n * 0.75e0), greatest(floor(n * 0.5e0), 16) + 16), n - 16) then '{b}' else '{c}' end".format(a=TRAIN, b=CAL, c=TEST)
 
 
 @query("split_chrono", f"with {views.RAW}, o as (select *, row_number() over (partition by source_file order by row_index) - 1 as p, count(*) over (partition by source_file) as n from raw) select event_id, p as pos, {_CHRONO} as split_role from o")
 def chrono(spark, sf_dir):
-    return splits.split_chrono(raw_records(spark, sf_dir).drop("split_role"), 0.5, 0.25, W, ["row_index"], ["source_file"]).select("event_id", "pos", "split_role")
+    return splits.split_chrono(raw_records(spark, sf_dir).drop("split_role"), 0.5, 0.25, W, ["row_index"], ["source_file"], strict=False).select("event_id", "pos", "split_role")
 
 
-@query("split_benign_attack", f"with {views.RAW}, o as (select event_id, row_number() over (order by source_file, row_index) - 1 as p, count(*) over () as n from raw where label = 0) select event_id, case when n < 48 then null when p < greatest(floor(n * 0.6e0), 16) then '{TRAIN}' when p < least(greatest(floor(n * 0.8e0), greatest(floor(n * 0.6e0), 16) + 16), n - 16) then '{CAL}' else '{TEST}' end as split_role from o union all select event_id, '{TEST}' from raw where label = 1")
-def benign_attack(spark, sf_dir):
+@query("split_benign_anomaly", f"with {views.RAW}, o as (select event_id, row_number() over (order by source_file, row_index) - 1 as p, count(*) over () as n from raw where label = 0) select event_id, case when n < 48 then null when p < greatest(floor(n * 0.6e0), 16) then '{TRAIN}' when p < least(greatest(floor(n * 0.8e0), greatest(floor(n * 0.6e0), 16) + 16), n - 16) then '{CAL}' else '{TEST}' end as split_role from o union all select event_id, '{TEST}' from raw where label = 1")
+def benign_anomaly(spark, sf_dir):
     raw = materialize(raw_records(spark, sf_dir).drop("split_role"), "raw")
-    return splits.split_benign_attack(raw.where("label = 0"), raw.where("label = 1"), W, ["source_file", "row_index"]).select("event_id", "split_role")
+    return splits.split_benign_anomaly(raw.where("label = 0"), raw.where("label = 1"), W, ["source_file", "row_index"], strict=False).select("event_id", "split_role")
 
 
-@query("split_mixed", f"with {views.RAW}, o as (select *, count(*) over (partition by source_file) as n from raw) select event_id, case when n < 32 then null when row_index < greatest(16, least(floor(n * 0.7e0), n - 16)) then '{TRAIN}' else '{TEST}' end as split_role from o")
+@query("split_mixed", f"with {views.RAW}, o as (select *, count(*) over (partition by source_file) as n from raw) select event_id, case when least(greatest(floor(n * 0.7e0), 16), n - 16) <= 0 then null when row_index < least(greatest(floor(n * 0.7e0), 16), n - 16) then '{TRAIN}' else '{TEST}' end as split_role from o")
 def mixed(spark, sf_dir):
-    return splits.split_mixed(raw_records(spark, sf_dir).drop("split_role"), 0.7, W, ["row_index"]).select("event_id", "split_role")
+    return splits.split_mixed(raw_records(spark, sf_dir).drop("split_role"), 0.7, W, ["row_index"], strict=False).select("event_id", "split_role")
 
 
 _KEY = "((({0} % 2147483648) * 2654435761 + {1}) % 4294967296)"
@@ -284,27 +295,28 @@ def sample_rows(spark, sf_dir):
     return splits.sample_rows(table(spark, sf_dir, "events"), 500, 7, "event_id").select("event_id", "value")
 
 
-@query("subset_prefix", f"with {views.WIN} select window_id, label from named order by window_id limit 100")
+@query("subset_prefix", f"with {views.WIN} select window_id, label from named order by n_all limit 100")
 def subset_prefix(spark, sf_dir):
-    return splits.subset_prefix(base_windows(spark, sf_dir), 100, ["window_id"]).select("window_id", "label")
+    return splits.subset_prefix(base_windows(spark, sf_dir).withColumn("role_rank", role_rank()), 100, ["role_rank", "window_index"]).select("window_id", "label")
 
 
-@query("subset_balanced", f"with {views.WIN}, o as (select window_id, label, row_number() over (partition by label order by window_id) as p from named), c as (select count(*) filter (label = 0) as n0, count(*) filter (label = 1) as n1 from named), t as (select least(n0, 60) + greatest(0, least(n0 - 60, 120 - 60 - n1)) as z, least(n1, 120 - least(n0, 60)) as o1 from c) select window_id, label from o, t where p <= case when label = 0 then z else o1 end")
+@query("subset_balanced", f"with {views.WIN}, o as (select window_id, label, row_number() over (partition by label order by n_all) as p from named), c as (select count(*) filter (label = 0) as n0, count(*) filter (label = 1) as n1 from named), t as (select least(n0, 60) + greatest(0, least(n0 - 60, 120 - 60 - n1)) as z, least(n1, 120 - least(n0, 60)) as o1 from c) select window_id, label from o, t where p <= case when label = 0 then z else o1 end")
 def subset_balanced(spark, sf_dir):
-    return splits.subset_balanced(materialize(base_windows(spark, sf_dir), "w"), 120, ["window_id"]).select("window_id", "label")
+    w = materialize(base_windows(spark, sf_dir).withColumn("role_rank", role_rank()), "w")
+    return splits.subset_balanced(w, 120, ["role_rank", "window_index"]).select("window_id", "label")
 
 
 # ---- windows
 
 
 def _sizes(window: int, stride: int) -> str:
-    return f"with {views.REC}, h as (select *, {views.spread(window, stride)} as w from rec) select split_role, source_file, w, w * {stride} as start_pos, w * {stride} + {window - 1} as end_pos, round(sum(value), {R}) as total, sum(label) as n_attack, sum(label) / {window}.0 as attack_ratio, case when sum(label) / {window}.0 >= {RATIO} then 1 else 0 end as label from h group by all"
+    return f"with {views.REC}, h as (select *, {views.spread(window, stride)} as w from rec) select split_role, source_file, w, w * {stride} as start_pos, w * {stride} + {window - 1} as end_pos, round(sum(value), {R}) as total, sum(label) as n_anomaly, sum(label) / {window}.0 as anomaly_ratio, case when sum(label) / {window}.0 >= {RATIO} then 1 else 0 end as label from h group by all"
 
 
 def _windows(window: int, stride: int):
     def run(spark, sf_dir):
         rec = records(spark, sf_dir)
-        win = windows.sliding_windows(rec, SEGMENT, window, stride, {"total": F.col("value"), "n_attack": F.col("label")})
+        win = windows.sliding_windows(rec, SEGMENT, window, stride, {"total": F.col("value"), "n_anomaly": F.col("label")})
         return rounded(windows.with_label(win, window, RATIO), "total")
 
     return run
@@ -320,13 +332,13 @@ def benign_only(spark, sf_dir):
 
 
 @query("window_manifest", f"""with {views.WIN} select window_id, window_index, split_role, source_file, start_pos, end_pos, start_row, end_row, start_row + 2 as start_line, end_row + 2 as end_line,
-  case when split_role = '{TEST}' then label else 0 end as label, case when split_role = '{TEST}' then family else 'BENIGN' end as attack_family, case when split_role = '{TEST}' then attack_ratio else 0 end as attack_ratio, n_attack > 0 and n_attack < {W} as mixed_label_window from named""")
+  case when split_role = '{TEST}' then label else 0 end as label, case when split_role = '{TEST}' then family else 'BENIGN' end as anomaly_family, case when split_role = '{TEST}' then anomaly_ratio else 0 end as anomaly_ratio, n_anomaly > 0 and n_anomaly < {W} as mixed_label_window from named""")
 def window_manifest(spark, sf_dir):
     m = windows.window_manifest(records(spark, sf_dir), W, STRIDE, RATIO, ROLES)
-    return m.select("window_id", "window_index", "split_role", "source_file", "start_pos", "end_pos", "start_row", "end_row", "start_line", "end_line", "label", "attack_family", "attack_ratio", "mixed_label_window")
+    return m.select("window_id", "window_index", "split_role", "source_file", "start_pos", "end_pos", "start_row", "end_row", "start_line", "end_line", "label", "anomaly_family", "anomaly_ratio", "mixed_label_window")
 
 
-@query("window_ts_bounds", f"with {views.WIN} select window_id, start_ts, end_ts, source_file || ':' || start_row || '-' || end_row as source_rows, n_attack > 0 and n_attack < {W} as mixed_label_window from named")
+@query("window_ts_bounds", f"with {views.WIN} select window_id, start_ts, end_ts, source_file || ':' || start_row || '-' || end_row as source_rows, n_anomaly > 0 and n_anomaly < {W} as mixed_label_window from named")
 def window_ts_bounds(spark, sf_dir):
     return windows.window_manifest(records(spark, sf_dir), W, STRIDE, RATIO, ROLES).select("window_id", "start_ts", "end_ts", "source_rows", "mixed_label_window")
 
@@ -362,7 +374,7 @@ def window_features(spark, sf_dir):
     return f.select(*SEGMENT, "w", F.size("features").alias("dims"), total(at).alias("weighted"), total(ks).alias("total_k"))
 
 
-@query("window_size_sweep", f"with {views.REC}, " + ", ".join(f"h{n} as (select {n} as window_size, split_role, source_file, {views.spread(n, STRIDE)} as w, label from rec), g{n} as (select window_size, split_role, source_file, w, case when sum(label) / {n}.0 >= {RATIO} then 1 else 0 end as l from h{n} group by all)" for n in (8, 16, 32)) + " select window_size, split_role, count(*) as windows, sum(l) as attack_windows from (select * from g8 union all select * from g16 union all select * from g32) group by all")
+@query("window_size_sweep", f"with {views.REC}, " + ", ".join(f"h{n} as (select {n} as window_size, split_role, source_file, {views.spread(n, STRIDE)} as w, label from rec), g{n} as (select window_size, split_role, source_file, w, case when sum(label) / {n}.0 >= {RATIO} then 1 else 0 end as l from h{n} group by all)" for n in (8, 16, 32)) + " select window_size, split_role, count(*) as windows, sum(l) as anomaly_windows from (select * from g8 union all select * from g16 union all select * from g32) group by all")
 def size_sweep(spark, sf_dir):
     return windows.window_size_sweep(materialize(records(spark, sf_dir), "records"), SEGMENT, [8, 16, 32], STRIDE, RATIO)
 
@@ -639,9 +651,9 @@ def class_stats(spark, sf_dir):
 
 
 @query("separation_summary", f"""with {views.SCORES}, s as (select run_id, avg(score) filter (split_role = '{TEST}' and label = 0) as mb, avg(score) filter (split_role = '{TEST}' and label = 1) as ma, stddev_pop(score) filter (split_role = '{CAL}') as sc, stddev_pop(score) filter (split_role = '{TEST}') as st,
-min(prediction) filter (split_role = '{TEST}') = max(prediction) filter (split_role = '{TEST}') as op from scores group by 1) select run_id, {r('mb as mean_benign', 'ma as mean_attack', 'sc as std_calibration', 'st as std_test')}, false as has_nan, op as one_prediction, st < 1e-8 as flat_scores, op or st < 1e-8 as degenerate from s""")
+min(prediction) filter (split_role = '{TEST}') = max(prediction) filter (split_role = '{TEST}') as op from scores group by 1) select run_id, {r('mb as mean_benign', 'ma as mean_anomaly', 'sc as std_calibration', 'st as std_test')}, false as has_nan, op as one_prediction, st < 1e-8 as flat_scores, op or st < 1e-8 as degenerate from s""")
 def separation(spark, sf_dir):
-    return rounded(evaluate.separation_summary(scores(spark, sf_dir), ["run_id"], is_role(CAL), is_role(TEST)), "mean_benign", "mean_attack", "std_calibration", "std_test")
+    return rounded(evaluate.separation_summary(scores(spark, sf_dir), ["run_id"], is_role(CAL), is_role(TEST)), "mean_benign", "mean_anomaly", "std_calibration", "std_test")
 
 
 @query("fusion_consistency", f"with {views.SCORES} select run_id, split_role, {r('max(abs(alpha * sd + (1 - alpha) * sf - score)) as max_abs_diff')} from scores group by all")
@@ -687,17 +699,17 @@ rn as (select *, sum(b) over (partition by run_id, source_file order by w) as se
 seg as (select run_id, source_file, segment, arg_min(family, at_) as family, arg_min(window_id, at_) as start_window_id, arg_max(window_id, at_) as end_window_id, count(*) as length, max(prediction) as detected, min(case when prediction = 1 then at_ end) - min(at_) as delay, max(score) as max_score, avg(score) as mean_score from rn where label = 1 group by all)"""
 
 
-for _name, _large in (("attack_segments", False), ("attack_segments_large", True)):
+for _name, _large in (("anomaly_segments", False), ("anomaly_segments_large", True)):
 
     def _segments(spark, sf_dir, large=_large):
-        return rounded(segments.attack_segments(test_scores(spark, sf_dir), ["run_id", "source_file"], "w", large=large), "max_score", "mean_score")
+        return rounded(segments.anomaly_segments(test_scores(spark, sf_dir), ["run_id", "source_file"], "w", large=large), "max_score", "mean_score")
 
     query(_name, f"with {views.SCORES}, {_SEG} select run_id, source_file, segment, family, start_window_id, end_window_id, length, detected, delay, {r('max_score as max_score', 'mean_score as mean_score')} from seg")(_segments)
 
 
 @query("delay_summary", f"with {views.SCORES}, {_SEG} select run_id, count(*) as segments, sum(detected) as detected, {r('avg(detected) as detection_rate', 'avg(delay) as mean_delay', 'median(delay) as median_delay')} from seg group by 1")
 def delay(spark, sf_dir):
-    seg = segments.attack_segments(test_scores(spark, sf_dir), ["run_id", "source_file"], "w")
+    seg = segments.anomaly_segments(test_scores(spark, sf_dir), ["run_id", "source_file"], "w")
     return rounded(segments.delay_summary(seg, ["run_id"]), "detection_rate", "mean_delay", "median_delay")
 
 
@@ -748,7 +760,7 @@ def operating_point(spark, sf_dir):
     return rounded(drift.operating_point(s, ["run_id"], is_role(CAL), is_role(TEST)), "percentile_test", "percentile_calibration", "f1", "oracle_threshold", "oracle_f1", "f1_regret")
 
 
-_FRACTIONS, _FPRS, _REPEATS = (0.1, 0.4, 1.0), (0.05, 0.25), 5
+_FRACTIONS, _FPRS, _REPEATS = (0.05, 0.1, 0.2, 0.4, 1.0), (0.01, 0.05, 0.1, 0.15, 0.25), 20
 _TKEY = _KEY.format("(window_index * 31 + repeat)", 17)
 
 
@@ -794,13 +806,13 @@ def entity_overlap(spark, sf_dir):
     return leakage.entity_overlap(records(spark, sf_dir), ["user_id", "dst"])
 
 
-@query("leakage_stats", f"""with {views.REC}, mn as (select min(ts_s) as t0 from rec), l as (select unnest(['service', 'dst', 'user_id', 'hour']) as field, unnest([service, cast(dst as varchar), cast(user_id as varchar), cast(cast(floor((ts_s - t0) / 3600.0) as bigint) as varchar)]) as value, attack_type as kind, label, split_role from rec, mn),
+@query("leakage_stats", f"""with {views.REC}, mn as (select min(ts_s) as t0 from rec), l as (select unnest(['service', 'dst', 'user_id', 'hour']) as field, unnest([service, cast(dst as varchar), cast(user_id as varchar), cast(cast(floor((ts_s - t0) / 3600.0) as bigint) as varchar)]) as value, anomaly_type as kind, label, split_role from rec, mn),
 k as (select field, value, kind, count(*) as n, sum(label) as a, count(*) filter (split_role = '{TEST}') as t from l group by all), d as (select field, value, kind, n from k qualify row_number() over (partition by field, value order by n desc, kind) = 1),
-g as (select field, value, sum(n) as rows, sum(a) as a, sum(t) as test_rows from k group by all) select field, value, rows, round(a / rows, {R}) as attack_rate, d.kind as dominant_type, round(d.n / rows, {R}) as purity, rows - test_rows as benign_role_rows, test_rows from g join d using (field, value) where rows >= 50 or field = 'hour'""")
+g as (select field, value, sum(n) as rows, sum(a) as a, sum(t) as test_rows from k group by all) select field, value, rows, round(a / rows, {R}) as anomaly_rate, d.kind as dominant_type, round(d.n / rows, {R}) as purity, rows - test_rows as benign_role_rows, test_rows from g join d using (field, value) where rows >= 50 or field = 'hour'""")
 def leakage_stats(spark, sf_dir):
     rec = materialize(records(spark, sf_dir), "records")
     start = rec.agg(F.min("ts_s")).first()[0]
-    return rounded(leakage.leakage_stats(rec, ["service", "dst", "user_id"], hours=F.floor((F.col("ts_s") - F.lit(start)) / 3600)), "attack_rate", "purity")
+    return rounded(leakage.leakage_stats(rec, ["service", "dst", "user_id"], hours=F.floor((F.col("ts_s") - F.lit(start)) / 3600)), "anomaly_rate", "purity")
 
 
 @query("feature_inventory", f"with d as ({_DIRTY}), c as (select unnest(['txt', 'num', 'p_size']) as col, unnest(['categorical', 'numeric', 'numeric']) as role_group, unnest([txt, num, cast(p_size as varchar)]) as v from d), k as (select col, role_group, v, count(*) as n from c group by all) select col as column, role_group, count(*) as distinct_values, round(sum(case when v is null or lower(trim(v)) in {_MISSING} then n else 0 end) / sum(n), {R}) as missing_ratio from k group by all")
@@ -808,10 +820,10 @@ def feature_inventory(spark, sf_dir):
     return rounded(leakage.feature_inventory(dirty(spark, sf_dir), {"txt": "categorical", "num": "numeric", "p_size": "numeric"}), "missing_ratio")
 
 
-@query("attack_mix", f"with {views.WIN} select family, count(*) as windows from named where split_role = '{TEST}' group by 1")
-def attack_mix(spark, sf_dir):
+@query("anomaly_mix", f"with {views.WIN} select family, count(*) as windows from named where split_role = '{TEST}' group by 1")
+def anomaly_mix(spark, sf_dir):
     s = scores(spark, sf_dir).where("run_id = 'near-0'")
-    return leakage.attack_mix(s)
+    return leakage.anomaly_mix(s)
 
 
 # ---- run summaries
@@ -825,7 +837,7 @@ def run_table(spark, sf_dir) -> DataFrame:
     return materialize(evaluate.confusion_at_threshold(t, ["model", "seed", "run_id"]).join(auc, "run_id"), "runs")
 
 
-@query("model_summary", f"with {views.SCORES}, {_LOW}, {_RUNS}, l as (unpivot (select model, f1, auc, fpr from runs_) on f1, auc, fpr into name metric value val), m as (select model, metric, count(*) as n, avg(val) as mean, coalesce(stddev_samp(val), 0) as std, median(val) as median, min(val) as min, max(val) as max from l group by all) select model, metric, n, 0 as failures, {r('mean as mean', 'std as std', 'median as median', 'min as min', 'max as max', 'mean - 4.303 * std / sqrt(n) as ci_low', 'mean + 4.303 * std / sqrt(n) as ci_high')} from m")
+@query("model_summary", f"with {views.SCORES}, {_LOW}, {_RUNS}, l as (unpivot (select model, f1, auc, fpr from runs_) on f1, auc, fpr into name metric value val), m as (select model, metric, count(*) as n, avg(val) as mean, coalesce(stddev_samp(val), 0) as std, median(val) as median, min(val) as min, max(val) as max from l group by all) select model, metric, n, 0 as failures, {r('mean as mean', 'std as std', 'median as median', 'min as min', 'max as max', 'mean - 4.302652729696142 * std / sqrt(n) as ci_low', 'mean + 4.302652729696142 * std / sqrt(n) as ci_high')} from m")
 def model_summary(spark, sf_dir):
     return rounded(summary.model_summary(run_table(spark, sf_dir), ["f1", "auc", "fpr"]).drop("text"), "mean", "std", "median", "min", "max", "ci_low", "ci_high")
 
@@ -853,21 +865,22 @@ def paired_stats(spark, sf_dir):
     return rounded(summary.paired_stats(d, ["f1", "auc"]).withColumn("t_statistic", F.round("t_statistic", 3)), "mean", "std", "median", "min", "max", "ci_low", "ci_high")
 
 
-@query("model_recommendation", f"""with {views.SCORES}, {_LOW}, {_RUNS}, {_PAIRED}, {_PSTAT}, fr as (select model, family, avg(recall) as recall from (select model, run_id, family, avg(prediction) as recall from test where label = 1 group by all) group by all), wr as (select min(b.recall - a.recall) as worst from fr a join fr b using (family) where a.model = 'near' and b.model = 'peak'),
-s as (select max(mean) filter (metric = 'delta_f1') as f1, max(mean) filter (metric = 'delta_auc') as auc, max(wins) filter (metric = 'delta_f1') as wins, max(n) as n from ps)
-select case when f1 > 0 and auc > 0 and wins * 2 > n and worst >= -0.1 then 'peak' when f1 < 0 and wins * 2 < n then 'near' else 'report both' end as recommended, {r('f1 as f1_gain', 'auc as auc_gain')}, wins from s, wr""")
+@query("model_recommendation", f"""with {views.SCORES}, {_LOW}, {_RUNS}, {_PAIRED}, fr as (select model, family, avg(recall) as recall from (select model, run_id, family, avg(prediction) as recall from test where label = 1 group by all) group by all),
+wr as (select coalesce(max(b.recall - a.recall) > 0.05, false) and coalesce(min(b.recall - a.recall) < -0.05, false) as mixed_ from fr a join fr b using (family) where a.model = 'near' and b.model = 'peak'),
+s as (select avg(delta_f1) as f1, avg(delta_auc) as auc, count(*) filter (delta_f1 > 0) as f1_wins, count(*) filter (delta_auc > 0) as auc_wins, count(*) as pairs from pd)
+select case when auc > 0.01 and f1 > 0.01 and f1_wins >= greatest(pairs - 1, 1) and auc_wins >= greatest(pairs - 1, 1) then 'A' when abs(auc) <= 0.01 and abs(f1) <= 0.01 then 'B' when mixed_ then 'C' when f1 > 0 and auc > 0 then 'A' else 'B' end as recommended, {r('f1 as f1_gain', 'auc as auc_gain')}, f1_wins, auc_wins, pairs from s, wr""")
 def recommendation(spark, sf_dir):
-    stats = summary.paired_stats(summary.paired_differences(run_table(spark, sf_dir), ["f1", "auc"], "near", "peak"), ["f1", "auc"])
+    deltas = summary.paired_differences(run_table(spark, sf_dir), ["f1", "auc"], "near", "peak")
     fam = evaluate.family_recall(test_scores(spark, sf_dir), ["model", "run_id"])
-    return rounded(summary.model_recommendation(stats, fam, "near", "peak"), "f1_gain", "auc_gain")
+    return rounded(summary.model_recommendation(deltas, fam, "near", "peak"), "f1_gain", "auc_gain")
 
 
-@query("upsert_results", "with o as (select c_mktsegment as dataset, 'm' || (c_custkey % 5) as method, round((c_custkey % 3) / 3.0, 6) as target_fpr, c_acctbal as f1, c_custkey from customer), old as (select dataset, method, target_fpr, max(f1) as f1 from o where c_custkey % 2 = 0 group by all), new as (select dataset, method, target_fpr, min(f1) as f1 from o where c_custkey % 4 = 1 group by all) select * from new union all select * from old where not exists (select 1 from new where new.dataset = old.dataset and new.method = old.method and new.target_fpr = old.target_fpr)")
+@query("upsert_results", "with o as (select c_mktsegment as dataset, 'm' || (c_custkey % 5) as method, round((c_custkey % 3) / 3.0, 6) as target_fpr, c_acctbal as f1, c_custkey from customer), old as (select dataset, method, target_fpr, max(f1) as f1 from o where c_custkey % 2 = 0 group by all), new as (select dataset, method, target_fpr, min(f1) as f1 from o where c_custkey % 2 = 1 or c_custkey % 3 = 0 group by all) select * from new union all select * from old where not exists (select 1 from new where new.dataset = old.dataset and new.method = old.method and new.target_fpr = old.target_fpr)")
 def upsert(spark, sf_dir):
     o = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dataset"), F.concat(F.lit("m"), (F.col("c_custkey") % 5).cast("string")).alias("method"), F.round((F.col("c_custkey") % 3) / 3, 6).alias("target_fpr"), F.col("c_acctbal").alias("f1"), "c_custkey")
     keys = ["dataset", "method", "target_fpr"]
     old = o.where("c_custkey % 2 = 0").groupBy(*keys).agg(F.max("f1").alias("f1"))
-    return summary.upsert_results(old, o.where("c_custkey % 4 = 1").groupBy(*keys).agg(F.min("f1").alias("f1")))
+    return summary.upsert_results(old, o.where("c_custkey % 2 = 1 or c_custkey % 3 = 0").groupBy(*keys).agg(F.min("f1").alias("f1")))
 
 
 @query("flagship", f"with {views.SCORES}, {_LOW}, res as ({confusion_sql('test', 'run_id')}), a as ({_AUC}) select res.*, auc from res join a using (run_id)")
@@ -900,22 +913,26 @@ def write_table(spark, sf_dir):
     return spark.read.parquet(path).groupBy("split_role", "source_file").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("list_dataset_files")
+#: The folder whose files the SQL below reads; the driver's comparison runs on it.
+_FOLDER = "/root/testdata/sf0.01"
+
+
+@query("list_dataset_files", f"select replace(filename, '{_FOLDER}/', '') as path, cast(size as bigint) as length from read_blob('{_FOLDER}/*.parquet')")
 def list_files(spark, sf_dir):
-    return flow.list_dataset_files(spark, sf_dir, "parquet").select(F.regexp_replace("path", r"^.*/", "").alias("name"), "length")
+    return flow.list_dataset_files(spark, sf_dir, globs=["**/*.parquet"])
 
 
-@query("file_hash_check")
+@query("file_hash_check", f"with f as (select replace(filename, '{_FOLDER}/', '') as path from read_blob('{_FOLDER}/*.parquet')) select path, case when path = (select min(path) from f) then 'mismatch' else 'ok' end as status from f union all select 'gone.parquet', 'missing'")
 def hash_check(spark, sf_dir):
-    """Hashes of the labels files against a manifest with one wrong and one missing entry."""
-    found = materialize(flow.file_hashes(spark, f"{sf_dir}/labels.parquet"), "hashes")
-    wrong = found.orderBy("path").limit(1).select("path", F.lit("0").alias("sha256"))
-    manifest = found.join(wrong, "path", "left_anti").unionByName(wrong).unionByName(spark.createDataFrame([("gone.parquet", "0")], "path string, sha256 string"))
-    return flow.file_hash_check(found, manifest)
+    """Hashes of all files of the folder against a manifest with one wrong and one missing entry."""
+    found = materialize(flow.file_hashes(spark, sf_dir), "hashes")
+    least = found.agg(F.min("path").alias("wrong"))
+    manifest = found.join(F.broadcast(least)).select("path", F.when(F.col("path") == F.col("wrong"), "0").otherwise(F.col("sha256")).alias("sha256"), "uncompressed_sha256")  # least: one row
+    return flow.file_hash_check(found, manifest.unionByName(spark.createDataFrame([("gone.parquet", "0", None)], manifest.schema)))
 
 
-@query("write_summary_csv", f"with {views.RAW} select attack_type, count(*) as n from raw group by 1")
+@query("write_summary_csv", f"with {views.RAW} select anomaly_type, count(*) as n from raw group by 1")
 def summary_csv(spark, sf_dir):
     path = scratch_path(spark, "summary")
-    flow.write_summary_csv(raw_records(spark, sf_dir).groupBy("attack_type").agg(F.count("*").alias("n")), path)
-    return spark.read.option("header", "true").schema("attack_type string, n long").csv(path)
+    flow.write_summary_csv(raw_records(spark, sf_dir).groupBy("anomaly_type").agg(F.count("*").alias("n")), path)
+    return spark.read.option("header", "true").schema("anomaly_type string, n long").csv(path)

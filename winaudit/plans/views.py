@@ -35,7 +35,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(day <= 18, splits.TRAIN).when(day <= 22, splits.CALIBRATION).otherwise(splits.TEST)
     r = e.select(
         "event_id", "ts", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', date_trunc('SECOND', ts))").alias("ts_s"), F.date_format("ts", "yyyy-MM-dd").alias("source_file"),
-        F.when(benign, "BENIGN").otherwise(F.col("event_type")).alias("attack_type"), F.when(benign, 0).otherwise(1).alias("label"), "value",
+        F.when(benign, "BENIGN").otherwise(F.col("event_type")).alias("anomaly_type"), F.when(benign, 0).otherwise(1).alias("label"), "value",
         F.regexp_extract("props", r'"k": (\d+)', 1).cast("double").alias("k"), F.hour("ts").cast("double").alias("hour"), "user_id", (F.col("user_id") % 7).alias("dst"), F.col("event_type").alias("service"), role.alias("split_role"),
     )
     return with_position(r, ["source_file"], ["ts", "event_id"], "row_index").drop("ts")
@@ -60,7 +60,7 @@ def scaled(rec: DataFrame) -> DataFrame:
 def window_means(rec: DataFrame) -> DataFrame:
     """Per window: labels, mean scaled features (the embedding) and the largest scaled value."""
     s = scaled(rec)
-    sums = {"n_attack": F.col("label"), **{f"sum_{c}": F.col(c) for c in SCALED}}
+    sums = {"n_anomaly": F.col("label"), **{f"sum_{c}": F.col(c) for c in SCALED}}
     win = windows.with_label(windows.sliding_windows(s, SEGMENT, W, STRIDE, sums, maxs={"max_value": F.col("value")}), W, RATIO)
     return win.withColumns({f"m_{c}": F.col(f"sum_{c}") / W for c in SCALED})
 
@@ -93,7 +93,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BENIGN = "event_type in ('view', 'click', 'purchase')"
 RAW = f"""raw as (select event_id, cast(floor(epoch(ts)) as bigint) as ts_s, strftime(ts, '%Y-%m-%d') as source_file,
   row_number() over (partition by strftime(ts, '%Y-%m-%d') order by ts, event_id) - 1 as row_index,
-  case when {_BENIGN} then 'BENIGN' else event_type end as attack_type, case when {_BENIGN} then 0 else 1 end as label, value,
+  case when {_BENIGN} then 'BENIGN' else event_type end as anomaly_type, case when {_BENIGN} then 0 else 1 end as label, value,
   cast(regexp_extract(props, '"k": (\\d+)', 1) as double) as k, cast(hour(ts) as double) as hour, user_id, user_id % 7 as dst, event_type as service,
   case when day(ts) <= 18 then '{splits.TRAIN}' when day(ts) <= 22 then '{splits.CALIBRATION}' else '{splits.TEST}' end as split_role from events)"""
 REC = f"""{RAW}, rec as (select *, row_number() over (partition by split_role, source_file order by row_index) - 1 as pos,
@@ -108,10 +108,10 @@ def spread(window: int = W, stride: int = STRIDE) -> str:
 SCALED_SQL = f"""{REC}, fit as (select {", ".join(f"min({c}) as lo_{c}, max({c}) - min({c}) as r_{c}" for c in SCALED)} from rec where split_role = '{splits.TRAIN}'),
 sc as (select rec.* exclude (value, k, hour), {", ".join(f"(rec.{c} - lo_{c}) / (case when r_{c} = 0 then 1 else r_{c} end) as {c}" for c in SCALED)} from rec, fit)"""
 WIN = f"""{SCALED_SQL}, held as (select *, {spread()} as w from sc),
-win as (select split_role, source_file, w, w * {STRIDE} as start_pos, w * {STRIDE} + {W - 1} as end_pos, sum(label) as n_attack, sum(label) / {W}.0 as attack_ratio, case when sum(label) / {W}.0 >= {RATIO} then 1 else 0 end as label,
+win as (select split_role, source_file, w, w * {STRIDE} as start_pos, w * {STRIDE} + {W - 1} as end_pos, sum(label) as n_anomaly, sum(label) / {W}.0 as anomaly_ratio, case when sum(label) / {W}.0 >= {RATIO} then 1 else 0 end as label,
   {", ".join(f"sum({c}) / {W} as m_{c}" for c in SCALED)}, max(value) as max_value, min(row_index) as start_row, max(row_index) as end_row, min(ts_s) as start_ts, max(ts_s) as end_ts from held group by all),
-fams as (select split_role, source_file, w, attack_type, count(*) as n from held where attack_type <> 'BENIGN' group by all),
-fam as (select split_role, source_file, w, attack_type as family from fams qualify row_number() over (partition by split_role, source_file, w order by n desc, attack_type) = 1),
+fams as (select split_role, source_file, w, anomaly_type, count(*) as n from held where anomaly_type <> 'BENIGN' group by all),
+fam as (select split_role, source_file, w, anomaly_type as family from fams qualify row_number() over (partition by split_role, source_file, w order by n desc, anomaly_type) = 1),
 ordered as (select win.*, case when label = 1 then coalesce(fam.family, 'BENIGN') else 'BENIGN' end as family,
   row_number() over (order by case win.split_role when '{ROLES[0]}' then 1 when '{ROLES[1]}' then 2 else 3 end, win.source_file, win.w) - 1 as n_all from win left join fam using (split_role, source_file, w)),
 named as (select *, split_role || ':' || printf('%06d', n_all) as window_id, n_all - min(n_all) over (partition by split_role) as window_index from ordered)"""

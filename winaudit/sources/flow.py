@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winaudit.functions.clean import clean_names
+from winaudit.functions.clean import clean_names, dataset_name
 from winaudit.functions.ordering import with_position
+from winaudit.functions.ranges import meeting_ranges
 
-#: Glob of a data set's flow files.
-LAYOUTS = {"default": "*.csv", "gz": "*.csv.gz", "parquet": "*.parquet"}
+# Where the data sets keep their flow files, below their folder.
+LAYOUTS = {
+    "swat": ("benign_data/*.csv", "attack_data/*.csv"),
+    "ton_iot": ("Processed_datasets/Processed_IoT_dataset/*.csv", "Processed_datasets/Processed_Linux_dataset/*.csv", "__Train_Test_datasets/**/*.csv"),
+    "unsw_nb15": ("Training and Testing Sets/*.csv", "*.csv"),
+    "generic": ("**/*.csv",),
+}
 
 
-def list_dataset_files(spark: SparkSession, folder: str, layout: str = "default") -> DataFrame:
-    """(path, length) of a data set's files, sorted by path; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", LAYOUTS.get(layout, layout)).load(folder)
-    return files.select("path", "length").distinct().orderBy("path")
+def glob_pattern(glob: str) -> str:
+    """The glob as a regular expression: * stays in a folder, **/ spans any number of them."""
+    return "".join({"**/": "(?:.*/)?", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part)) for part in re.split(r"(\*\*/|\*|\?)", glob))
+
+
+def _below(folder: str) -> Column:
+    """A file's path below the folder."""
+    bare = lambda c: F.regexp_replace(c, r"^\w+:/*", "")
+    top = re.sub(r"^\w+:/*", "", folder).strip("/")
+    return F.regexp_replace(F.ltrim(bare(F.col("path")), F.lit("/")), "^" + re.escape(top) + "/*", "")
+
+
+def list_dataset_files(spark: SparkSession, folder: str, dataset: str = "generic", globs: Sequence[str] | None = None) -> DataFrame:
+    """(path, length) of a data set's files, sorted; path is below folder, contents are not read. globs replace the data set's layout."""
+    wanted = globs or LAYOUTS.get(dataset_name(dataset), LAYOUTS["generic"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(_below(folder).alias("path"), "length")
+    return files.where(F.col("path").rlike("^(?:" + "|".join(glob_pattern(g) for g in wanted) + ")$")).distinct().orderBy("path")
 
 
 def read_flow_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -44,8 +67,8 @@ def file_ts_ranges(df: DataFrame, file: str = "source_file", ts: str = "ts_s") -
 
 
 def prune_files_by_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Files whose [min_ts, max_ts] overlaps any closed [lo, hi] of ranges, the split definition (a handful of rows)."""
-    return files.join(F.broadcast(ranges.select("lo", "hi").limit(1000)), (F.col("max_ts") >= F.col("lo")) & (F.col("min_ts") <= F.col("hi")), "left_semi")
+    """Files whose [min_ts, max_ts] overlaps any closed [lo, hi] of ranges, however many these are."""
+    return meeting_ranges(files, ranges.select("lo", "hi"), "min_ts", "max_ts", "left_semi")
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ("split_role",), mode: str = "errorifexists") -> None:
@@ -57,15 +80,23 @@ def write_summary_csv(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_replace("path", r"^.*/", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    """path below folder, sha256, and uncompressed_sha256 of .gz files. Files above 2 GB are beyond Spark's binary reader, which says so."""
+
+    @F.arrow_udf("string")
+    def unpacked(contents: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(gzip.decompress(c.as_py())).hexdigest() for c in contents], pa.string())
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(_below(folder).alias("path"), "content")
+    plain = files.where(~F.col("path").endswith(".gz")).select("path", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("uncompressed_sha256"))
+    return plain.unionAll(files.where(F.col("path").endswith(".gz")).select("path", F.sha2("content", 256), unpacked("content")))
 
 
 def file_hash_check(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """found and manifest: path, sha256. Per path a status: ok, mismatch, missing (not found) or unlisted."""
-    both = manifest.select("path", F.col("sha256").alias("want")).join(found.select("path", F.col("sha256").alias("have")), "path", "full_outer")
-    status: Column = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("have") == F.col("want"), "ok").otherwise("mismatch")
-    return both.select("path", status.alias("status"))
+    """found and manifest: path, sha256 and perhaps uncompressed_sha256. Per path a status: ok, mismatch, uncompressed mismatch, missing (not found) or unlisted."""
+    inner = lambda df, n: (F.col("uncompressed_sha256") if "uncompressed_sha256" in df.columns else F.lit(None).cast("string")).alias(n)
+    both = manifest.select("path", F.col("sha256").alias("want"), inner(manifest, "want_inner")).join(found.select("path", F.col("sha256").alias("have"), inner(found, "have_inner")), "path", "full_outer")
+    status: Column = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("have") != F.col("want"), "mismatch")
+    return both.select("path", status.when(F.col("have_inner") != F.col("want_inner"), "uncompressed mismatch").otherwise("ok").alias("status"))
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
