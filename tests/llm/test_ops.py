@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from winaudit.functions.scratch import scratch_path
 import corpus_pipeline
 from winaudit.llm import bpe, components, embeddings, exact_dedup, jaccard, license_scan, maxent, mixing, quality, url_filter, warc, words
+from winaudit.llm import rows as llm_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -245,6 +247,23 @@ def test_jaccard(spark, docs, costly):
     assert got == sorted(brute_components(rows), key=str)
 
 
+@pytest.mark.parametrize("how", [{"block": 8, "crowded": 6, "most": 1}, {"name_bits": 5, "crowded": 6, "block": 1024, "most": 1}])
+def test_jaccard_of_crowded_groups_and_shared_names(spark, how):
+    """Leaders, cells of several blocks, cells worked twice, and sets that share the first digest."""
+    rng = random.Random(7)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        b = list(base)
+        for _ in range(rng.randrange(9)):
+            b[rng.randrange(60)] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(b)))
+    rows += [(1000 + i, t) for i, t in near_copies(11, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, **how).collect())
+    assert got == sorted(brute_components(rows))
+
+
 def test_near_stage_tells_null_and_repeated_ids_apart(spark):
     """Against brute force: of each component the smallest (id, nulls last) stays, and every text without near copies."""
     rng = random.Random(4)
@@ -304,6 +323,17 @@ def test_hashed_words_match_words():
         assert [len(s) for s in words.shingle_sets(pa.array(texts, pa.string()))] == [len(shingles(t)) for t in texts]
 
 
+def test_words_of_any_length_have_hashes_of_their_own():
+    word = "a"
+    while len(word) < 2048:  # where a polynomial modulo 2 ** 64 fails
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [w[:n] for n in (2048, 300, 257, 256, 255, 64, 9, 8, 7) for w in (word, word.translate(str.maketrans("ab", "ba")))] + ["a" * n for n in range(1, 300)] + ["\0" * n for n in range(1, 40)]
+    hashes, per = words.words(pa.array(texts))
+    assert np.diff(per).tolist() == [1] * len(texts) and len(set(hashes.tolist())) == len(set(texts))
+    joined, _ = words.words(pa.array([" ".join(texts)]))
+    assert joined.tolist() == hashes.tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 100)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -368,6 +398,66 @@ def test_mixing(spark, docs):
     assert [r.taken for r in mixing.mix(docs.where("text is null")).collect()] == [0]
 
 
+def plain_shares(weights, seats):
+    won = dict.fromkeys(weights, 0)
+    for _ in range(seats):
+        won[max(sorted(weights), key=lambda k: weights[k] / (2 * won[k] + 1))] += 1
+    return won
+
+
+def test_mixing_takes_what_plain_apportionment_takes(spark):
+    """taken and the repeated rows against a plain computation: quotas seat by seat, shards laid out document by document."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, 300])), rng.choice(["a", "b", None, "c"])) for i in range(200)] + [(7, "w w w", "a"), (7, "w w w", "a"), (None, "w w", "b")]
+    df = spark.createDataFrame([(i, t, s, 1, "x") for i, t, s in rows], "doc_id long, text string, source string, row int, at string").repartition(3)
+    size = lambda t: len(t.split())
+    sums = collections.Counter()
+    for _, t, s in rows:
+        sums[s] += size(t)
+    order = [*sorted(s for s in sums if s), None]
+    target = {r.source: r.target for r in mixing.laid_out(df).select("source", "target").distinct().collect()}
+    seats = plain_shares({k: target[s] for k, s in enumerate(order)}, round(sum(target.values()) / mixing.BLOCK))
+    laid = mixing.laid_out(df, shard=200).select("id", "source", "at", "size", "shards", "shard", "taken", F.xxhash64("source", F.lit(0)).alias("x")).collect()
+    first = {(r.k, r.j): r.h for r in spark.createDataFrame([(k, j) for k in range(len(order)) for j in range(60)], "k long, j long").select("k", "j", F.xxhash64("k", "j", F.lit(17)).alias("h")).collect()}
+    for k, s in enumerate(order):
+        mine = [r for r in laid if r.source == s and r.size]
+        assert {r.shards for r in mine} <= {math.ceil(sums[s] / 200)}
+        words = collections.Counter()
+        for r in mine:
+            assert r.shard == r.at % r.shards
+            words[r.shard] += r.size
+        quota = plain_shares({j: float(w) for j, w in words.items()}, seats[k]) if words else {}
+        for j, w in words.items():
+            n = math.ceil(w / mixing.BLOCK)
+            q = min(quota[j], 2 * n)
+            start = first[k, j] % n
+            times = [q // n + ((b - start) % n < q % n) for b in range(n)]
+            at = 0
+            for r in sorted((r for r in mine if r.shard == j), key=lambda r: r.at):
+                if sum(x.at == r.at for x in mine) == 1:
+                    assert r.taken == sum(times[x // mixing.BLOCK] for x in range(at, at + r.size))
+                at += r.size
+    text_of = collections.Counter((r.doc_id, r.text) for r in mixing.repeated(df, shard=200).collect())
+    for r in laid:
+        t = [t for i, t, s in rows if i == r.id and s == r.source and size(t) == r.size][0]
+        if r.id != 7:
+            assert text_of[r.id, t] == (int(r.taken / r.size + 0.5) if r.size else 0)
+    assert text_of[7, "w w w"] % 2 == 0 and mixing.repeated(df).columns == df.columns
+    assert mixing.repeated(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_rows_are_taken_out_by_key(spark, few):
+    df = spark.createDataFrame([(i % 40 if i % 7 else None, f"t{i % 50}", 1, "y") for i in range(400)] + [(1, None, 2, "z")], "doc_id long, text string, id int, key string").repartition(3)
+    gone = spark.createDataFrame([(i, f"t{i}") for i in range(0, 40, 3)] + [(None, "t14"), (None, "t0")], "id long, text string").select("id", F.xxhash64("text").alias("key"))
+    out = set_ = {(i, f"t{i}") for i in range(0, 40, 3)} | {(None, "t14"), (None, "t0")}
+    want = collections.Counter((r.doc_id, r.text) for r in df.collect() if (r.doc_id, r.text) not in set_)
+    out = llm_rows.without_rows(df, gone, "doc_id", F.xxhash64("text"), few=few)
+    assert out.columns == df.columns and collections.Counter((r.doc_id, r.text) for r in out.collect()) == want
+    one = llm_rows.one_of_each(df, gone, "doc_id", F.xxhash64("text")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in one))) == sorted(map(str, {(r.doc_id, r.text) for r in df.collect()} & set_))
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, weight int")
 
@@ -441,12 +531,59 @@ def test_quality(spark, docs):
     assert quality.classify(docs.where("false"), labels, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_site_posteriors_equal_a_plain_computation(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"h{h}", f"p{q}" if q else None, float(np.clip(rng.normal(0.2 + 0.15 * h + 0.05 * q, 0.1), 0.01, 0.99))) for h in range(5) for q in range(3) for _ in range(1 if h == 4 else 40 * (q + 1))]
+    sites, prior = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    got = {(r.host, r.path): (r.host_mean, r.path_mean) for r in sites.collect()}
+    p = np.array([r[2] for r in rows])
+    top = p.mean()
+
+    def strength(sites, above):
+        n, mean = np.array([len(x) for x in sites]), np.array([x.mean() for x in sites])
+        noise = sum(((x - x.mean()) ** 2).sum() for x in sites) / n.sum()
+        return float(np.clip(noise / max(((n * (mean - above) ** 2).sum() - len(n) * noise) / n.sum(), 1e-9), 5, 1e6))
+
+    of = lambda keep: np.array([r[2] for r in rows if keep(r)])
+    hosts = {h: of(lambda r, h=h: r[0] == h) for h, _, _ in rows}
+    k = strength(list(hosts.values()), top)
+    host_mean = {h: (x.sum() + k * top) / (len(x) + k) for h, x in hosts.items()}
+    paths = {(h, q): of(lambda r, h=h, q=q: r[:2] == (h, q)) for h, q, _ in rows}
+    k2 = strength(list(paths.values()), np.array([host_mean[h] for h, _ in paths]))
+    assert prior == pytest.approx({"top": top, "host": k, "path": k2})
+    assert got.keys() == paths.keys()
+    for (h, q), x in paths.items():
+        assert got[h, q] == pytest.approx((host_mean[h], (x.sum() + k2 * host_mean[h]) / (len(x) + k2)))
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", 0.9)] * 200 + [("low", "p", 0.1)] * 200 + [("tiny", "p", 0.1)]
-    sites, top = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    sites, prior = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
     got = {r.host: r.host_mean for r in sites.collect()}
     assert abs(got["low"] - 0.1) < abs(got["tiny"] - 0.1)
-    assert got["low"] < got["tiny"] < top + 0.01
+    assert got["low"] < got["tiny"] < prior["top"] + 0.01
+
+
+def test_quality_leaves_the_document_out_of_its_site(spark):
+    df = spark.createDataFrame([(i, f"word{i} text of number {i} and more", "a" if i else "b") for i in range(30)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality.classify(df, labels, F.col("source"), F.lit("p")).collect()}
+    top = np.mean([r.p_text for r in out.values()])
+    assert out[0].host_mean == pytest.approx(top) and out[0].path_mean == pytest.approx(top)  # alone in its site: the prior is all it has
+    assert out[0].p_quality == pytest.approx(out[0].p_text)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    out = quality.classify(docs, labels.where(~odd), F.col("source"), F.col("lang")).join(labels.where(odd).select("doc_id", "quality"), "doc_id").where("quality in (0, 1)")
+    rows = out.select("quality", "p_quality", "keep").collect()
+    good, bad = ([r.p_quality for r in rows if r.quality == v] for v in (1, 0))
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(good) > 50 and len(bad) > 10 and auc >= 0.95
+    assert np.mean([r.keep for r in rows if r.quality == 1]) >= 0.95 and np.mean([r.keep == (r.quality == 1) for r in rows]) >= 0.92
 
 
 def test_lm_scores(spark, docs):
@@ -487,31 +624,65 @@ def test_lm_learns_from_the_third_word_before():
     bounds = np.arange(0, len(t) + 1, 60)
     voc = maxent.Vocabulary(word, np.array([(t == w).sum() for w in word]), np.zeros(maxent.SHARES))
     at, found = voc.look_up(t)
-    rows, classes = maxent.features(voc, t, bounds, at, found), voc.classes_of(t, at, found)
-    weights, squares = voc.start(), np.zeros((maxent.ROWS, maxent.CLASSES), np.float32)
+    rows, classes = maxent.features(voc.numbers_of(at, found), bounds, maxent.ROWS), voc.classes_of(t, at, found)
+    weights = voc.start()
+    squares = tuple(np.zeros_like(w) for w in weights)
     train = len(t) - 6000
     for _ in range(maxent.EPOCHS):
         for a in range(0, train, 8192):
             maxent._update(weights, squares, rows[a : min(a + 8192, train)], classes[a : min(a + 8192, train)])
-    mean = lambda w: maxent.log_classes(w, rows[train:])[np.arange(6000), classes[train:]].mean()
+    mean = lambda w: maxent.log_class(w, rows[train:], classes[train:]).mean()
     assert mean(weights) > mean(voc.start()) + 0.5
-    assert (maxent.EPOCHS, maxent.CLASSES) == (2, 96)
+    assert maxent.EPOCHS >= 2 and maxent.CLASSES >= 96 and rows.shape[1] == 5
 
 
 def test_lm_update_equals_its_formula():
     rng = np.random.default_rng(3)
-    rows, classes = rng.integers(1, 50, (2000, 4)).astype(np.int32), rng.integers(0, maxent.CLASSES, 2000)
-    weights = rng.standard_normal((maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    gradient = -np.exp(maxent.log_classes(weights, rows)).astype(float)
-    gradient[np.arange(2000), classes] += 1
+    rows, columns = rng.integers(1, 50, (2000, 5)).astype(np.int32), rng.integers(0, maxent.WITHIN, 2000)
+    rows[:, 0] = 0
+    weights = rng.standard_normal((maxent.ROWS, maxent.WITHIN)).astype(np.float32)
+    gradient = -np.exp(maxent.log_softmax(weights, rows)).astype(float)
+    gradient[np.arange(2000), columns] += 1
     want = np.zeros(weights.shape)
-    np.add.at(want, rows.ravel(), np.repeat(gradient, 4, 0))
-    want[0] = gradient.sum(0)
+    np.add.at(want, rows.ravel(), np.repeat(gradient, 5, 0))
     squares, new = np.zeros_like(weights), weights.copy()
-    maxent._update(new, squares, rows, classes)
+    maxent._step(new, squares, rows, columns, *maxent._sorted(rows))
     assert np.allclose(new - weights, maxent.STEP * want / np.sqrt(want**2 + 1), atol=1e-3)
 
 
+def test_lm_update_moves_the_tokens_groups_alone():
+    """Both steps against the formula, group by group."""
+    rng = np.random.default_rng(6)
+    rows, classes = rng.integers(1, 30, (3000, 5)).astype(np.int32), rng.integers(0, maxent.CLASSES - maxent.WITHIN, 3000)
+    rows[:, 0] = 0
+    old = tuple(rng.standard_normal(w.shape).astype(np.float32) for w in maxent.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, int), np.ones(maxent.SHARES)).start())
+    new, squares = tuple(w.copy() for w in old), tuple(np.zeros_like(w) for w in old)
+    maxent._update(new, squares, rows, classes)
+    flat, within = rows * maxent.GROUPS + (classes // maxent.WITHIN)[:, None], classes % maxent.WITHIN
+    for w, n, r, c in ((old[0], new[0], rows, classes // maxent.WITHIN), (old[1], new[1], flat, within)):
+        gradient = -np.exp(maxent.log_softmax(w, r)).astype(float)
+        gradient[np.arange(3000), c] += 1
+        want = np.zeros(w.shape)
+        np.add.at(want, r.ravel(), np.repeat(gradient, 5, 0))
+        assert np.allclose(n - w, maxent.STEP * want / np.sqrt(want**2 + 1), atol=1e-3)
+
+
+def test_lm_look_up_and_packing():
+    rng = np.random.default_rng(5)
+    known = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64) << np.uint64(1), np.arange(50, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(50, dtype=np.uint64)]))
+    voc = maxent.Vocabulary(known, rng.integers(1, 100, len(known)), np.zeros(maxent.SHARES))
+    ask = np.concatenate([known, known + np.uint64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64)])
+    at, found = voc.look_up(ask)
+    assert (found == np.isin(ask, known)).all() and (voc.hashes[at[found]] == ask[found]).all()
+    bounds = np.array([0, 1, 5, 40, 41, len(known)])
+    numbers = voc.numbers_of(*voc.look_up(known))
+    ends = numbers.copy()
+    ends[bounds[1:] - 1] |= maxent.ENDS
+    rows, classes = maxent.unpacked(ends.tobytes(), (np.arange(len(known)) % 96).astype(np.uint8).tobytes(), maxent.ROWS)
+    assert (rows == maxent.features(numbers, bounds, maxent.ROWS)).all() and rows.max() < maxent.ROWS and (classes == np.arange(len(known)) % 96).all()
+    assert (maxent.hashed_rows(0), maxent.hashed_rows(1 << 28), maxent.hashed_rows(1 << 40)) == (1 << 14, 1 << 15, 1 << 16)
+
+
 def test_lm_is_a_distribution(spark):
     """Over all known words and the unknown one of each share, probabilities after a context sum to one."""
     rng = np.random.default_rng(0)
@@ -522,8 +693,8 @@ def test_lm_is_a_distribution(spark):
     mass = np.zeros(maxent.SHARES)
     np.add.at(mass, (known[rare] >> np.uint64(64 - maxent._SHARE_BITS)).astype(int), counts[rare] + maxent.SMOOTH)
     voc = maxent.Vocabulary(known[frequent], counts[frequent], mass)
-    weights = voc.start() + rng.standard_normal((maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    p = np.exp(maxent.log_classes(weights, np.array([[1, 2, 3]], np.int32)))[0]
+    weights = tuple(w + rng.standard_normal(w.shape).astype(np.float32) for w in voc.start())
+    p = np.exp(maxent.log_class(weights, np.tile(np.array([[0, 1, 2, 3, 4]], np.int32), (maxent.CLASSES, 1)), np.arange(maxent.CLASSES)))
     at, found = voc.look_up(known)
     cls = voc.classes_of(known, at, found)
     total = (p[cls] * (counts + maxent.SMOOTH) / voc.mass[cls]).sum()

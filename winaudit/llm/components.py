@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winaudit.functions.scratch import materialize
+from winaudit.functions.scratch import discard, materialize
 
 
 def _hang(edges: DataFrame, both: bool) -> DataFrame:
@@ -24,7 +24,9 @@ def _hang(edges: DataFrame, both: bool) -> DataFrame:
         out = joined.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("y").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
-    return materialize(out.where("u <> v").distinct(), "edges")
+    hung = materialize(out.where("u <> v").distinct(), "edges")
+    discard(least)
+    return hung
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -39,4 +41,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == before or not state[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
-        e = _hang(_hang(e, True), False)
+        large = _hang(e, True)
+        small = _hang(large, False)
+        discard(e, large)
+        e = small

@@ -1,8 +1,9 @@
 """Words and shingles of whole Arrow columns as 64-bit hashes, without a Python object per word.
 
 A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D.
-A word's hash is a polynomial of its bytes, taken from running sums over the
-column's own buffer, then mixed; it depends on the word alone.
+A word's hash is that of its length, then mixed with eight of its bytes after
+eight, for all words of a column at once; longer words than LONG bytes are
+hashed one by one. It depends on the word alone.
 """
 
 from __future__ import annotations
@@ -11,11 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-_PRIME = 0x9E3779B97F4A7C15 | 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes that are hashed together; a longer word is hashed on its own.
-_BLOCK = 1 << 18
+#: Bytes up to which words are hashed together.
+LONG = 256
+#: Words that are worked on at once, so that they stay in the processor's cache.
+_CACHED = 1 << 14
+#: Bytes of text whose shingles are made together.
+_SLICE = 1 << 21
+#: Masks of the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,20 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    have = 1
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
-        have += take
-    return out
-
-
-_UP, _DOWN = _powers(_PRIME, _BLOCK + 1), _powers(pow(_PRIME, -1, 1 << 64), _BLOCK + 1)
-
-
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and the n + 1 bounds of its texts in them; null counts as empty."""
     texts = (texts if pa.types.is_large_string(texts.type) else texts.cast(pa.large_string())).fill_null("")
@@ -70,26 +63,29 @@ def word_bounds(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(low) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
     out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        till = max(at + 1, int(np.searchsorted(ends, base + _BLOCK, side="right")))
-        if ends[at] - base > _BLOCK:  # one huge word
-            sums = np.uint64(0)
-            for k in range(int(base), int(ends[at]), _BLOCK):
-                part = low[k : min(k + _BLOCK, int(ends[at]))].astype(np.uint64) + np.uint64(1)
-                sums = sums * np.uint64(pow(_PRIME, _BLOCK, 1 << 64)) + (part * _UP[: len(part)]).sum(dtype=np.uint64)
-            out[at] = sums
-            at += 1
-            continue
-        part = low[base : ends[till - 1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[: len(part)], out=sums[1:])
-        s, e = starts[at:till] - base, ends[at:till] - base
-        out[at:till] = (sums[e] - sums[s]) * _DOWN[s]
-        at = till
-    return mix(out ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for a in range(0, len(starts), _CACHED):
+        since, size = starts[a : a + _CACHED], ends[a : a + _CACHED] - starts[a : a + _CACHED]
+        h = _step(size.astype(np.uint64) * _STEP, eight[since] & _FIRST[np.minimum(size, 8)])
+        live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(live):
+            left = size[live] - at
+            h[live] = _step(h[live], eight[since[live] + at] & _FIRST[np.minimum(left, 8)])
+            live, at = live[left > 8], at + 8
+        out[a : a + _CACHED] = mix(h)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(low[starts[i] : ends[i]].tobytes(), LONG)
+    return out
+
+
+def _step(h: np.ndarray, eight: np.ndarray) -> np.ndarray:
+    """A bijection of h for any eight bytes."""
+    h ^= eight
+    h *= _STEP
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +104,26 @@ def _combine(parts: list[np.ndarray], width: int) -> np.ndarray:
     return mix(out)
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """The texts, so many bytes at a time, or one longer text."""
+    _, ends = buffer_of(texts)
+    at = 0
+    while at < len(texts):
+        till = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
+        yield texts.slice(at, till - at)
+        at = till
+
+
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Each text's distinct shingles, sorted; with fewer words the whole sequence is one, without words none."""
-    w, per = words(texts)
-    with np.errstate(over="ignore"):
-        full = _combine([w[i : len(w) - width + 1 + i] for i in range(width)], width) if len(w) >= width else np.zeros(0, np.uint64)
-        for a, b in zip(per[:-1].tolist(), per[1:].tolist(), strict=True):
-            if b - a >= width:
-                yield np.unique(full[a : b - width + 1])
-            elif b > a:
-                yield _combine([w[i : i + 1] for i in range(a, b)], b - a)
-            else:
-                yield np.zeros(0, np.uint64)
+    for part in slices(texts, _SLICE):
+        w, per = words(part)
+        with np.errstate(over="ignore"):
+            full = _combine([w[i : len(w) - width + 1 + i] for i in range(width)], width) if len(w) >= width else np.zeros(0, np.uint64)
+            for a, b in zip(per[:-1].tolist(), per[1:].tolist(), strict=True):
+                if b - a >= width:
+                    yield np.unique(full[a : b - width + 1])
+                elif b > a:
+                    yield _combine([w[i : i + 1] for i in range(a, b)], b - a)
+                else:
+                    yield np.zeros(0, np.uint64)
