@@ -1,11 +1,15 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-A logistic model of text statistics gives each document evidence of its own.
+A document's own evidence is a logistic model of text statistics and of the mean
+log-odds of its hashed words and word pairs, which are counted in good and bad texts.
+Each half of the labelled rows gets its log-odds from the other half's counts while
+the model is fitted, so words are not trusted for having been seen.
 Hosts and the paths under them get posteriors of their mean quality: a path is
 shrunk toward its host, a host toward the global mean, the more the fewer
 documents it has; the strength of either prior is estimated from the spread
 between sites beyond sampling noise (method of moments). A document is judged by its
-own log-odds plus the log-odds its path adds over the global mean.
+own log-odds plus the log-odds its path adds over the global mean, with the
+document itself left out of its path's and host's sums.
 
 The model is fitted on at most `max_rows` labelled rows, those with the smallest
 hash of their id; everything else covers all documents. Null or empty text has
@@ -24,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winaudit.functions.scratch import materialize
-from winaudit.llm.words import buffer_of
+from winaudit.functions.scratch import discard, materialize
+from winaudit.llm.words import buffer_of, mix, slices
 from winaudit.llm.words import words as words_of
 
 #: Labelled rows that the model is fitted on, at most.
@@ -35,6 +39,8 @@ MAX_SITES = 100_000
 #: Bytes of text whose statistics are taken together.
 SLICE = 1 << 20
 FEATURES = ("length", "upper", "digit", "mark", "bar", "bang", "dash", "accent", "line", "word_length", "repeat", "again")
+#: Buckets (a power of two) that words and pairs of words are hashed to; count added to each.
+BUCKETS, SMOOTH = 1 << 15, 0.5
 _MARKS = np.frombuffer(b"#$%&*+/<=>@[\\]^_`{}~", np.uint8)
 
 
@@ -43,17 +49,37 @@ def _share(mask: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (sums[bounds[1:]] - sums[bounds[:-1]]) / n
 
 
-def statistics(texts: pa.Array) -> np.ndarray:
-    """One row of FEATURES per text, counted over whole texts; so many bytes at a time, or one longer text."""
-    _, ends = buffer_of(texts)
-    out, at = [np.zeros((0, len(FEATURES)))], 0
-    while at < len(texts):
-        till = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
-        out.append(_statistics(texts.slice(at, till - at)))
-        at = till
+def buckets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words and pairs of neighbours, word by word, and the n + 1 bounds of each text's among them."""
+    hashes, per = words_of(texts)
+    with np.errstate(over="ignore"):
+        pairs = mix(np.concatenate([np.zeros(min(1, len(hashes)), np.uint64), hashes[:-1]]) * np.uint64(3) + hashes)
+    pairs[per[:-1][per[:-1] < len(pairs)]] = 0  # no pair ends with a text's first word
+    both = np.column_stack([hashes, pairs]).ravel()
+    return (both >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), 2 * per
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Per bucket the log of its share in good texts over that in bad ones; counts: bad and good, by bucket."""
+    share = (counts + SMOOTH) / (counts + SMOOTH).sum(1, keepdims=True)
+    return np.log(share[1] / share[0])
+
+
+def mean_odds(texts: pa.Array, odds: np.ndarray) -> np.ndarray:
+    """Each text's mean log-odds over its words and pairs; 0 without words."""
+    out = [np.zeros(0)]
+    for part in slices(texts, SLICE):
+        buckets, per = buckets_of(part)
+        sums = np.concatenate([[0], np.cumsum(odds[buckets])])
+        out.append((sums[per[1:]] - sums[per[:-1]]) / np.maximum(np.diff(per), 1))
     return np.concatenate(out)
 
 
+def statistics(texts: pa.Array) -> np.ndarray:
+    """One row of FEATURES per text, counted over whole texts."""
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(_statistics(part) for part in slices(texts, SLICE))])
+
+
 def _statistics(texts: pa.Array) -> np.ndarray:
     raw, bounds = buffer_of(texts)
     size = np.diff(bounds)
@@ -85,18 +111,20 @@ def _repeats(text: str) -> float:
 
 
 class Model:
-    """Logistic regression on standardised statistics."""
+    """Logistic regression on standardised columns: the statistics and the mean log-odds of words by `odds`."""
 
-    def __init__(self, rows: np.ndarray, good: np.ndarray, ridge: float = 1.0):
-        self.mean, self.scale = (rows.mean(0), np.maximum(rows.std(0), 1e-9)) if len(rows) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-        self.weights = np.zeros(len(FEATURES) + 1)
+    def __init__(self, rows: np.ndarray, good: np.ndarray, odds: np.ndarray, ridge: float = 1.0):
+        self.odds = odds
+        width = len(FEATURES) + 1
+        self.mean, self.scale = (rows.mean(0), np.maximum(rows.std(0), 1e-9)) if len(rows) else (np.zeros(width), np.ones(width))
+        self.weights = np.zeros(width + 1)
         base = float(np.clip(good.mean(), 0.02, 0.98)) if len(good) else 0.5
         self.weights[0] = np.log(base / (1 - base))
         self.fitted = len(good) > 0 and 0 < good.mean() < 1
         if not self.fitted:
             return
         x = self._design(rows)
-        penalty = ridge * np.diag([0.0] + [1.0] * len(FEATURES))
+        penalty = ridge * np.diag([0.0] + [1.0] * width)
         for _ in range(25):  # Newton steps
             p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
             step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (good - p) - penalty @ self.weights)
@@ -107,23 +135,49 @@ class Model:
     def _design(self, rows: np.ndarray) -> np.ndarray:
         return np.column_stack([np.ones(len(rows)), np.clip((rows - self.mean) / self.scale, -8, 8)])
 
-    def probability(self, rows: np.ndarray) -> np.ndarray:
+    def probability(self, texts: pa.Array) -> np.ndarray:
+        rows = np.column_stack([statistics(texts), mean_odds(texts, self.odds)])
         return 1 / (1 + np.exp(-np.clip(self._design(rows) @ self.weights, -12, 12)))
 
 
+def _word_counts(texts: DataFrame) -> np.ndarray:
+    """Counts of each (half, class, bucket) over texts' rows: text, good, half. Tasks send sums; 4 * BUCKETS numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(4 * BUCKETS, np.int64)
+        for batch in batches:
+            kind = batch["half"].to_numpy() * 2 + batch["good"].to_numpy().astype(np.int64)
+            for k in range(4):
+                for part in slices(batch["text"].filter(pa.array(kind == k)), SLICE):
+                    sums[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(buckets_of(part)[0], minlength=BUCKETS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["at", "n"])
+
+    got = texts.select("text", "good", "half").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(4 * BUCKETS)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(2, 2, BUCKETS)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """labels: id_col and label_col, 1 good or 0 bad; other values are ignored."""
     some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("good"))
     some = materialize(some.orderBy(F.xxhash64("id"), "id", "good").limit(max_rows), "labelled")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")  # at most max_rows rows
+    texts = texts.orderBy(F.xxhash64("id", "good")).limit(max_rows).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)))
+    texts = materialize(texts, "labelled_texts")
+    counts = _word_counts(texts)
+    halves = np.stack([log_odds(counts[1]), log_odds(counts[0])])  # for each half the other's
 
     @F.arrow_udf("array<double>")
-    def stats(texts: pa.Array) -> pa.Array:
-        return pa.array(list(statistics(texts)), pa.list_(pa.float64()))
+    def rows(texts: pa.Array, half: pa.Array) -> pa.Array:
+        odds = np.where(half.to_numpy() == 0, mean_odds(texts, halves[0]), mean_odds(texts, halves[1]))
+        return pa.array(list(np.column_stack([statistics(texts), odds])), pa.list_(pa.float64()))
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")  # at most max_rows rows
-    got = texts.select("id", "good", stats("text").alias("x")).orderBy(F.xxhash64("id", "good")).limit(max_rows).collect()
-    got.sort(key=lambda r: (r.id, r.good))
-    return Model(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r.good for r in got]))
+    got = texts.select("id", "good", rows("text", "half").alias("x")).collect()
+    discard(some, texts)
+    got.sort(key=lambda r: (r.id, r.good, r.x))
+    return Model(np.array([r.x for r in got]).reshape(len(got), len(FEATURES) + 1), np.array([r.good for r in got]), log_odds(counts.sum(0)))
 
 
 def evidence(text: Column, model: Model) -> Column:
@@ -132,7 +186,7 @@ def evidence(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(model.probability(statistics(batch)))
+            yield pa.array(model.probability(batch))
 
     return score(text)
 
@@ -155,8 +209,8 @@ def _log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """scored: host, path, p. Returns (host, path, host_mean, path_mean) and the global mean."""
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """scored: host, path, p. Returns (host, path, n, s, host_n, host_s, host_mean, path_mean), and top, the global mean, with the priors' documents, host and path."""
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("s2")]
     paths = materialize(scored.groupBy("host", "path").agg(*sums), "paths")
     within = F.col("s2") - F.col("s") * F.col("s") / F.col("n")
@@ -164,27 +218,30 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     top = 0.5 if top is None else float(top)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2"))
     hosts = hosts.select("host", "n", "s", (F.col("s") / F.col("n")).alias("mean"), within.alias("within"), F.lit(top).alias("m"))
-    k = _strength(hosts)
-    hosts = materialize(hosts.select("host", ((F.col("s") + k * top) / (F.col("n") + k)).alias("host_mean")), "hosts")
-    joined = paths.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host"))).select("a.*", "host_mean")
-    k = _strength(joined.select("n", (F.col("s") / F.col("n")).alias("mean"), within.alias("within"), F.col("host_mean").alias("m")))
-    return joined.select("host", "path", "host_mean", ((F.col("s") + k * F.col("host_mean")) / (F.col("n") + k)).alias("path_mean")), top
+    of_host = _strength(hosts)
+    hosts = materialize(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + of_host * top) / (F.col("n") + of_host)).alias("host_mean")), "hosts")
+    joined = paths.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host"))).select("a.*", "host_n", "host_s", "host_mean")
+    of_path = _strength(joined.select("n", (F.col("s") / F.col("n")).alias("mean"), within.alias("within"), F.col("host_mean").alias("m")))
+    sites = joined.select("host", "path", "n", "s", "host_n", "host_s", "host_mean", ((F.col("s") + of_path * F.col("host_mean")) / (F.col("n") + of_path)).alias("path_mean"))
+    return sites, {"top": top, "host": of_host, "path": of_path}
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = MAX_ROWS, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with p_text, host_mean, path_mean, p_quality and keep.
+    """docs with p_text, host_mean, path_mean (both without the document itself), p_quality and keep.
 
     The texts are read twice, for the sums and for the verdicts, rather than shuffled.
     """
     model = fit(docs, labels, max_rows, id_col, text_col)
     scored = docs.select(host.alias("host"), path.alias("path"), evidence(F.col(text_col), model).alias("p"))
-    sites, top = site_posteriors(scored)
+    sites, prior = site_posteriors(scored)
     sites = materialize(sites, "sites")
     small = sites.limit(MAX_SITES + 1).count() <= MAX_SITES
-    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_mean", "path_mean")
+    sites = sites.select(*[F.col(c).alias(f"__{c}") for c in ("host", "path", "n", "s", "host_n", "host_s")])
     base = docs.drop("p_text", "host_mean", "path_mean", "p_quality", "keep").withColumns({"p_text": evidence(F.col(text_col), model), "__h": host, "__p": path})
     out = base.join(F.broadcast(sites) if small else sites, F.col("__h").eqNullSafe(F.col("__host")) & F.col("__p").eqNullSafe(F.col("__path")), "left")
-    odds = _log_odds(F.col("p_text")) + _log_odds(F.col("path_mean")) - _log_odds(F.lit(top))
-    keep = (F.col("p_quality") >= threshold) | F.lit(not model.fitted)
-    out = out.drop("__h", "__p", "__host", "__path").withColumn("p_quality", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("keep", keep)
+    others = lambda s, n, k, m: (F.col(s) - F.col("p_text") + F.lit(prior[k]) * m) / (F.col(n) - 1 + F.lit(prior[k]))
+    out = out.withColumn("host_mean", others("__host_s", "__host_n", "host", F.lit(prior["top"])))
+    out = out.withColumn("path_mean", others("__s", "__n", "path", F.col("host_mean"))).drop("__h", "__p", *sites.columns)
+    odds = _log_odds(F.col("p_text")) + _log_odds(F.col("path_mean")) - _log_odds(F.lit(prior["top"]))
+    out = out.withColumn("p_quality", 1 / (1 + F.exp(-odds)))
+    return out.withColumn("keep", (F.col("p_quality") >= threshold) | F.lit(not model.fitted))
