@@ -14,10 +14,11 @@ text one is kept. Extra columns don't matter. An empty table gives none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import materialize
+from winaudit.llm.rows import one_of_each, without_rows
 from winaudit.llm.text import ascii_lower
 
 #: Chunk lengths in characters: at least, and at most if no bound comes.
@@ -72,18 +73,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows that stay, with docs' columns.
 
-    The rows to drop, the few, are matched by (id, text digest). Only if the
-    table repeats such a pair are the rows that share one numbered and all but
-    one dropped.
+    The rows to drop, the few, are matched by (id, text digest), without shuffling the others. Where the
+    table repeats the (id, digest) of a row that stays, one row of those is taken.
     """
-    found = materialize(exact_groups(docs, id_col, text_col), "decided")
-    dropped = materialize(found.where("not kept").select("id", "text_sha256").distinct(), "dropped")
-    repeated = found.where("group_size > 1").groupBy("id", "text_sha256").count().where("count > 1").limit(1).count()
+    decided = exact_groups(docs, id_col, text_col)
+    found = materialize(decided.where("group_size > 1").groupBy("id", F.col("text_sha256").alias("key")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "decided")
+    again = found.where("kept and n > 1").select("id", "key")
     digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    kept_keys = found.where("kept").select("id", "text_sha256")
-    gone = dropped.join(kept_keys, dropped.id.eqNullSafe(kept_keys.id) & (dropped.text_sha256 == kept_keys.text_sha256), "left_anti") if repeated else dropped
-    out = docs.withColumn("__digest", digest)
-    out = out.join(gone, out[id_col].eqNullSafe(gone.id) & (out["__digest"] == gone.text_sha256), "left_anti")
-    if repeated:
-        out = out.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, "__digest").orderBy(F.lit(0)))).where("__nth = 1")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = without_rows(docs, found.where("not kept or n > 1").select("id", "key"), id_col, digest)
+    return out if again.isEmpty() else out.unionAll(one_of_each(docs, again, id_col, digest))
