@@ -13,21 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import materialize
-from winaudit.llm import bpe, exact_dedup, jaccard, mixing, quality
+from winaudit.llm import bpe, exact_dedup, jaccard, mixing, quality, rows
 
 #: Pieces that the token stage's tables hold in a Python worker, which it shares with the other stages.
 PIECES = 50_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. Labels of documents that aren't in docs are not used."""
+    """Documents that the quality classifier rejects go. Labels of documents that aren't in docs are not used.
+
+    Null and empty texts are judged by their site; without labels of both classes all stay; of an empty table
+    nothing does. Repeated rows and ids are judged alike, each for itself. Null sources and languages are sites.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.classify(docs, labels, F.col("source"), F.col("lang"))
     return judged.where("keep").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; null counts as the empty text, null ids come last, of repeated rows one stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
@@ -35,34 +39,35 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest doc_id stays; texts without words all do.
 
     Ids that are null come last, then the text's hash decides. Rows are told apart by id and text, so documents
-    whose id is null or repeated stand for themselves; of rows equal in both one stays.
+    whose id is null or repeated stand for themselves; of rows equal in both one stays. Very long texts are
+    documents like others; of an empty table nothing stays.
     """
     found = materialize(jaccard.jaccard_components(docs), "near").where("n_shingles > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("first")
-    kept = materialize(found.groupBy("component").agg(first).select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash")), "near_kept")
-    gone = found.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_anti")
-    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "near_gone")
-    out = docs.withColumn("__h", F.xxhash64("text"))
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_anti")
-    if found.groupBy("id", "text_hash").count().where("count > 1").limit(1).count():
-        empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)
-        out = out.where(~empty).dropDuplicates(["doc_id", "__h"]).unionAll(out.where(empty))
-    return out.select(*docs.columns)
+    kept = materialize(found.groupBy("component").agg(first).select("component", "first.id", "first.text_hash"), "near_kept")
+    here = F.col("k.id").eqNullSafe(F.col("f.id")) & (F.col("k.text_hash") == F.col("f.text_hash"))
+    keys = found.groupBy("component", "id", "text_hash").agg(F.count("*").alias("n")).alias("f").join(kept.alias("k"), "component")
+    keys = materialize(keys.select("f.id", F.col("f.text_hash").alias("key"), "n", here.alias("kept")), "near_keys")
+    again = keys.where("kept and n > 1").select("id", "key")
+    text_hash = F.xxhash64("text")
+    out = rows.without_rows(docs, keys.where("not kept or n > 1").select("id", "key"), "doc_id", text_hash)
+    return out if again.isEmpty() else out.unionAll(rows.one_of_each(docs, again, "doc_id", text_hash))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it: its words taken over its size, rounded half up; 0 to 2 times."""
-    taken = mixing.mix(docs)
-    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)
-    plan = materialize(taken.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), copies.alias("__copies")), "mix_plan")
-    plan = materialize(plan.groupBy("__id", "__hash").agg(F.max("__copies").alias("__copies")).where("__copies > 0"), "mix_copies")
-    out = docs.withColumn("__h", F.xxhash64("text"))
-    out = out.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """Each document comes as often as the mix takes it: its words taken over its size, rounded half up; 0 to 2 times.
+
+    Documents without words (null and empty texts) are not taken. Null sources are a source; rows equal in id and
+    text come equally often; ties of the seeded order don't matter. An empty table gives none.
+    """
+    return mixing.repeated(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with its token ids (packed, little-endian 32-bit), their number, and whether decoding gives back the text."""
+    """doc_id with its token ids (packed, little-endian 32-bit), their number, and whether decoding gives back the text.
+
+    A row for every row, repeated ones too; null counts as the empty text, which has no ids.
+    """
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.with_ids(docs.select("doc_id", "source", "text"), path, pattern, decoded="decoded", most=PIECES)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
