@@ -119,8 +119,23 @@ def test_license_scan(spark):
     assert license_scan.scan(df.where("false"), license_scan.known_licenses(spark)).count() == 0
 
 
+def test_license_scan_of_wrapped_and_spelled_texts(spark):
+    """Published texts wrapped at any width, below copyright lines of many kinds; and spellings side by side."""
+    import textwrap
+
+    full = {n: t for n, t in license_scan.PUBLISHED if len(t) > 500}
+    heads = ["Copyright (c) 2021 Some One", "Copyright 2020, 2021 The Authors. All rights reserved.", "(C) 1999 X", "© Some One", "Copyright Some One <a@b.c>", "Copyright (c)"]
+    rows = [(f"{n}-{w}-{k}", head + "\n\n" + "\n\n".join(textwrap.fill(x, w) for x in t.split("\n\n"))) for n, t in full.items() for w in (30, 47, 72, 10_000) for k, head in enumerate(heads)]
+    rows += [(f"{n}--untitled", t.split("\n\n", 1)[1]) for n, t in full.items() if t.startswith(license_scan.TITLES)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), license_scan.known_licenses(spark)).collect()
+    assert len(got) == len(rows) and {r.id: r.license for r in got if r.license != r.id.rsplit("-", 2)[0]} == {}
+    pairs = [("organisation organisation sub licence sub licence", "organization organization sublicense sublicense"), ("favour favour favour", "favor favor favor")]
+    forms = spark.createDataFrame(pairs, "a string, b string").select(license_scan.canonical(F.col("a")).alias("a"), license_scan.canonical(F.col("b")).alias("b")).collect()
+    assert all(r.a == r.b for r in forms)
+
+
 def test_warc_round_trip(spark):
-    rows = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (3, None, None), (4, "http://d/", ""), (5, "http://e/ ü", "é" * 30_000), (6, "u", LONG), (7, "u", "<p>x</p>"), (7, "u", "<p>x</p>")]
+    rows = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (3, None, None), (4, "http://d/", ""), (5, "http://e/ ü", "é" * 30_000), (6, "u\n\tv w", LONG), (7, "u", "<p>x</p>"), (7, "u", "<p>x</p>")]
     pages = spark.createDataFrame([(i, u, h, 5) for i, u, h in rows], "page_id long, url string, html string, length int").repartition(2)
     folder = scratch_path(spark, "warc-test")
     index = warc.write_archives(warc.record_types(pages), folder, file_bytes=2000)
@@ -134,6 +149,7 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=lambda x: x[0])
     big = warc.record_types(pages, min_bytes=100)
     assert {r.record_type for r in big.collect()} == {"response"}
+    assert warc.read_records(index.where("id = 6"), folder).first().url == "u%0A%09v%20w"
     assert warc.read_records(index.where("id = 5"), folder).first().payload == ("é" * 30_000).encode()
     empty = warc.write_archives(warc.record_types(pages.where("false")), folder)
     assert warc.read_pages(empty, folder).count() == 0

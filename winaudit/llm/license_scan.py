@@ -25,8 +25,8 @@ SPELLINGS = [
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"), ("ver", "version"),
 ]
 
-# Notices and short licence texts, as published.
-KNOWN = [
+# Notices and licence texts, as published.
+PUBLISHED = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -51,24 +51,37 @@ KNOWN = [
         "Zlib",
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
     ),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 ]
+#: Names of licences that texts are often found without.
+TITLES = ("MIT License", "ISC License", "BSD 2-Clause License", "BSD 3-Clause License")
+KNOWN = PUBLISHED + [(name, text[len(t) :].strip()) for name, text in PUBLISHED for t in TITLES if text.startswith(t + "\n")]
 
-#: A line that starts so is a copyright line.
-COPYRIGHT = r"^\W*(?:copyright\b|\(c\)|©|all rights reserved)"
+#: A line that starts so is a copyright line, if it doesn't go on about copyright as such.
+COPYRIGHT = r"^\W*(?:copyright\b|\(c\)\W*(?:\d{4}|copyright\b)|©|all rights reserved)"
+ABOUT_COPYRIGHT = r"^\W*copyright\W+(?:notices?|holders?|owners?|ownership|and|or|laws?|licen[cs]\w*|statements?|disclaimers?|interests?|acts?|is|in|of|on|to|as|protect\w*|treat\w*|for)\b"
 COPYRIGHT_HINTS = ("copyright", "(c)", "©", "all rights reserved")
 #: Words that equivalent spellings may touch; only texts that hold one are rewritten.
 _HINTS = sorted({a.split()[0] for a, _ in SPELLINGS})
 
 
 def _spelled(words: Column) -> Column:
-    """Canonical spellings in words that have one space between."""
+    """Canonical spellings in words that have one space between. Each word gets spaces of its own, so neighbours are both seen."""
     padded = F.concat(F.lit(" "), words, F.lit(" "))
-    out, touched = padded, F.lit(False)
+    out, touched = F.replace(padded, F.lit(" "), F.lit("  ")), F.lit(False)
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+        out = F.replace(out, F.lit(spaced(a)), F.lit(spaced(b)))
     for h in _HINTS:
         touched = touched | F.contains(padded, F.lit(f" {h} "))
-    return F.when(touched, F.trim(out)).otherwise(words)
+    return F.when(touched, F.trim(F.replace(out, F.lit("  "), F.lit(" ")))).otherwise(words)
+
+
+def spaced(words: str) -> str:
+    """Words with a space of their own on either side."""
+    return "".join(f" {w} " for w in words.split())
 
 
 def _line_words(text: Column) -> Column:
@@ -78,7 +91,7 @@ def _line_words(text: Column) -> Column:
     for h in COPYRIGHT_HINTS:
         held = held | F.contains(low, F.lit(h))
     lines = F.split(low, "\n")
-    lines = F.when(held, F.filter(lines, lambda x: ~F.rlike(x, F.lit(COPYRIGHT)))).otherwise(lines)
+    lines = F.when(held, F.filter(lines, lambda x: ~(F.rlike(x, F.lit(COPYRIGHT)) & ~F.rlike(x, F.lit(ABOUT_COPYRIGHT))))).otherwise(lines)
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))), lambda x: x != "")
 
 

@@ -96,11 +96,11 @@ _AZ = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
 def _license_sql() -> str:
     at = lambda pattern, x: pattern.replace("@", x)
     values = ",\n".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in license_scan.KNOWN)
-    spelled = "' ' || @ || ' '"
+    spelled = "replace(' ' || @ || ' ', ' ', '  ')"
     for a, b in license_scan.SPELLINGS:
-        spelled = f"replace({spelled}, ' {a} ', ' {b} ')"
-    spelled = f"trim({spelled})"
-    words = "list_filter(list_transform(list_filter(string_split(lower(@), chr(10)), lambda x: not regexp_matches(x, '" + license_scan.COPYRIGHT.replace("'", "''") + "')), lambda x: trim(regexp_replace(x, '[^\\p{L}\\p{N}]+', ' ', 'g'))), lambda x: x <> '')"
+        spelled = f"replace({spelled}, '{license_scan.spaced(a)}', '{license_scan.spaced(b)}')"
+    spelled = f"trim(replace({spelled}, '  ', ' '))"
+    words = "list_filter(list_transform(list_filter(string_split(lower(@), chr(10)), lambda x: not (regexp_matches(x, '" + license_scan.COPYRIGHT + "') and not regexp_matches(x, '" + license_scan.ABOUT_COPYRIGHT + "'))), lambda x: trim(regexp_replace(x, '[^\\p{L}\\p{N}]+', ' ', 'g'))), lambda x: x <> '')"
     return f"""
 with known(license, body) as (values {values}),
 kd as (select sha256(form) as digest, min(license) as license from
