@@ -10,7 +10,7 @@ Files go to a folder that executors share. Each task attempt writes names of its
 and only the index rows that Spark commits name files, so a lost or repeated
 task leaves at most files that nothing refers to.
 
-Null payloads count as empty, a null url as ''. Null ids are records too, urn
+Null payloads count as empty, a null url as ''; white space in urls is percent-encoded. Null ids are records too, urn
 "null"; rows that repeat an id and payload share the record type. An empty table
 gives an empty index. Extra columns don't matter.
 """
@@ -21,9 +21,11 @@ import base64
 import gzip
 import hashlib
 import math
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,8 +36,8 @@ from winaudit.functions.scratch import materialize
 
 #: Bytes of an archive file after which a task begins the next; of one coalesced read; of a gap that is read over.
 FILE_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 64 << 10
-#: Bytes of records that a task reads, about: offsets are dealt in stretches of so many bytes.
-STRETCH = 16 << 20
+#: Bytes of records that a task reads, about: offsets are dealt in stretches of so many bytes; longer ones beyond so many tasks.
+STRETCH, MOST_TASKS = 16 << 20, 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
@@ -57,9 +59,10 @@ def record_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     base = base.withColumns({"payload_digest": base32_sha1(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
-    first = base.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("id").alias("first"), F.count("*").alias("n"))
-    shared = materialize(first.where("n > 1").select("payload_digest", "first"), "shared_payloads")
-    out = base.join(shared, "payload_digest", "left")
+    strong = F.unhex(F.sha2("payload", 256)).alias("strong")  # SHA-1 alone may be made to collide
+    first = base.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", strong).agg(F.max("id").alias("first"), F.count("*").alias("n"))
+    shared = materialize(first.where("n > 1").select("payload_digest", "strong", "first"), "shared_payloads")
+    out = base.withColumn("strong", strong).join(shared, ["payload_digest", "strong"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.col("payload_bytes") >= min_bytes)
     return out.select(*base.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -72,7 +75,7 @@ def record(row: dict) -> bytes:
     """One WARC/1.1 record. The HTTP header names the full payload's length; a revisit ends with it."""
     body = b"" if row["record_type"] == "revisit" else row["payload"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
-    url = "".join(row["url"].split())
+    url = re.sub(r"\s", lambda m: quote(m[0]), row["url"])
     head = [
         "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_urn(row['id'])}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}", "Content-Type: application/http; msgtype=response", f"X-Page-Id: {'' if row['id'] is None else row['id']}",
@@ -168,9 +171,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema=_READ_SCHEMA)
 
-    stretch = F.expr(f"offset div {STRETCH}")
-    tasks = math.ceil((index.agg(F.sum("length")).first()[0] or 1) / STRETCH)
-    dealt = index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 1
+    stretch = max(STRETCH, total // MOST_TASKS)
+    dealt = index.select("file", "offset", "length").repartition(math.ceil(total / stretch), "file", F.expr(f"offset div {stretch}")).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, _READ)
 
 
