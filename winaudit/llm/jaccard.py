@@ -50,6 +50,8 @@ PERCENT = 80
 COSTLY, MAX_COSTLY = 16, 1_000_000
 #: Shingles or keys that one bucket gathers, about.
 BUCKET = 500_000
+#: Shingles or keys that a task holds before it sends them.
+HELD = 500_000
 #: Bits of the filter that keeps most sets that are no candidates from being shuffled; fixed size, false positives only cost.
 FILTER_BITS = 1 << 25
 #: Costs: of a row of the index, and of a false candidate group; chance that a shingle is shared by chance.
@@ -274,7 +276,7 @@ def costly_shingles(docs: DataFrame, text_col: str, naming: Naming, total: int,
             for _, s in _nodes(batch["text"], seen, naming):
                 held.append(s)
                 n += len(s)
-                if n >= 2_000_000:
+                if n >= HELD:
                     n = 0
                     yield flush()
         if held:
@@ -336,7 +338,7 @@ def index_groups(docs: DataFrame, text_col: str, naming: Naming, costly: tuple[n
                     keys.append(k)
                     held.append(np.full(len(k), node >> (64 - node_bits), np.uint64))
                     n += len(k)
-                    if n >= 1_000_000:
+                    if n >= HELD:
                         yield flush()
                         n = 0
             if n:
@@ -390,7 +392,7 @@ def candidate_sets(docs: DataFrame, text_col: str, naming: Naming, nodes: DataFr
                     ids.append(node)
                     sets.append(s.tobytes())
                     held += len(s)
-                if held >= 1_000_000:
+                if held >= HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).astype(np.int64)), pa.array(sets, pa.binary())], names=["node", "shingles"])
                     ids, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).astype(np.int64)), pa.array(sets, pa.binary())], names=["node", "shingles"])
@@ -673,7 +675,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     naming = Naming(bits=name_bits)
-    with arrow_batches(spark, 1000, "16m"):
+    with arrow_batches(spark, 1000, "4m"):
         while True:
             sets = document_sets(docs, id_col, text_col, naming)
             classes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("check") == F.max("check")).alias("verified"))
