@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from winaudit.llm.workers import tidy
+
 _FOREVER = 1 << 60
 _SHORT = (2, 1)
 #: Entries of a worker's tables of known pieces, words and token pairs. A full table of pieces or words becomes the old one, from which what recurs is taken over.
@@ -69,18 +71,18 @@ class Vocabulary:
                 if rank == _FOREVER:
                     raise ValueError(f"no merges lead to {token!r}")
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            self._halves[token] = (parts[0], parts[1])
+            self._halves[token] = tuple(self.tokens[self.ranks[p]] for p in parts)  # the vocabulary's own objects
         return self._halves[token]
 
     def _spine(self, rank: int, side: int) -> list[tuple[bytes, int]]:
         """The tokens that stand at one end of this token while it is being merged, each with the rank that consumes it."""
         known = self._right if side else self._left
         if rank not in known:
-            out, token, until = [], self.tokens[rank], _FOREVER
-            out.append((token, until))
-            while len(token) > 1:
-                until, token = self.ranks[token], self._split(token)[side]
-                out.append((token, until))
+            token = self.tokens[rank]
+            out = [(token, _FOREVER)]
+            if len(token) > 1:
+                half = self._split(token)[side]
+                out += [(half, rank), *self._spine(self.ranks[half], side)[1:]]  # one spine's entries serve all that end in it
             known[rank] = out
         return known[rank]
 
@@ -318,7 +320,7 @@ def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa.binary()) for x in new]], schema=pa.schema([*part.schema, *extra]))
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(f.name, T.BinaryType()) for f in extra]])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def with_decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -333,4 +335,4 @@ def with_decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", decod
                 out = pa.array([own.decode(x or b"") for x in part.column(ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], schema=pa.schema([*part.schema, pa.field(decoded, pa.binary())]))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))

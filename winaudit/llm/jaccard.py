@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from winaudit.functions.scratch import discard, materialize
 from winaudit.llm.components import connected_components
 from winaudit.llm.words import mix, shingle_sets
+from winaudit.llm.workers import tidy
 
 #: Similarity in percent.
 PERCENT = 80
@@ -215,7 +216,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, naming: Naming) -
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(sets, f"id {kind}, text_hash long, n long, node long, check long, sketch binary"), "sets")
+    return materialize(rows.mapInArrow(tidy(sets), f"id {kind}, text_hash long, n long, node long, check long, sketch binary"), "sets")
 
 
 def _signed(x: int) -> int:
@@ -296,7 +297,7 @@ def costly_shingles(docs: DataFrame, text_col: str, naming: Naming, total: int,
             values, times = values[keep], times[keep]
         return pa.table({"shingle": pa.array(values.astype(np.int64)), "times": pa.array(times)})
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket long, n long, packed binary, times binary")
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(send), "bucket long, n long, packed binary, times binary")
     found = materialize(sent.groupBy("bucket").applyInArrow(add, "shingle long, times long"), "costly")
     top = found.orderBy(F.desc("times"), "shingle").limit(most).toArrow()  # at most 16 bytes each
     discard(found)
@@ -366,7 +367,7 @@ def index_groups(docs: DataFrame, text_col: str, naming: Naming, costly: tuple[n
         g, m = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (gids, members))
         return pa.table({"gid": pa.array(g), "prefix": pa.array(m)})
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket long, n long, keys binary, nodes binary")
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(send), "bucket long, n long, keys binary, nodes binary")
     found = materialize(sent.groupBy("bucket").applyInArrow(gather, "gid long, prefix long"), "found")
     groups = materialize(found.distinct(), "groups")
     discard(found)
@@ -397,7 +398,7 @@ def candidate_sets(docs: DataFrame, text_col: str, naming: Naming, nodes: DataFr
                     ids, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).astype(np.int64)), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "node long, shingles binary")
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(send), "node long, shingles binary")
     return materialize(sent.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidates")
 
 
@@ -416,7 +417,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     few = F.broadcast if pairs.count() <= MANY_PAIRS else lambda df: df
     left = few(pairs).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(few(pairs.select("b").distinct()), "b", "left_semi")
-    return materialize(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean"), "verified")
+    return materialize(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long, linked boolean"), "verified")
 
 
 class Members:
@@ -591,7 +592,7 @@ def _stars(members: DataFrame, classes: DataFrame, percent: int, crowded: int) -
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(some[at])), batch["b"].take(pa.array(some[at])), pa.array(far)], names=["a", "b", "far"])
 
     one, two = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
-    near = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(allowed, "a long, b long, far double"), "similar")
+    near = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(allowed), "a long, b long, far double"), "similar")
     discard(led, pairs)
     return near
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from winaudit.functions.scratch import discard, materialize
 from winaudit.llm.words import buffer_of, mix, slices
 from winaudit.llm.words import words as words_of
+from winaudit.llm.workers import tidy
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_ROWS = 20_000
@@ -153,7 +154,7 @@ def _word_counts(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["at", "n"])
 
-    got = texts.select("text", "good", "half").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.select("text", "good", "half").mapInArrow(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(4 * BUCKETS)
     out[got["at"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(2, 2, BUCKETS)
@@ -185,8 +186,7 @@ def evidence(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(model.probability(batch))
+        yield from tidy(lambda all_: (pa.array(model.probability(batch)) for batch in all_))(batches)
 
     return score(text)
 
