@@ -17,6 +17,14 @@ from winaudit.llm import bpe, exact_dedup, jaccard, mixing, quality, rows
 
 #: Pieces that the token stage's tables hold in a Python worker, which it shares with the other stages.
 PIECES = 50_000
+#: Rows and bytes that Python workers get at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so workers get few at a time. The session keeps the setting: a stage's rows are made after it returns."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are judged by their site; without labels of both classes all stay; of an empty table
     nothing does. Repeated rows and ids are judged alike, each for itself. Null sources and languages are sites.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.classify(docs, labels, F.col("source"), F.col("lang"))
     return judged.where("keep").select(*docs.columns)
@@ -68,6 +77,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A row for every row, repeated ones too; null counts as the empty text, which has no ids.
     """
+    small_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.with_ids(docs.select("doc_id", "source", "text"), path, pattern, decoded="decoded", most=PIECES)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
