@@ -128,6 +128,16 @@ from p join g on p.html = g.html join d on p.h = d.h""",
 with d as (select doc_id, translate(coalesce(text, ''), {_AZ}) as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from d join g using (t)""",
+    "op5_ngram_jaccard": rf"""
+with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') as ws from documents),
+d as materialized (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as shingles from w),
+s as materialized (select doc_id, unnest(shingles) as shingle from d),
+n as materialized (select doc_id, len(shingles) as n from d),
+b as (select x.doc_id as a, y.doc_id as b, count(*) as n from s x join s y using (shingle) where x.doc_id <> y.doc_id group by all),
+l as materialized (select b.a, b.b from b join n x on x.doc_id = b.a join n y on y.doc_id = b.b where 100 * b.n >= {jaccard.PERCENT} * (x.n + y.n - b.n)),
+r(doc_id, reached) as (select doc_id, doc_id from n union select r.doc_id, l.b from r join l on l.a = r.reached)
+select doc_id, cast(any_value(n.n) as bigint) as n_shingles, min(reached) as component_id from n join r using (doc_id) group by doc_id""",
     "op7_url_filters": f"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {_AZ}) as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
 r(rhost, rpath, verdict) as (values {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
