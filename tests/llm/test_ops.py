@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import scratch_path
 import corpus_pipeline
-from winaudit.llm import bpe, components, embeddings, exact_dedup, jaccard, license_scan, maxent, mixing, quality, url_filter, warc, words
+from winaudit.llm import bpe, components, embeddings, exact_dedup, jaccard, license_scan, maxent, mixing, quality, url_filter, warc, words, workers
 from winaudit.llm import rows as llm_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -717,3 +717,14 @@ def test_lm_is_a_distribution(spark):
     unknown = p[maxent.SINGLES + maxent.BANDS :] * maxent.SMOOTH / voc.mass[maxent.SINGLES + maxent.BANDS :]
     live = p[voc.mass > 0].sum()
     assert total + unknown.sum() == pytest.approx(live, abs=1e-5)
+
+
+def test_tidy_tasks_yield_all_and_give_memory_back(monkeypatch):
+    back = []
+    monkeypatch.setattr(workers, "give_back", lambda: back.append(1))
+    assert list(workers.tidy(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6] and len(back) == 1
+    assert list(workers.tidy(lambda batches: iter(()))(iter(()))) == [] and len(back) == 2
+    stopped = workers.tidy(lambda batches: (b for b in batches))(iter([1, 2, 3]))
+    assert next(stopped) == 1
+    stopped.close()
+    assert len(back) == 3
