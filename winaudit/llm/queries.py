@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import scratch_path
-from winaudit.llm import bpe, embeddings, exact_dedup, jaccard, license_scan, maxent, mixing, quality, url_filter, warc
+from winaudit.llm import bpe, embeddings, exact_dedup, jaccard, license_scan, maxent, mixing, negatives, periodic, quality, topk, url_filter, warc
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -72,6 +73,38 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with a periodic end in a tenth of the documents, told by their ids' CRC-32; a null id has none."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (3 + (n - a) // p))[: n - a]
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.with_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=with_period)
+    top = periodic.strongest(F.col("runs"))
+    told = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    return out.select("id", "n_words", "runs", "collapsed", top.alias("top")).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = topk.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10, 1024)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label, 256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": license_scans,
     "op2_warc": warc_archives,
@@ -83,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": embedding_near_dedup,
     "op9_quality_classifier": quality_classifier,
     "op10_lm_scoring": lm_scoring,
+    "op11_periodic_runs": periodic_runs,
+    "op12_exact_top_k": exact_top_k,
+    "op13_hard_negatives": mined_negatives,
 }
 
 
@@ -91,6 +127,9 @@ def _sql_text(x: str) -> str:
 
 
 _AZ = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+#: Of rows of a table with unique ids: those whose vectors take part, and the inner product of two of them.
+_SOUND = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+_INNER = "cast(list_sum(list_transform(list_zip(a.v, b.v), lambda t: t[1] * t[2])) as bigint)"
 
 
 def _license_sql() -> str:
@@ -144,4 +183,15 @@ r(rhost, rpath, verdict) as (values {", ".join(f"('{h}', '{p}', '{v}')" for h, p
 f as (select page_id, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(verdict, length(rhost || rpath)) as verdict
   from p join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
 select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join f using (page_id)""",
+    "op12_exact_top_k": f"""
+with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings where {_SOUND}),
+s as (select a.vec_id as query_id, b.vec_id, {_INNER} as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)
+select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""",
+    "op13_hard_negatives": f"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings where label is not null and {_SOUND}),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike, {_INNER} as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where alike qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank
+  from p join s using (anchor_id) where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
 }
