@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from winaudit.functions import clean, ordering
+from winaudit.functions import clean, ordering, radix
+from winaudit.functions.ranges import meeting_ranges
 from winaudit.operators import calibrate, curves, drift, evaluate, features, leakage, scoring, segments, splits, summary, windows
 from winaudit.sources import flow
 
@@ -66,8 +67,11 @@ def test_positions_and_sums_do_not_depend_on_partitions(spark):
         df = spark.createDataFrame(rows, "g string, k int, v int")
         out = ordering.with_position(df, ["g"], ["k", "v"], "p", count="n", partitions=parts)
         assert all(r.n == len(want[r.g]) for r in out.collect())
-        sums = ordering.with_running_sums(df, ["g"], ["k", "v"], {"t": "v"}, {"all": "v"}, partitions=parts).collect()
-        assert sorted((r.g, r.k, r.v, r.t) for r in sums) == sorted((g, k, v, t) for g, xs in want.items() for _, k, v, t in xs)
+        odd = ordering.with_positions(df, ["g"], ["k", "v"], {"p": ordering.EVERY, "o": F.col("v") % 2 == 1}, {"o": "odd"}, partitions=parts).collect()
+        before = {g: [sum(v % 2 for _, _, v, _ in xs[:i]) for i in range(len(xs) + 1)] for g, xs in want.items()}
+        assert all((r.o, r.odd) == (before[r.g][r.p], before[r.g][-1]) for r in odd)
+        sums = radix.swept(df.withColumn("at", F.col("k") * 100 + F.col("v")), ["g"], "at", {"t": F.col("v"), "n": F.lit(1)}).collect()
+        assert all(r.t_upto == [t for _, k, v, t in want[r.g] if 100 * k + v == r.at][-1] for r in sums)
     assert ordering.with_position(df.where("false"), ["g"], ["k"]).count() == 0
 
 
@@ -82,12 +86,11 @@ def auc_ap(pairs):
     return auc, ap
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_curves_match_definitions(spark, large):
+def test_curves_match_definitions(spark):
     rng = random.Random(5)
     data = {"r": [(rng.randrange(6) / 5, rng.randrange(2)) for _ in range(40)], "one": [(0.3, 0), (0.5, 0)], "flat": [(0.5, 1), (0.5, 0)]}
     df = spark.createDataFrame([(g, s, y) for g, xs in data.items() for s, y in xs], "g string, score double, label int")
-    points = curves.curve_points(df, ["g"], large=large)
+    points = curves.curve_points(df, ["g"])
     auc = {r.g: r.auc for r in curves.roc_auc(points, ["g"]).collect()}
     ap = {r.g: r.ap for r in curves.average_precision(points, ["g"]).collect()}
     for g, xs in data.items():
@@ -107,7 +110,7 @@ def test_oracle_threshold_ties(spark):
 def test_threshold_quantile_and_alarm_at_it(spark):
     df = spark.createDataFrame([(float(x),) for x in range(5)], "score double")
     assert calibrate.threshold_of(df, 0.25) == 3.0
-    assert calibrate.large_threshold(df, 0.3) == pytest.approx(2.8)
+    assert calibrate.threshold_of(df, 0.3) == pytest.approx(2.8)
     assert (calibrate.threshold_of(df, 0.0), calibrate.threshold_of(df, 1.0)) == (4.0, 0.0)
     assert calibrate.threshold_of(df.limit(1), 0.25) == 0.0
     with pytest.raises(ValueError, match="no calibration"):
@@ -115,6 +118,87 @@ def test_threshold_quantile_and_alarm_at_it(spark):
     assert [r.prediction for r in calibrate.apply_threshold(df, threshold=F.lit(3.0)).orderBy("score").collect()] == [0, 0, 0, 1, 1]
 
 
+def bits_of(x, kind):
+    import numpy as np
+
+    n = int(np.array([abs(x)], kind).view("i4" if kind == "f4" else "i8")[0])
+    return -n if x < 0 else n
+
+
+@pytest.mark.parametrize(("kind", "name"), [("f4", "float"), ("f8", "double")])
+def test_keys_of_floats_are_their_bits(spark, kind, name):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-(1 << 62), 1 << 62, 4000).view("f4" if kind == "f4" else "f8")
+    powers = (2.0 ** np.arange(-126, 127)).astype(kind)
+    info = np.finfo(kind)
+    x = np.concatenate([x[~np.isnan(x)], powers, -powers, np.nextafter(powers, powers.dtype.type(0)), np.array([0.0, -0.0, np.inf, -np.inf, info.tiny, info.smallest_subnormal, 3e-40, info.max, -info.max], kind)])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").select(F.col("v").cast(name).alias("v"))
+    assert [r.k for r in radix.with_key(df, "v", "k").collect()] == [bits_of(v, kind) for v in x]
+    above = spark.createDataFrame([(float("nan"),), (float("inf"),)], "v double").select(F.col("v").cast(name).alias("v"))
+    nan, inf = (r.k for r in radix.with_key(above, "v", "k").collect())
+    assert nan > inf
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "long", "int"])
+def test_selection_and_sweep_against_numpy(spark, kind):
+    """Groups (one of them null) of 1 to 400 values with ties, far apart and close together; null values."""
+    import numpy as np
+
+    rng = random.Random(kind)
+    draw = {"float": lambda: float(np.float32(rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-30), 0.5, -0.0, 1e30]))), "double": lambda: rng.choice([rng.gauss(0, 1), 0.5 + rng.randrange(9) * 2.0**-50, 1e300, 5e-324]), "long": lambda: rng.choice([rng.randrange(-9, 9), rng.randrange(1 << 60), -(1 << 62)]), "int": lambda: rng.randrange(-5, 5)}[kind]
+    data = {g: [draw() for _ in range(n)] for g, n in (("a", 400), ("b", 1), ("c", 2), (None, 55))}
+    df = spark.createDataFrame([(g, v) for g, xs in data.items() for v in xs] + [("a", None), ("d", None)], f"g string, v {kind}").repartition(3)
+    shares = {"low": 0.0, "some": 0.37, "mid": 0.5, "high": 0.95, "top": 1.0}
+    got = {r.g: r for r in radix.quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == set(data)
+    for g, xs in data.items():
+        assert [got[g][n] for n in shares] == pytest.approx([float(np.quantile(np.array(xs, float), q)) for q in shares.values()], rel=1e-12, abs=1e-300)
+    with pytest.raises(Exception, match="nothing there"):
+        radix.quantiles(df, ["g"], "v", shares, empty="nothing there").collect()
+    whole = radix.quantiles(df, [], "v", {"m": 0.5}).collect()
+    assert whole[0].m == pytest.approx(float(np.median([float(v) for xs in data.values() for v in xs])), rel=1e-12)
+    assert radix.quantiles(df.where("false"), [], "v", {"m": 0.5}).count() == 0
+    points = radix.swept(df, ["g"], "v", {"c": F.lit(1)})
+    for g, xs in data.items():
+        values = sorted(set(xs))
+        rows = sorted(points.where(F.col("g").eqNullSafe(g)).collect(), key=lambda r: r.v)
+        assert [(r.v, r.c, r.c_upto, r.c_all) for r in rows] == [(v, xs.count(v), sum(x <= v for x in xs), len(xs)) for v in values]
+        assert [r.next_value for r in rows] == [*values[1:], None]
+
+
+def test_ten_million_distinct_scores(spark):
+    """2^23 neighbouring floats from 0.5 on, and a second group; more than a buffer of values would like to hold."""
+    n = 1 << 23
+    df = spark.range(n, numPartitions=8).select((F.col("id") % 2).alias("g"), (0.5 + F.col("id") * 2.0**-24).cast("float").alias("score"))
+    grid = {(r.g, r.target_fpr): r.threshold for r in calibrate.target_fpr_grid(df, [0.25, 0.01, 0.25], ["g"]).collect()}
+    want = lambda g, q: 0.5 + (2 * int(q * (n / 2 - 1)) + g) * 2.0**-24
+    assert len(grid) == 4
+    for (g, fpr), t in grid.items():
+        assert t == pytest.approx(want(g, 1 - fpr), abs=2.0**-22)
+    y = (F.col("g") == 1).cast("int")
+    assert curves.roc_auc(curves.curve_points(df.withColumn("label", y))).first().auc == pytest.approx(0.5 + 1 / n, abs=1e-9)
+
+
+def test_thresholds_are_32_bit(spark):
+    """A score that is a threshold only after rounding to 32 bits alarms; groups without scores are an error."""
+    scores = [0.1, 0.3257972747, 0.7]
+    df = spark.createDataFrame([("r", s) for s in scores], "run string, score double")
+    th = calibrate.threshold_from_benign_fpr(df, 0.5, ["run"])
+    assert th.schema["threshold"].dataType.simpleString() == "float"
+    alarms = calibrate.apply_threshold(df.withColumn("score", F.col("score").cast("float")).join(th, "run")).orderBy("score").collect()
+    assert [r.prediction for r in alarms] == [0, 1, 1]
+    for bad in (df.unionAll(spark.createDataFrame([("s", None)], df.schema)), df):
+        with pytest.raises(Exception, match="no calibration scores"):
+            calibrate.threshold_from_benign_fpr(bad, 0.5, ["run"], groups=spark.createDataFrame([("r",), ("s",)], "run string")).collect()
+    only = spark.createDataFrame([("r", float("inf")), ("r", float("nan")), ("r", 2.0), ("r", None)], "run string, score double")
+    assert calibrate.threshold_from_benign_fpr(only, 0.1, ["run"], finite_only=True).first().threshold == 2.0
+    with pytest.raises(Exception, match="no calibration scores"):
+        calibrate.threshold_from_benign_fpr(only.where("score is null"), 0.1, finite_only=True).collect()
+    assert [(r.target_fpr, r.threshold) for r in calibrate.target_fpr_grid(df, [1.5, -1.0], ["run"]).collect()] == [(1.5, pytest.approx(0.1)), (-1.0, pytest.approx(0.7))]
+
+
 def test_confusion_without_denominators(spark):
     df = spark.createDataFrame([(0, 0)], "label int, prediction int")
     r = evaluate.confusion_at_threshold(df).first()
@@ -128,9 +212,8 @@ def test_anomaly_segments(spark):
     rows = [("f", i, y, a, f"w{i}", "x" if y else "BENIGN", 0.1 * i) for i, (y, a) in enumerate(zip(labels, alarms, strict=True))] + [("g", 0, 1, 1, "v0", "y", 0.5)]
     df = spark.createDataFrame(rows, "file string, w long, label int, prediction int, window_id string, family string, score double")
     want = [("f", 1, "w0", "w1", 2, 1, 1), ("f", 2, "w3", "w3", 1, 0, None), ("f", 3, "w5", "w6", 2, 0, None), ("g", 1, "v0", "v0", 1, 1, 0)]
-    for large in (False, True):
-        got = segments.anomaly_segments(df, ["file"], "w", large=large).orderBy("file", "segment").collect()
-        assert [(r.file, r.segment, r.start_window_id, r.end_window_id, r.length, r.detected, r.delay) for r in got] == want
+    got = segments.anomaly_segments(df, ["file"], "w").orderBy("file", "segment").collect()
+    assert [(r.file, r.segment, r.start_window_id, r.end_window_id, r.length, r.detected, r.delay) for r in got] == want
 
 
 def test_distances(spark):
@@ -220,7 +303,7 @@ def test_summaries(spark):
     runs = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.7), ("b", 0, 0.6), ("b", 1, 0.9)], "model string, seed int, f1 double")
     s = {r.model: r for r in summary.model_summary(runs, ["f1"]).collect()}
     assert s["a"].text == "0.6000±0.1414"
-    assert s["a"].ci_high == pytest.approx(0.6 + 12.706 * 0.1414213562 / math.sqrt(2))
+    assert s["a"].ci_high == pytest.approx(0.6 + 12.706204736432095 * math.sqrt(0.02) / math.sqrt(2))
     one = summary.paired_stats(summary.paired_differences(runs, ["f1"], "a", "b"), ["f1"]).first()
     assert (one.wins, round(one.mean, 6)) == (2, 0.15)
     old = spark.createDataFrame([("d", "m", 0.1, 1.0), ("d", "n", 0.1, 2.0)], "dataset string, method string, target_fpr double, f1 double")
@@ -240,9 +323,7 @@ def test_iforest_ranks_outliers_first(spark):
 
 @pytest.mark.parametrize("most", [10_000, 100])
 def test_many_ranges_lose_no_row(spark, most):
-    from winaudit.functions.ranges import meeting_ranges
-
-    ranges = spark.createDataFrame([(f"r{i}", 10 * i, 10 * i + (4 if i % 50 else 400)) for i in range(1500)], "split_role string, lo long, hi long")
+    ranges = spark.createDataFrame([(f"r{i}", 10 * i, 10 * i + (4 if i % 50 else 400)) for i in range(1500)] + [("none", 5, 4)], "split_role string, lo long, hi long")
     df = spark.createDataFrame([(i, i + 1) for i in range(-5, 15_600, 7)] + [(None, 3)], "ts_s long, until long")
     want = sum(10 * k <= t <= 10 * k + (4 if k % 50 else 400) for t in range(-5, 15_600, 7) for k in range(1500))
     assert meeting_ranges(df, ranges, "ts_s", "ts_s", most=most).count() == want
@@ -251,6 +332,30 @@ def test_many_ranges_lose_no_row(spark, most):
     assert meeting_ranges(df, ranges, "ts_s", "until", "left_semi", most=most).count() == met
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_ranges_of_any_length(spark, most):
+    """Repeated rows and ranges, spans of 3e9, ends that touch, one point."""
+    rng = random.Random(most)
+    spans = [(-10, -10), (0, 0), (0, 5), (0, 5), (5, 5), (6, 3_000_000_000), (-3_000_000_000, 3_000_000_000), (9, 8)] + [tuple(sorted((rng.randrange(200), rng.randrange(200)))) for _ in range(60)]
+    rows = [(0, 0, "x"), (0, 0, "x"), (5, 6, "x"), (0, 3_000_000_000, "x"), (0, 3_000_000_000, "x"), (None, 4, "x"), (7, None, "x"), (8, 3, "x"), (-9, -8, "x")] + [(*sorted((rng.randrange(-5, 210), rng.randrange(-5, 210))), "x") for _ in range(60)]
+    ranges = spark.createDataFrame([(lo, hi, i) for i, (lo, hi) in enumerate(spans)], "lo long, hi long, n int")
+    df = spark.createDataFrame(rows, "since long, until long, row string")
+    meets = lambda a, b, lo, hi: None not in (a, b) and a <= b and lo <= hi and b >= lo and a <= hi
+    got = meeting_ranges(df, ranges, "since", "until", most=most)
+    assert got.columns == ["since", "until", "row", "lo", "hi", "n"]
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, x, lo, hi, i) for a, b, x in rows for i, (lo, hi) in enumerate(spans) if meets(a, b, lo, hi))
+    some = sorted((a, b, x) for a, b, x in rows if any(meets(a, b, lo, hi) for lo, hi in spans))
+    assert sorted(map(tuple, meeting_ranges(df, ranges, "since", "until", "left_semi", most=most).collect())) == some
+    assert meeting_ranges(df.where("false"), ranges, "since", "until", most=most).count() == 0
+
+
+def test_a_million_ranges(spark):
+    ranges = spark.range(1_000_000).select((F.col("id") * 1000).alias("lo"), (F.col("id") * 1000 + 499).alias("hi"), "id")
+    df = spark.range(2000).select((F.col("id") * 500_000 + 250).alias("t"), (F.col("id") * 500_000 + 250 + 10_000).alias("u"))
+    assert meeting_ranges(df, ranges, "t", "t").agg(F.count("*"), F.sum(F.col("id") * 1000 - F.col("t"))).first()[:] == (2000, -250 * 2000)
+    assert meeting_ranges(df, ranges, "t", "u").count() == 2000 * 11
+
+
 def test_segments_too_short_to_cut(spark):
     df = spark.createDataFrame([("f", i) for i in range(40)], "source_file string, i long")
     counts = {r.split_role: r["count"] for r in splits.split_chrono(df, 0.5, 0.25, 16, ["i"]).groupBy("split_role").count().collect()}

@@ -15,13 +15,13 @@ BENIGN = ("0", "benign", "normal", "no", "false")
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 # Column names that are never features, lower-cased, as flow tables spell them.
 NOT_FEATURES = frozenset({
-    "label", "label_full", "label1", "label2", "label3", "label4", "id", "type", "class", "attack", "attack_cat", "flow id", "source ip", "destination ip", "src ip", "dst ip",
+    "label", "label_full", "label1", "label2", "label3", "label4", "id", "type", "class", "flow id", "source ip", "destination ip", "src ip", "dst ip",
     "timestamp", "timestamp_start", "timestamp_end", "date", "time", "device_name", "device_mac",
 })
 #: Columns that with_provenance() and the splits add.
 OWN_COLUMNS = frozenset({"source_file", "source_day", "row_index", "line", "split_role"})
 # Label columns in order of preference, per data set; and other names of the data sets.
-LABEL_COLUMNS = {"generic": ("label", "label1", "type", "class", "attack"), "swat": ("label1", "label", "type"), "ton_iot": ("label", "type"), "cicids2017": ("label",)}
+LABEL_COLUMNS = {"generic": ("label", "label1", "type", "class"), "swat": ("label1", "label", "type"), "ton_iot": ("label", "type"), "cicids2017": ("label",)}
 DATASET_NAMES = {"cicids": "cicids2017", "cicids_2017": "cicids2017", "cic_ids_2017": "cicids2017", "unsw": "unsw_nb15", "unsw15": "unsw_nb15", "ton": "ton_iot", "toniot": "ton_iot", "ton_lot": "ton_iot"}
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -56,12 +56,12 @@ def dataset_name(name: str) -> str:
     return DATASET_NAMES.get(key, key)
 
 
-def pick_label_col(cols: Sequence[str], dataset: str = "generic") -> str:
-    """The first preferred label column among cols, whatever its case and padding; an error if none is there."""
+def pick_label_col(cols: Sequence[str], dataset: str = "generic", preferred: Sequence[str] | None = None) -> str:
+    """The first preferred label column among cols, whatever its case and padding; an error if none is there. preferred replaces the data set's list."""
     by_lower = {c.strip().lower(): c for c in cols}
-    for want in LABEL_COLUMNS.get(dataset_name(dataset), LABEL_COLUMNS["generic"]):
-        if want in by_lower:
-            return by_lower[want]
+    for want in preferred or LABEL_COLUMNS.get(dataset_name(dataset), LABEL_COLUMNS["generic"]):
+        if want.strip().lower() in by_lower:
+            return by_lower[want.strip().lower()]
     raise ValueError(f"no label column among {list(cols)}")
 
 
@@ -72,19 +72,21 @@ def binary_label(c: Column, numeric: bool) -> Column:
     return (~F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))).isin(*BENIGN)).cast("int")
 
 
-def feature_columns(schema: T.StructType) -> list[str]:
-    """Numeric columns that are neither labels, identities, times nor provenance."""
-    return [f.name for f in schema if isinstance(f.dataType, _NUMERIC) and f.name.strip().lower() not in NOT_FEATURES | OWN_COLUMNS]
+def feature_columns(schema: T.StructType, excluded: Iterable[str] = ()) -> list[str]:
+    """Numeric columns that are neither labels, identities, times nor provenance; nor `excluded`, the label columns and others of a table that NOT_FEATURES lacks."""
+    never = NOT_FEATURES | OWN_COLUMNS | {c.strip().lower() for c in excluded}
+    return [f.name for f in schema if isinstance(f.dataType, _NUMERIC) and f.name.strip().lower() not in never]
 
 
-def select_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keep, *[F.col(f"`{c}`") for c in feature_columns(df.schema) if c not in keep])
+def select_features(df: DataFrame, keep: Sequence[str] = (), excluded: Iterable[str] = ()) -> DataFrame:
+    return df.select(*keep, *[F.col(f"`{c}`") for c in feature_columns(df.schema, excluded) if c not in keep])
 
 
-def common_features(schemas: Sequence[T.StructType]) -> list[str]:
+def common_features(schemas: Sequence[T.StructType], excluded: Iterable[str] = ()) -> list[str]:
     """Features that all schemas have, in the first one's order."""
-    rest = [set(feature_columns(s)) for s in schemas[1:]]
-    return [c for c in feature_columns(schemas[0]) if all(c in r for r in rest)]
+    excluded = tuple(excluded)
+    rest = [set(feature_columns(s, excluded)) for s in schemas[1:]]
+    return [c for c in feature_columns(schemas[0], excluded) if all(c in r for r in rest)]
 
 
 def normalize_text(c: Column) -> Column:

@@ -1,33 +1,25 @@
-"""Exact curves from distinct scores: ROC and PR points, AUC, average precision, best F1."""
+"""Exact curves from distinct scores: ROC and PR points, AUC, average precision, best F1.
+
+Points come from one sweep over the scores' digits (functions/radix.py), so no group has to fit in a task, whatever its number
+of scores. What is made of the points are sums and maxima that tasks combine before they are shuffled.
+Null scores take no part; a null label counts for neither class.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winaudit.functions.ordering import with_running_sums
-
-
-def score_counts(df: DataFrame, group: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
-    """(group, score, pos, neg): rows per distinct score, counted before the shuffle."""
-    return df.groupBy(*group, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-
+from winaudit.functions.radix import swept
 
-def curve_points(df: DataFrame, group: Sequence[str] = (), score: str = "score", label: str = "label", large: bool = False) -> DataFrame:
-    """(group, score, tp, fp, pos, neg, p, n): alarms at each distinct score, highest first, and the class totals.
 
-    large: running sums over range partitions, for groups with more distinct scores than a task should sort.
-    """
-    counts = score_counts(df, group, score, label)
-    if large:
-        counts = counts.withColumn("__down", -F.col(score))
-        out = with_running_sums(counts, list(group), ["__down"], {"tp": "pos", "fp": "neg"}, {"p": "pos", "n": "neg"})
-        return out.drop("__down")
-    part = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    run = part.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run), "p": F.sum("pos").over(part), "n": F.sum("neg").over(part)})
+def curve_points(df: DataFrame, group: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
+    """(group, score, tp, fp, pos, neg, p, n): alarms at each distinct score (those at or above it), anomalies and benign rows there, and the class totals."""
+    y = F.coalesce(F.col(label).cast("long"), F.lit(0))
+    points = swept(df, group, score, {"pos": y, "neg": F.when(F.col(label).isNotNull(), 1 - y).otherwise(0)})
+    return points.select(*group, score, *[(F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)).alias(n) for c, n in (("pos", "tp"), ("neg", "fp"))], "pos", "neg", F.col("pos_all").alias("p"), F.col("neg_all").alias("n"))
 
 
 def roc_points(points: DataFrame, group: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -36,18 +28,25 @@ def roc_points(points: DataFrame, group: Sequence[str] = (), score: str = "score
 
 
 def pr_points(points: DataFrame, group: Sequence[str] = (), score: str = "score") -> DataFrame:
-    return points.select(*group, score, (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "p").alias("recall"))
+    return points.select(*group, score, F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", "p").alias("recall"))
+
+
+def auc() -> Column:
+    """Aggregate of points: the share of (anomaly, benign) pairs in order, ties half; null for one class."""
+    return F.try_divide(F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2)), F.max("p") * F.max("n"))
+
+
+def ap() -> Column:
+    """Aggregate of points: recall steps times precision, no interpolation; 0 without anomalies."""
+    return F.coalesce(F.try_divide(F.sum(F.col("pos") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))), F.max("p")), F.lit(0.0))
 
 
 def roc_auc(points: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """(group, auc): share of (anomaly, benign) pairs in order, ties half; null for one class."""
-    area = F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2))
-    return points.groupBy(*group).agg(F.try_divide(area, F.max("p") * F.max("n")).alias("auc"))
+    return points.groupBy(*group).agg(auc().alias("auc"))
 
 
 def average_precision(points: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """(group, ap): sum of recall steps times precision, no interpolation; 0 without anomalies."""
-    return points.groupBy(*group).agg(F.coalesce(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("p")), F.lit(0.0)).alias("ap"))
+    return points.groupBy(*group).agg(ap().alias("ap"))
 
 
 def oracle_f1_threshold(points: DataFrame, group: Sequence[str] = (), score: str = "score", tie: str = "lowest") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winaudit.functions.radix import quantiles, quantiles_of_counts, swept
 from winaudit.operators import curves
 from winaudit.operators.calibrate import threshold_from_benign_fpr
 from winaudit.operators.scoring import fuse
@@ -58,17 +59,26 @@ def alpha_grid() -> list[float]:
 
 
 def alpha_sweep(scores: DataFrame, fpr: float, group: Sequence[str], calibration: Column, test: Column, grid: Sequence[float] | None = None, digits: int = 6) -> DataFrame:
-    """Per group and alpha: fuse again, calibrate again; threshold, auc, ap and the confusion metrics. scores: sd, sf, label."""
-    narrow = scores.select(*group, "sd", "sf", "label", calibration.alias("__c"), test.alias("__t")).where("__c or __t")
-    wide = narrow.select("*", F.explode(F.array(*[F.lit(a) for a in (grid or alpha_grid())])).alias("alpha"))
-    wide = wide.withColumn("score", F.round(fuse(F.col("sd"), F.col("sf"), F.col("alpha")), digits)).drop("sd", "sf")
+    """Per group and alpha: fuse again, calibrate again; threshold, auc, ap and the confusion metrics. scores: sd, sf, label.
+
+    Rows are counted per distinct (sd, sf) once; only counts are fused with each alpha. One sweep over the fused scores has
+    calibration counts beside those of both test classes, so the threshold, the curve and what lies above the threshold are read from it.
+    """
+    y = F.coalesce(F.col("label"), F.lit(0)) == 1
+    tallies = {"cal": calibration, "pos": test & y, "neg": test & ~y}
+    pairs = scores.where(calibration | test).groupBy(*group, "sd", "sf").agg(*[F.count(F.when(c, 1)).alias(n) for n, c in tallies.items()])
+    wide = pairs.select("*", F.explode(F.array(*[F.lit(a) for a in (grid or alpha_grid())])).alias("alpha"))
+    wide = wide.withColumn("score", F.round(fuse(F.col("sd"), F.col("sf"), F.col("alpha")), digits).cast("float"))
     keys = [*group, "alpha"]
-    thresholds = threshold_from_benign_fpr(wide.where("__c"), fpr, keys)
-    tested = wide.where("__t")
-    points = curves.curve_points(tested, keys)
-    at = tested.join(thresholds, keys).withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
-    out = confusion_at_threshold(at, [*keys, "threshold"])
-    return out.join(curves.roc_auc(points, keys), keys).join(curves.average_precision(points, keys), keys)
+    points = swept(wide, keys, "score", {n: F.col(n) for n in tallies})
+    thresholds = quantiles_of_counts(points, keys, "score", "cal", {"threshold": min(max(1.0 - fpr, 0.0), 1.0)}).withColumn("threshold", F.col("threshold").cast("float"))
+    above = {n: F.col(f"{n}_all") - F.col(f"{n}_upto") + F.col(n) for n in ("pos", "neg")}
+    curve = points.where("pos + neg > 0").withColumns({"tp": above["pos"], "fp": above["neg"], "p": F.col("pos_all"), "n": F.col("neg_all")})
+    alarm = F.col("score") >= F.col("threshold")
+    counts = {"tp": F.sum(F.when(alarm, F.col("pos")).otherwise(0)), "fp": F.sum(F.when(alarm, F.col("neg")).otherwise(0))}
+    out = curve.join(thresholds, keys).groupBy(*keys, "threshold").agg(*[c.alias(f"__{n}") for n, c in counts.items()], F.max("p").alias("p"), F.max("n").alias("n"), curves.auc().alias("auc"), curves.ap().alias("ap"))
+    rates = with_rates(out.select(*keys, "threshold", F.col("__tp").alias("tp"), F.col("__fp").alias("fp"), (F.col("n") - F.col("__fp")).alias("tn"), (F.col("p") - F.col("__tp")).alias("fn"), "auc", "ap"))
+    return rates.select(*keys, "threshold", "tp", "fp", "tn", "fn", "precision", "recall", "f1", "fpr", "auc", "ap")
 
 
 def best_alpha(sweep: DataFrame, metric: str = "f1", k: int = 3) -> DataFrame:
@@ -88,30 +98,38 @@ def family_recall(df: DataFrame, group: Sequence[str] = (), family: str = "famil
     return df.where("label = 1").groupBy(*group, family).agg(F.count("*").alias("support"), F.avg(F.col("prediction").cast("double")).alias("recall"))
 
 
+def _with_quantiles(stats: DataFrame, rows: DataFrame, keys: Sequence[str], score: str, shares: dict[str, float]) -> DataFrame:
+    """stats with exact quantiles of its groups' scores (null where a group has none)."""
+    found = quantiles(rows.select(*keys, score), keys, score, shares)
+    return stats.join(found, list(keys), "left")
+
+
 def family_stats(df: DataFrame, group: Sequence[str] = (), family: str = "family", score: str = "score") -> DataFrame:
-    """Support, recall and the scores' mean, quartiles and mean margin per anomaly family. df: prediction, threshold."""
-    s = F.col(score)
-    return df.where("label = 1").groupBy(*group, family).agg(
-        F.count("*").alias("support"), F.avg(F.col("prediction").cast("double")).alias("recall"), F.avg(s).alias("mean_score"),
-        *[F.expr(f"percentile({score}, {q})").alias(n) for n, q in (("q25", 0.25), ("median_score", 0.5), ("q75", 0.75))], F.avg(s - F.col("threshold")).alias("mean_margin"),
-    )
+    """Support, recall and the scores' mean, quartiles and mean margin per anomaly family (not null). df: prediction, threshold. Null scores count in the support only."""
+    s, keys = F.col(score), [*group, family]
+    rows = df.where((F.col("label") == 1) & F.col(family).isNotNull())
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("support"), F.avg(F.col("prediction").cast("double")).alias("recall"), F.avg(s).alias("mean_score"), F.avg(s - F.col("threshold")).alias("mean_margin"))
+    out = _with_quantiles(stats, rows, keys, score, {"q25": 0.25, "median_score": 0.5, "q75": 0.75})
+    return out.select(*keys, "support", "recall", "mean_score", "q25", "median_score", "q75", "mean_margin")
 
 
 def family_precision_fnr(df: DataFrame, group: Sequence[str], family: str = "family", score: str = "score") -> DataFrame:
     """Family hits over all alarms, false-negative rate, deviation (ddof 1) and 5 % and 95 % quantiles of scores."""
+    keys = [*group, family]
     alarms = df.groupBy(*group).agg(F.sum("prediction").alias("alarms"))
-    per = df.where("label = 1").groupBy(*group, family).agg(
-        F.sum("prediction").alias("hits"), F.count("*").alias("support"), F.stddev_samp(score).alias("std_score"), F.expr(f"percentile({score}, 0.05)").alias("q05"), F.expr(f"percentile({score}, 0.95)").alias("q95")
-    )
-    joined = per.join(alarms, list(group))
-    return joined.select(*group, family, _ratio(F.col("hits"), F.col("alarms")).alias("family_precision"), (1 - F.col("hits") / F.col("support")).alias("fnr"), "std_score", "q05", "q95")
+    rows = df.where((F.col("label") == 1) & F.col(family).isNotNull())
+    per = rows.groupBy(*keys).agg(F.sum("prediction").alias("hits"), F.count("*").alias("support"), F.stddev_samp(score).alias("std_score"))
+    joined = _with_quantiles(per, rows, keys, score, {"q05": 0.05, "q95": 0.95}).join(alarms, list(group))
+    return joined.select(*keys, _ratio(F.col("hits"), F.col("alarms")).alias("family_precision"), (1 - F.col("hits") / F.col("support")).alias("fnr"), "std_score", "q05", "q95")
 
 
 def class_score_stats(df: DataFrame, group: Sequence[str], families: Sequence[str], family: str = "family", score: str = "score") -> DataFrame:
     """Score statistics of some families against benign windows."""
+    keys = [*group, "class"]
     kept = df.where(F.col(family).isin(*families) | (F.col("label") == 0)).withColumn("class", F.when(F.col("label") == 0, "BENIGN").otherwise(F.col(family)))
-    quantiles = [F.expr(f"percentile({score}, {q})").alias(f"q{round(q * 100):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)]
-    return kept.groupBy(*group, "class").agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), *quantiles, F.avg(F.col(score) - F.col("threshold")).alias("mean_margin"))
+    shares = {f"q{round(q * 100):02d}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    stats = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.avg(F.col(score) - F.col("threshold")).alias("mean_margin"))
+    return _with_quantiles(stats, kept, keys, score, shares).select(*keys, "n", "mean", "std", *shares, "mean_margin")
 
 
 def separation_summary(df: DataFrame, group: Sequence[str], calibration: Column, test: Column, score: str = "score") -> DataFrame:
@@ -156,7 +174,7 @@ def evidence_cases(df: DataFrame, group: Sequence[str], ident: str = "window_id"
     kind = outcome()
     margin = F.col(score) - F.col("threshold")
     far = F.when(kind == "TP", -margin).otherwise(F.abs(margin))
-    best = df.groupBy(*group, kind.alias("outcome")).agg(F.min(F.struct(F.round(far, 9).alias("d"), F.col(ident).alias("id"))).alias("b"))
+    best = df.groupBy(*group, kind.alias("outcome")).agg(F.min(F.struct(F.round(far.cast("double"), 9).alias("d"), F.col(ident).alias("id"))).alias("b"))
     return best.select(*group, "outcome", F.col("b.id").alias(ident))
 
 
@@ -169,6 +187,3 @@ def first_evidence(df: DataFrame, group: Sequence[str], order: Sequence[str], id
 def throughput(runs: DataFrame, windows: str = "windows", seconds: str = "inference_time_seconds") -> DataFrame:
     return runs.withColumn("windows_per_second", F.try_divide(windows, seconds))
 
-
-def row_rank(group: Sequence[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*group).orderBy(*order))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winaudit.functions.clean import normalize_category, sanitize
+from winaudit.functions.radix import quantiles
 
 Fit = dict[str, tuple[float, float]]
 #: One-hot columns that a vocabulary may ask for.
@@ -61,9 +62,12 @@ def numeric_screen(df: DataFrame, cols: Sequence[str], most_missing: float = 0.9
     return per.select("column", "missing_ratio", (reason == "").alias("keep"), reason.alias("reason"))
 
 
-def fit_median_impute(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    row = df.agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+def fit_median_impute(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Exact median per column, all columns from the same readings; null and NaN are no values, and a column without any has the median None."""
+    v = F.when(~F.isnan("value"), F.col("value"))
+    found = quantiles(_stacked(df, cols, "double").select("column", v.alias("value")), ["column"], "value", {"median": 0.5}).collect()  # a row a column
+    by = {r.column: r["median"] for r in found}
+    return {c: by.get(c) for c in cols}
 
 
 def apply_impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:

@@ -80,7 +80,3 @@ def upsert_results(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("
     old, fresh = norm(existing), norm(new)
     return old.join(fresh.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
-
-def ranked_results(results: DataFrame, method_order: Sequence[str]) -> DataFrame:
-    rank = reduce(lambda acc, im: acc.when(F.col("method") == im[1], im[0]), list(enumerate(method_order))[1:], F.when(F.col("method") == method_order[0], 0)).otherwise(len(method_order))
-    return results.orderBy("target_fpr", rank, "method")

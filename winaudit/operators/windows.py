@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winaudit.functions.ordering import with_position
+from winaudit.functions.scratch import materialize
 
 
 def segment_positions(df: DataFrame, segment: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -89,14 +90,27 @@ def short_segment_drops(df: DataFrame, segment: Sequence[str], window: int) -> D
     return df.groupBy(*segment).agg(F.count("*").alias("n")).where(F.col("n") < window).agg(F.count("*").alias("segments"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
-def numbered(df: DataFrame, role: str, roles: Sequence[str], order: Sequence[str], name: str, prefix: str = "", width: int = 6) -> DataFrame:
-    """Add name_index in the role and name_id 'role:prefix%0wd', a counter over all rows, roles in the given order."""
+def numbered(df: DataFrame, role: str, roles: Sequence[str], file: str, index: str, name: str, prefix: str = "", width: int = 6) -> DataFrame:
+    """Add name_index in the role and name_id 'role:prefix%0wd', a counter over all rows, roles in the given order, then files.
+
+    `index` counts from 0 in each (role, file) without gaps, so only the segments are put in order: a row each, a role's at a time.
+    """
     place = F.array_position(F.array(*[F.lit(r) for r in roles]), F.col(role))
-    placed = with_position(df.withColumn("__role", place), [], ["__role", *order], "__all")
-    firsts = placed.groupBy(role).agg(F.min("__all").alias("__first"))
-    out = placed.join(firsts, role)
-    ident = F.concat(F.col(role), F.lit(f":{prefix}"), F.format_string(f"%0{width}d", F.col("__all")))
-    return out.withColumns({f"{name}_id": ident, f"{name}_index": F.col("__all") - F.col("__first")}).drop("__all", "__first", "__role")
+    sizes = df.groupBy(role, file).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(role).orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    segments = sizes.select(role, file, "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    segments = materialize(segments, "segments")
+    totals = {r[role]: r.n for r in segments.groupBy(role).agg(F.sum("__n").alias("n"), F.first(place).alias("p")).orderBy("p").collect()}  # a row a role
+    known, firsts = 0, []
+    for r, n in totals.items():
+        firsts += [F.lit(r), F.lit(known).cast("long")]
+        known += n
+    if not firsts:
+        firsts = [F.lit(""), F.lit(0).cast("long")]
+    out = df.join(segments.select(role, file, "__before"), [role, file])
+    at = F.col("__before") + F.col(index)
+    ident = F.concat(F.col(role), F.lit(f":{prefix}"), F.format_string(f"%0{width}d", F.element_at(F.create_map(*firsts), F.col(role)) + at))
+    return out.withColumns({f"{name}_id": ident, f"{name}_index": at}).drop("__before")
 
 
 def window_manifest(df: DataFrame, window: int, stride: int, ratio: float, roles: Sequence[str], segment: Sequence[str] = ("split_role", "source_file"), test: str = "test") -> DataFrame:
@@ -112,11 +126,12 @@ def window_manifest(df: DataFrame, window: int, stride: int, ratio: float, roles
     )
     wins = wins.withColumns({"start_line": F.col("start_row") + 2, "end_line": F.col("end_row") + 2, "benign_flag": F.col("label") == 0})
     wins = wins.withColumn("source_rows", F.concat(F.col("source_file"), F.lit(":"), F.col("start_row").cast("string"), F.lit("-"), F.col("end_row").cast("string")))
-    return numbered(wins, "split_role", roles, ["source_file", "w"], "window")
+    return numbered(wins, "split_role", roles, "source_file", "w", "window")
 
 
-def record_manifest(df: DataFrame, roles: Sequence[str], order: Sequence[str]) -> DataFrame:
-    out = numbered(df, "split_role", roles, order, "record", "record:", 7)
+def record_manifest(df: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """df: split_role, source_file and pos, as segment_positions() gives it."""
+    out = numbered(df, "split_role", roles, "source_file", "pos", "record", "record:", 7)
     return out.withColumn("benign_flag", F.col("label") == 0)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winaudit.functions import clean
+from winaudit.functions.radix import quantiles
 from winaudit.functions.scratch import materialize, scratch_path
 from winaudit.operators import calibrate, curves, drift, evaluate, features, leakage, scoring, segments, splits, summary, windows
 from winaudit.plans import views
@@ -259,7 +260,7 @@ def role_rank() -> Column:
 def base_windows(spark, sf_dir) -> DataFrame:
     """Windows with ids, from records."""
     rec = records(spark, sf_dir)
-    return windows.numbered(views.window_means(rec), "split_role", ROLES, ["source_file", "w"], "window")
+    return windows.numbered(materialize(views.window_means(rec), "windows"), "split_role", ROLES, "source_file", "w", "window")
 
 
 _CHRONO = "case when least(greatest(floor(n * 0.75e0), greatest(floor(n * 0.5e0), 16) + 16), n - 16) <= greatest(floor(n * 0.5e0), 16) then null when p < greatest(floor(n * 0.5e0), 16) then '{a}' when p < least(greatest(floor(n * 0.75e0), greatest(floor(n * 0.5e0), 16) + 16), n - 16) then '{b}' else '{c}' end".format(a=TRAIN, b=CAL, c=TEST)
@@ -362,7 +363,7 @@ def short_segments(spark, sf_dir):
 
 @query("record_manifest", f"with {views.REC}, o as (select *, row_number() over (order by case split_role when '{TRAIN}' then 1 when '{CAL}' then 2 else 3 end, source_file, row_index) - 1 as a from rec) select split_role || ':record:' || printf('%07d', a) as record_id, event_id, split_role, source_file, row_index, label, label = 0 as benign_flag from o")
 def record_manifest(spark, sf_dir):
-    return windows.record_manifest(records(spark, sf_dir), ROLES, ["source_file", "row_index"]).select("record_id", "event_id", "split_role", "source_file", "row_index", "label", "benign_flag")
+    return windows.record_manifest(records(spark, sf_dir), ROLES).select("record_id", "event_id", "split_role", "source_file", "row_index", "label", "benign_flag")
 
 
 @query("window_features", f"with {views.REC}, h as (select *, {views.spread()} as w from rec) select split_role, source_file, w, count(*) * 2 as dims, round(sum(value * (pos - w * {STRIDE} + 1)), 3) as weighted, round(sum(k), 3) as total_k from h group by all")
@@ -376,7 +377,7 @@ def window_features(spark, sf_dir):
 
 @query("window_size_sweep", f"with {views.REC}, " + ", ".join(f"h{n} as (select {n} as window_size, split_role, source_file, {views.spread(n, STRIDE)} as w, label from rec), g{n} as (select window_size, split_role, source_file, w, case when sum(label) / {n}.0 >= {RATIO} then 1 else 0 end as l from h{n} group by all)" for n in (8, 16, 32)) + " select window_size, split_role, count(*) as windows, sum(l) as anomaly_windows from (select * from g8 union all select * from g16 union all select * from g32) group by all")
 def size_sweep(spark, sf_dir):
-    return windows.window_size_sweep(materialize(records(spark, sf_dir), "records"), SEGMENT, [8, 16, 32], STRIDE, RATIO)
+    return windows.window_size_sweep(records(spark, sf_dir), SEGMENT, [8, 16, 32], STRIDE, RATIO)
 
 
 # ---- scores
@@ -411,13 +412,13 @@ def window_embedding(spark, sf_dir):
     return rounded(base_windows(spark, sf_dir).select("window_id", "m_value", "m_k", "m_hour"), "m_value", "m_k", "m_hour")
 
 
-@query("fuse", f"with {views.SCORES} select run_id, window_id, {r('0.24 * sd + 0.76 * sf as fused')} from scores")
+@query("fuse", f"with {views.SCORES} select run_id, window_id, {r('0.24e0 * sd + 0.76e0 * sf as fused')} from scores")
 def fuse(spark, sf_dir):
     s = scores(spark, sf_dir)
     return rounded(s.select("run_id", "window_id", scoring.fuse(F.col("sd"), F.col("sf")).alias("fused")), "fused")
 
 
-@query("score_mode", f"with {views.SCORES} select window_id, {r('sd as prob', 'sf as feat_l2', 'sf_raw as feat_mahal', '0.24 * sd + 0.76 * sf as fused')} from scores where run_id = 'near-0'")
+@query("score_mode", f"with {views.SCORES} select window_id, {r('sd as prob', 'sf as feat_l2', 'sf_raw as feat_mahal', '0.24e0 * sd + 0.76e0 * sf as fused')} from scores where run_id = 'near-0'")
 def score_mode(spark, sf_dir):
     s = scores(spark, sf_dir).where("run_id = 'near-0'")
     modes = {m: scoring.score_mode(m, F.col("sd"), F.col("sf"), F.col("sf_raw")) for m in ("prob", "feat_l2", "feat_mahal", "fused")}
@@ -431,8 +432,7 @@ def reconstruction(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
-    w = materialize(base_windows(spark, sf_dir), "vectors")
-    return w.withColumn("vector", F.array("m_value", "m_k", "m_hour", "max_value"))
+    return base_windows(spark, sf_dir).withColumn("vector", F.array("m_value", "m_k", "m_hour", "max_value"))
 
 
 @query("iforest_score")
@@ -471,9 +471,9 @@ _LOW, _HIGH = _ORACLE.format("asc"), _ORACLE.format("desc")
 
 
 @query("unified_scores", f"""with {views.SCORES}, {_LOW}, u as (select run_id as detector, window_id, split_role, label, score, threshold, oracle_threshold from scores join best using (run_id))
-select detector, window_id, cast(score >= threshold as int) as y_pred_calibration, cast(score >= oracle_threshold as int) as y_pred_oracle, round(score - threshold, {R}) as threshold_distance, {", ".join(f"case when split_role = '{TEST}' then cast({c} as int) end as {n}" for n, c in (("is_tp", "label = 1 and score >= threshold"), ("is_fp", "label = 0 and score >= threshold"), ("is_tn", "label = 0 and score < threshold"), ("is_fn", "label = 1 and score < threshold")))} from u""")
+select detector, window_id, cast(score >= threshold as int) as y_pred_calibration, cast(score >= oracle_threshold as int) as y_pred_oracle, round(cast(score - threshold as double), {R}) as threshold_distance, {", ".join(f"case when split_role = '{TEST}' then cast({c} as int) end as {n}" for n, c in (("is_tp", "label = 1 and score >= threshold"), ("is_fp", "label = 0 and score >= threshold"), ("is_tn", "label = 0 and score < threshold"), ("is_fn", "label = 1 and score < threshold")))} from u""")
 def unified(spark, sf_dir):
-    s = materialize(scores(spark, sf_dir), "all_scores")
+    s = scores(spark, sf_dir)
     best = curves.oracle_f1_threshold(curves.curve_points(s.where(is_role(TEST)), ["run_id"]), ["run_id"])
     full = s.join(best, "run_id").select("run_id", "window_id", F.col("split_role").alias("split"), F.col("label").alias("y_true"), F.col("score").alias("score_norm"), F.col("threshold").alias("threshold_calibration"), F.col("oracle_threshold").alias("threshold_oracle"))
     runs = [f"{m}-{k}" for m in views.MODELS for k in views.SEEDS]
@@ -492,19 +492,19 @@ def threshold(spark, sf_dir):
 
 @query("threshold_large", f"select round(quantile_cont(l_extendedprice, 0.9), {R}) as threshold from lineitem")
 def threshold_large(spark, sf_dir):
-    t = calibrate.large_threshold(table(spark, sf_dir, "lineitem"), 0.1, "l_extendedprice")
-    return spark.createDataFrame([(round(t, R),)], "threshold double")
+    """A quantile of doubles, whose keys have 64 bits."""
+    return rounded(quantiles(table(spark, sf_dir, "lineitem"), [], "l_extendedprice", {"threshold": 0.9}), "threshold")
 
 
 _TARGETS = [0.01, 0.05, 0.1, 0.05, 0.25]
 
 
-@query("target_fpr_grid", f"with {views.SCORES} " + " union all ".join(f"select run_id, cast({t} as double) as target_fpr, round(quantile_cont(score, {1 - t!r}), {R}) as threshold from cal group by run_id" for t in dict.fromkeys(_TARGETS)))
+@query("target_fpr_grid", f"with {views.SCORES} " + " union all ".join(f"select run_id, cast({t} as double) as target_fpr, round(cast(cast(quantile_cont(cast(score as double), {1 - t!r}) as float) as double), {R}) as threshold from cal group by run_id" for t in dict.fromkeys(_TARGETS)))
 def fpr_grid(spark, sf_dir):
     return rounded(calibrate.target_fpr_grid(scores(spark, sf_dir).where(is_role(CAL)).drop("threshold"), _TARGETS, ["run_id"]), "threshold")
 
 
-@query("apply_threshold", f"with {views.SCORES} select run_id, window_id, prediction, round(score - threshold, {R}) as threshold_margin from test")
+@query("apply_threshold", f"with {views.SCORES} select run_id, window_id, prediction, round(cast(score - threshold as double), {R}) as threshold_margin from test")
 def apply_threshold(spark, sf_dir):
     return rounded(calibrate.apply_threshold(test_scores(spark, sf_dir)), "threshold_margin").select("run_id", "window_id", "prediction", "threshold_margin")
 
@@ -533,7 +533,7 @@ def benign_fpr(spark, sf_dir):
 
 @query("calibration_empirical_fpr", f"with {views.SCORES} select run_id, {r('avg(prediction) as empirical_fpr', 'max(threshold) as threshold')}, true as threshold_ok from cal group by 1")
 def empirical_fpr(spark, sf_dir):
-    s = materialize(scores(spark, sf_dir).where(is_role(CAL)), "cal")
+    s = scores(spark, sf_dir).where(is_role(CAL))
     return rounded(evaluate.calibration_empirical_fpr(s.drop("threshold"), s.select("run_id", "threshold").distinct(), FPR, ["run_id"]), "empirical_fpr", "threshold")
 
 
@@ -544,7 +544,7 @@ def roc_points(spark, sf_dir):
 
 @query("pr_points", f"with {views.SCORES}, {_LOW} select run_id, score, {r('tp / (tp + fp) as precision', 'tp / p as recall')} from cum")
 def pr_points(spark, sf_dir):
-    return rounded(curves.pr_points(curves.curve_points(test_scores(spark, sf_dir), ["run_id"], large=True), ["run_id"]), "precision", "recall")
+    return rounded(curves.pr_points(curves.curve_points(test_scores(spark, sf_dir), ["run_id"]), ["run_id"]), "precision", "recall")
 
 
 _AUC = f"select run_id, round(sum(pos * (n - fp + neg / 2.0)) / nullif(cast(max(p) * max(n) as double), 0), {R}) as auc from cum group by 1"
@@ -583,22 +583,22 @@ for _tie, _sql in (("lowest", _LOW), ("highest", _HIGH)):
 _BOTH = f"both_t as (select run_id, 'calibrated' as strategy, threshold as t from th union all select run_id, 'oracle', oracle_threshold from best), att as (select test.run_id, strategy, t, label, score from test join both_t using (run_id)), res as ({confusion_sql('att', 'run_id, strategy, t', 'score', 't')})"
 
 
-@query("calibration_vs_oracle", f"with {views.SCORES}, {_LOW}, {_BOTH} select run_id, strategy, round(t, {R}) as threshold, tp, fp, tn, fn, precision, recall, f1, fpr from res")
+@query("calibration_vs_oracle", f"with {views.SCORES}, {_LOW}, {_BOTH} select run_id, strategy, round(cast(t as double), {R}) as threshold, tp, fp, tn, fn, precision, recall, f1, fpr from res")
 def vs_oracle(spark, sf_dir):
-    s = materialize(test_scores(spark, sf_dir), "test")
+    s = test_scores(spark, sf_dir)
     return rounded(evaluate.calibration_vs_oracle(s.drop("threshold"), s.select("run_id", "threshold").distinct(), ["run_id"]), "threshold", *RATES)
 
 
 @query("strategy_summary", f"with {views.SCORES}, {_LOW}, {_BOTH.replace(f', {R})', ', 15)')}, m as (select strategy, avg(precision) as precision, avg(recall) as recall, avg(f1) as f1, avg(fpr) as fpr from res group by 1) select strategy, {r('precision as precision', 'recall as recall', 'f1 as f1', 'fpr as fpr')}, round((select f1 from m where strategy = 'oracle') - f1, {R}) as f1_gap from m")
 def strategies(spark, sf_dir):
-    s = materialize(test_scores(spark, sf_dir), "test")
+    s = test_scores(spark, sf_dir)
     res = materialize(evaluate.calibration_vs_oracle(s.drop("threshold"), s.select("run_id", "threshold").distinct(), ["run_id"]), "strategies")
     return rounded(evaluate.strategy_summary(res), *RATES, "f1_gap")
 
 
 _ALPHAS = ", ".join(f"(cast({a} as double))" for a in evaluate.alpha_grid())
-_SWEEP = f"""al(a) as (values {_ALPHAS}), sw as (select run_id, split_role, label, a, round(a * sd + (1 - a) * sf, {views.DIGITS}) as sc from scores, al),
-swt as (select run_id, a, quantile_cont(sc, {1 - FPR}) as t from sw where split_role = '{CAL}' group by all), swj as (select sw.run_id, sw.a, t, label, sc from sw join swt on sw.run_id = swt.run_id and sw.a = swt.a where split_role = '{TEST}'),
+_SWEEP = f"""al(a) as (values {_ALPHAS}), sw as (select run_id, split_role, label, a, cast(round(a * sd + (1 - a) * sf, {views.DIGITS}) as float) as sc from scores, al),
+swt as (select run_id, a, cast(quantile_cont(cast(sc as double), {1 - FPR}) as float) as t from sw where split_role = '{CAL}' group by all), swj as (select sw.run_id, sw.a, t, label, sc from sw join swt on sw.run_id = swt.run_id and sw.a = swt.a where split_role = '{TEST}'),
 swc as ({confusion_sql('swj', 'run_id, a, t', 'sc', 't').replace(f', {R})', ', 15)')}),
 spt as (select run_id, a, sc, sum(label) as pos, count(*) - sum(label) as neg from swj group by all), scum as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by run_id, a) as p, sum(neg) over (partition by run_id, a) as n from spt window w as (partition by run_id, a order by sc desc)),
 sauc as (select run_id, a, sum(pos * (n - fp + neg / 2.0)) / cast(max(p) * max(n) as double) as auc, sum(pos * tp / cast(tp + fp as double)) / max(p) as ap from scum group by all), sweep as (select swc.*, auc, ap from swc join sauc on swc.run_id = sauc.run_id and swc.a = sauc.a)"""
@@ -629,7 +629,7 @@ def family_recall(spark, sf_dir):
     return rounded(evaluate.family_recall(test_scores(spark, sf_dir), ["run_id"]), "recall")
 
 
-_FSTATS = ("avg(prediction) as recall", "avg(score) as mean_score", "quantile_cont(score, 0.25) as q25", "quantile_cont(score, 0.5) as median_score", "quantile_cont(score, 0.75) as q75", "avg(score - threshold) as mean_margin")
+_FSTATS = ("avg(prediction) as recall", "avg(score) as mean_score", "quantile_cont(cast(score as double), 0.25) as q25", "quantile_cont(cast(score as double), 0.5) as median_score", "quantile_cont(cast(score as double), 0.75) as q75", "avg(score - threshold) as mean_margin")
 
 
 @query("family_stats", f"with {views.SCORES} select run_id, family, count(*) as support, {r(*_FSTATS)} from test where label = 1 group by all")
@@ -637,12 +637,12 @@ def family_stats(spark, sf_dir):
     return rounded(evaluate.family_stats(test_scores(spark, sf_dir), ["run_id"]), "recall", "mean_score", "q25", "median_score", "q75", "mean_margin")
 
 
-@query("family_precision_fnr", f"with {views.SCORES}, al as (select run_id, sum(prediction) as alarms from test group by 1) select run_id, family, {r('coalesce(sum(prediction) / nullif(max(alarms), 0), 0) as family_precision', '1 - sum(prediction) / count(*) as fnr', 'stddev_samp(score) as std_score', 'quantile_cont(score, 0.05) as q05', 'quantile_cont(score, 0.95) as q95')} from test join al using (run_id) where label = 1 group by all")
+@query("family_precision_fnr", f"with {views.SCORES}, al as (select run_id, sum(prediction) as alarms from test group by 1) select run_id, family, {r('coalesce(sum(prediction) / nullif(max(alarms), 0), 0) as family_precision', '1 - sum(prediction) / count(*) as fnr', 'stddev_samp(score) as std_score', 'quantile_cont(cast(score as double), 0.05) as q05', 'quantile_cont(cast(score as double), 0.95) as q95')} from test join al using (run_id) where label = 1 group by all")
 def family_precision(spark, sf_dir):
     return rounded(evaluate.family_precision_fnr(test_scores(spark, sf_dir), ["run_id"]), "family_precision", "fnr", "std_score", "q05", "q95")
 
 
-_QUANT = [f"quantile_cont(score, {q}) as q{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)]
+_QUANT = [f"quantile_cont(cast(score as double), {q}) as q{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)]
 
 
 @query("class_score_stats", f"with {views.SCORES} select run_id, case when label = 0 then 'BENIGN' else family end as class, count(*) as n, {r('avg(score) as mean', 'stddev_samp(score) as std', *_QUANT, 'avg(score - threshold) as mean_margin')} from test where family = 'error' or label = 0 group by all")
@@ -676,7 +676,7 @@ def threshold_ties(spark, sf_dir):
 _OUT = "case when label = 1 and prediction = 1 then 'TP' when label = 0 and prediction = 1 then 'FP' when label = 0 then 'TN' else 'FN' end"
 
 
-@query("evidence_cases", f"with {views.SCORES}, o as (select *, {_OUT} as outcome from test) select run_id, outcome, window_id from o qualify row_number() over (partition by run_id, outcome order by round(case when outcome = 'TP' then threshold - score else abs(score - threshold) end, 9), window_id) = 1")
+@query("evidence_cases", f"with {views.SCORES}, o as (select *, {_OUT} as outcome from test) select run_id, outcome, window_id from o qualify row_number() over (partition by run_id, outcome order by round(cast(case when outcome = 'TP' then threshold - score else abs(score - threshold) end as double), 9), window_id) = 1")
 def evidence(spark, sf_dir):
     return evaluate.evidence_cases(test_scores(spark, sf_dir), ["run_id"])
 
@@ -699,12 +699,12 @@ rn as (select *, sum(b) over (partition by run_id, source_file order by w) as se
 seg as (select run_id, source_file, segment, arg_min(family, at_) as family, arg_min(window_id, at_) as start_window_id, arg_max(window_id, at_) as end_window_id, count(*) as length, max(prediction) as detected, min(case when prediction = 1 then at_ end) - min(at_) as delay, max(score) as max_score, avg(score) as mean_score from rn where label = 1 group by all)"""
 
 
-for _name, _large in (("anomaly_segments", False), ("anomaly_segments_large", True)):
+def _segments(spark, sf_dir):
+    return rounded(segments.anomaly_segments(test_scores(spark, sf_dir), ["run_id", "source_file"], "w"), "max_score", "mean_score")
 
-    def _segments(spark, sf_dir, large=_large):
-        return rounded(segments.anomaly_segments(test_scores(spark, sf_dir), ["run_id", "source_file"], "w", large=large), "max_score", "mean_score")
 
-    query(_name, f"with {views.SCORES}, {_SEG} select run_id, source_file, segment, family, start_window_id, end_window_id, length, detected, delay, {r('max_score as max_score', 'mean_score as mean_score')} from seg")(_segments)
+for _name, _f in (("anomaly_segments", _segments), ("anomaly_segments_large", _segments)):
+    query(_name, f"with {views.SCORES}, {_SEG} select run_id, source_file, segment, family, start_window_id, end_window_id, length, detected, delay, {r('max_score as max_score', 'mean_score as mean_score')} from seg")(_f)
 
 
 @query("delay_summary", f"with {views.SCORES}, {_SEG} select run_id, count(*) as segments, sum(detected) as detected, {r('avg(detected) as detection_rate', 'avg(delay) as mean_delay', 'median(delay) as median_delay')} from seg group by 1")
@@ -713,7 +713,7 @@ def delay(spark, sf_dir):
     return rounded(segments.delay_summary(seg, ["run_id"]), "detection_rate", "mean_delay", "median_delay")
 
 
-_DIST = "dc as (select run_id, score, count(*) filter (split_role = '{c}') as a, count(*) filter (split_role <> '{c}') as b from scores where split_role = '{c}' or (split_role = '{t}' and label = 0) group by all), dg as (select run_id, abs(sum(a) over w / sum(a) over (partition by run_id) - sum(b) over w / sum(b) over (partition by run_id)) as gap, coalesce(lead(score) over w - score, 0) as step from dc window w as (partition by run_id order by score)), dist as (select run_id, sum(gap * step) as wasserstein, max(gap) as ks from dg group by 1)".format(c=CAL, t=TEST)
+_DIST = "dc as (select run_id, score, count(*) filter (split_role = '{c}') as a, count(*) filter (split_role <> '{c}') as b from scores where split_role = '{c}' or (split_role = '{t}' and label = 0) group by all), dg as (select run_id, abs(sum(a) over w / sum(a) over (partition by run_id) - sum(b) over w / sum(b) over (partition by run_id)) as gap, coalesce(lead(cast(score as double)) over w - cast(score as double), 0) as step from dc window w as (partition by run_id order by score)), dist as (select run_id, sum(gap * step) as wasserstein, max(gap) as ks from dg group by 1)".format(c=CAL, t=TEST)
 
 
 @query("wasserstein_ks", f"with {views.SCORES}, {_DIST} select run_id, {r('wasserstein as wasserstein', 'ks as ks')} from dist")
@@ -728,35 +728,35 @@ _STAB_COLS = [x.rsplit(" as ", 1)[1] for x in _STAB_OUT]
 
 @query("calibration_stability", f"with {views.SCORES}, {_DIST}, {_STAB} select run_id, {r(*_STAB_OUT)} from st join dist using (run_id)")
 def stability(spark, sf_dir):
-    return rounded(drift.calibration_stability(materialize(scores(spark, sf_dir), "s"), ["run_id"], FPR, is_role(CAL), is_role(TEST)), *_STAB_COLS)
+    return rounded(drift.calibration_stability(scores(spark, sf_dir), ["run_id"], FPR, is_role(CAL), is_role(TEST)), *_STAB_COLS)
 
 
 @query("stability_summary", f"with {views.SCORES}, {_DIST}, {_STAB} select split_part(run_id, '-', 1) as model, " + r(*[f"{f}({e}) as {c}_{n}" for c, e in (("fpr_gap", f"abs(tf - {FPR})"), ("wasserstein", "wasserstein"), ("ks", "ks"), ("threshold", "threshold")) for n, f in (("mean", "avg"), ("std", "stddev_samp"))], "stddev_samp(threshold) / avg(threshold) as threshold_cv") + " from st join dist using (run_id) join th using (run_id) group by 1")
 def stability_summary(spark, sf_dir):
-    s = materialize(scores(spark, sf_dir), "s")
+    s = scores(spark, sf_dir)
     st = drift.calibration_stability(s, ["model", "run_id"], FPR, is_role(CAL), is_role(TEST))
     out = drift.stability_summary(st, s.select("model", "run_id", "threshold").distinct(), ["model", "run_id"])
     return rounded(out, *[c for c in out.columns if c != "model"])
 
 
-@query("temporal_blocks", f"""with {views.SCORES}, o as (select *, ntile(10) over (partition by run_id order by window_id) as block from test),
+@query("temporal_blocks", f"""with {views.SCORES}, o as (select *, ntile(10) over (partition by run_id order by window_index) as block from test),
 b1 as (select run_id, block, count(*) as windows, count(*) filter (label = 0) as benign, {r('avg(score) as score_mean', 'stddev_samp(score) as score_std', 'avg(score - threshold) as margin_mean')} from o group by all), b2 as ({confusion_sql('o', 'run_id, block')}),
 u as (select run_id, block, score, count(*) as b, 0 as c from o where label = 0 group by all union all select run_id, k.block, score, 0, count(*) from cal, range(1, 11) k(block) group by all), u2 as (select run_id, block, score, sum(b) as b, sum(c) as c from u group by all),
-g as (select run_id, block, abs(sum(b) over w / nullif(sum(b) over (partition by run_id, block), 0) - sum(c) over w / nullif(sum(c) over (partition by run_id, block), 0)) * coalesce(lead(score) over w - score, 0) as g from u2 window w as (partition by run_id, block order by score)),
+g as (select run_id, block, abs(sum(b) over w / nullif(sum(b) over (partition by run_id, block), 0) - sum(c) over w / nullif(sum(c) over (partition by run_id, block), 0)) * coalesce(lead(cast(score as double)) over w - cast(score as double), 0) as g from u2 window w as (partition by run_id, block order by score)),
 d as (select run_id, block, round(sum(g), {R}) as wasserstein from g group by all) select b1.*, precision, recall, f1, fpr, wasserstein from b1 join b2 using (run_id, block) left join d using (run_id, block)""")
 def temporal_blocks(spark, sf_dir):
-    s = materialize(scores(spark, sf_dir), "s")
-    return rounded(drift.temporal_blocks(s.where(is_role(TEST)), ["run_id"], ["window_id"], s.where(is_role(CAL))), "score_mean", "score_std", "margin_mean", *RATES, "wasserstein")
+    s = scores(spark, sf_dir)
+    return rounded(drift.temporal_blocks(s.where(is_role(TEST)), ["run_id"], "window_index", s.where(is_role(CAL))), "score_mean", "score_std", "margin_mean", *RATES, "wasserstein")
 
 
 @query("file_blocks", f"with {views.SCORES}, b1 as (select run_id, source_file, count(*) as windows, coalesce(string_agg(distinct family, ',' order by family) filter (label = 1), '') as families, {r('avg(score) as score_mean')} from test group by all), b2 as ({confusion_sql('test', 'run_id, source_file')}) select b1.*, precision, recall, f1, fpr from b1 join b2 using (run_id, source_file)")
 def file_blocks(spark, sf_dir):
-    return rounded(drift.file_blocks(materialize(test_scores(spark, sf_dir), "t"), ["run_id"]), "score_mean", *RATES)
+    return rounded(drift.file_blocks(test_scores(spark, sf_dir), ["run_id"]), "score_mean", *RATES)
 
 
 @query("operating_point", f"with {views.SCORES}, {_LOW}, res as ({confusion_sql('test', 'run_id').replace(f', {R})', ', 15)')}), p as (select run_id, avg(1 - prediction) filter (split_role = '{TEST}') as pt_, avg(1 - prediction) filter (split_role = '{CAL}') as pc from scores group by 1) select run_id, {r('pt_ as percentile_test', 'pc as percentile_calibration', 'f1 as f1', 'oracle_threshold as oracle_threshold', 'oracle_f1 as oracle_f1', 'oracle_f1 - f1 as f1_regret')} from p join res using (run_id) join best using (run_id)")
 def operating_point(spark, sf_dir):
-    s = materialize(scores(spark, sf_dir), "s")
+    s = scores(spark, sf_dir)
     return rounded(drift.operating_point(s, ["run_id"], is_role(CAL), is_role(TEST)), "percentile_test", "percentile_calibration", "f1", "oracle_threshold", "oracle_f1", "f1_regret")
 
 
@@ -767,11 +767,11 @@ _TKEY = _KEY.format("(window_index * 31 + repeat)", 17)
 @query("fpr_transfer", f"""with {views.SCORES}, dr as (select run_id, window_index, repeat, score, row_number() over (partition by run_id, repeat order by {_TKEY}, window_index) - 1 as p, count(*) over (partition by run_id, repeat) as n from cal, range({_REPEATS}) q(repeat)),
 fr(fraction) as (values {", ".join(f"(cast({f} as double))" for f in _FRACTIONS)}), tg(target_fpr) as (values {", ".join(f"(cast({f} as double))" for f in _FPRS)}),
 part as (select run_id, repeat, fraction, list(score) as l from dr, fr where p < greatest(1, floor(fraction * n + 0.5)) group by all),
-tt as (select run_id, repeat, fraction, unnest([{", ".join(str(f) for f in _FPRS)}]) as target_fpr, unnest([{", ".join(f"(select quantile_cont(x, {1 - f!r}) from unnest(l) t(x))" for f in _FPRS)}]) as threshold from part),
+tt as (select run_id, repeat, fraction, unnest([{", ".join(str(f) for f in _FPRS)}]) as target_fpr, unnest([{", ".join(f"(select cast(quantile_cont(cast(x as double), {1 - f!r}) as float) from unnest(l) t(x))" for f in _FPRS)}]) as threshold from part),
 ob as (select tt.run_id, repeat, fraction, target_fpr, avg(case when score >= tt.threshold then 1.0 else 0.0 end) as observed from tt join (select run_id, score from test where label = 0) b on tt.run_id = b.run_id group by all)
 select fraction, cast(target_fpr as double) as target_fpr, count(*) as runs, {r('avg(observed) as mean_fpr', 'stddev_samp(observed) as std_fpr', 'avg(observed) - target_fpr as bias', '(avg(observed) - target_fpr) / target_fpr as relative_bias')} from ob group by fraction, target_fpr""")
 def fpr_transfer(spark, sf_dir):
-    s = materialize(scores(spark, sf_dir), "s")
+    s = scores(spark, sf_dir)
     key = F.pmod(F.pmod(F.col("window_index") * 31 + F.col("repeat"), F.lit(1 << 31)) * F.lit(2654435761) + 17, F.lit(4294967296))
     out = drift.fpr_transfer(s.where(is_role(CAL)), s.where(is_role(TEST)).where("label = 0"), ["run_id"], "window_index", _FRACTIONS, _FPRS, _REPEATS, key=key)
     return rounded(out, "mean_fpr", "std_fpr", "bias", "relative_bias")
@@ -781,17 +781,17 @@ def _auc_sql(c: str) -> str:
     return f"a_{c} as (select run_id, of_family, round(sum(pos * (n - fp + neg / 2.0)) / nullif(cast(max(p) * max(n) as double), 0), {R}) as {c}_auc from (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by run_id, of_family) as p, sum(neg) over (partition by run_id, of_family) as n from (select run_id, of_family, {c} as sc, sum(label) as pos, count(*) - sum(label) as neg from kp group by all) window w as (partition by run_id, of_family order by sc desc)) group by all)"
 
 
-@query("component_agreement", f"""with {views.SCORES}, ct as (select run_id, quantile_cont(sd, {1 - FPR}) as tsd, quantile_cont(sf, {1 - FPR}) as tsf from cal group by 1), kp as (select test.* exclude (score), score as fused, tsd, tsf, of_family from test join ct using (run_id), (values ('error'), ('signup')) v(of_family) where (family = of_family and label = 1) or label = 0),
+@query("component_agreement", f"""with {views.SCORES}, ct as (select run_id, cast(quantile_cont(cast(sd as double), {1 - FPR}) as float) as tsd, cast(quantile_cont(cast(sf as double), {1 - FPR}) as float) as tsf from cal group by 1), kp as (select test.* exclude (score), score as fused, tsd, tsf, of_family from test join ct using (run_id), (values ('error'), ('signup')) v(of_family) where (family = of_family and label = 1) or label = 0),
 {_auc_sql('sd')}, {_auc_sql('sf')}, {_auc_sql('fused')}, m as (select run_id, of_family, sum(label) as support, {r('corr(sd, sf) as correlation')}, count(*) filter (sd >= tsd and sf >= tsf) as both_high, count(*) filter (sd < tsd and sf < tsf) as both_low, count(*) filter (sd >= tsd and sf < tsf) as sd_only, count(*) filter (sd < tsd and sf >= tsf) as sf_only from kp group by all)
 select m.*, sd_auc, sf_auc, fused_auc from m join a_sd using (run_id, of_family) join a_sf using (run_id, of_family) join a_fused using (run_id, of_family)""")
 def component_agreement(spark, sf_dir):
-    s = materialize(scores(spark, sf_dir).withColumnRenamed("score", "fused"), "s")
+    s = scores(spark, sf_dir).withColumnRenamed("score", "fused")
     return rounded(drift.component_agreement(s, ["run_id"], ["error", "signup"], FPR, is_role(CAL), is_role(TEST)), "correlation", "sd_auc", "sf_auc", "fused_auc")
 
 
 @query("split_validation", f"with {views.WIN}, a as (select split_role, count(*) as records, string_agg(distinct source_file, ',' order by source_file) as files, min(ts_s) as min_ts, max(ts_s) as max_ts from rec group by 1), b as (select split_role, count(*) as windows from named group by 1) select a.*, coalesce(windows, 0) as windows from a left join b using (split_role)")
 def split_validation(spark, sf_dir):
-    rec = materialize(records(spark, sf_dir), "records")
+    rec = records(spark, sf_dir)
     return leakage.split_validation(rec, views.window_means(rec))
 
 
@@ -810,7 +810,7 @@ def entity_overlap(spark, sf_dir):
 k as (select field, value, kind, count(*) as n, sum(label) as a, count(*) filter (split_role = '{TEST}') as t from l group by all), d as (select field, value, kind, n from k qualify row_number() over (partition by field, value order by n desc, kind) = 1),
 g as (select field, value, sum(n) as rows, sum(a) as a, sum(t) as test_rows from k group by all) select field, value, rows, round(a / rows, {R}) as anomaly_rate, d.kind as dominant_type, round(d.n / rows, {R}) as purity, rows - test_rows as benign_role_rows, test_rows from g join d using (field, value) where rows >= 50 or field = 'hour'""")
 def leakage_stats(spark, sf_dir):
-    rec = materialize(records(spark, sf_dir), "records")
+    rec = records(spark, sf_dir)
     start = rec.agg(F.min("ts_s")).first()[0]
     return rounded(leakage.leakage_stats(rec, ["service", "dst", "user_id"], hours=F.floor((F.col("ts_s") - F.lit(start)) / 3600)), "anomaly_rate", "purity")
 
@@ -832,7 +832,7 @@ _RUNS = f"rs as ({confusion_sql('test', 'model, seed, run_id').replace(f', {R})'
 
 
 def run_table(spark, sf_dir) -> DataFrame:
-    t = materialize(test_scores(spark, sf_dir), "test")
+    t = test_scores(spark, sf_dir)
     auc = curves.roc_auc(curves.curve_points(t, ["run_id"]), ["run_id"])
     return materialize(evaluate.confusion_at_threshold(t, ["model", "seed", "run_id"]).join(auc, "run_id"), "runs")
 
@@ -886,7 +886,7 @@ def upsert(spark, sf_dir):
 @query("flagship", f"with {views.SCORES}, {_LOW}, res as ({confusion_sql('test', 'run_id')}), a as ({_AUC}) select res.*, auc from res join a using (run_id)")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to metrics: split, scale, window, score, calibrate, evaluate."""
-    t = materialize(test_scores(spark, sf_dir), "test")
+    t = test_scores(spark, sf_dir)
     auc = curves.roc_auc(curves.curve_points(t, ["run_id"]), ["run_id"])
     return rounded(evaluate.confusion_at_threshold(t, ["run_id"]).join(auc, "run_id"), *RATES, "auc")
 

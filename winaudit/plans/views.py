@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winaudit.functions.ordering import with_position
+from winaudit.functions.ordering import EVERY, with_position, with_positions
 from winaudit.functions.scratch import materialize
 from winaudit.operators import features, scoring, splits, windows
 from winaudit.operators.calibrate import threshold_from_benign_fpr
@@ -28,22 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     benign = F.col("event_type").isin("view", "click", "purchase")
     day = F.dayofmonth("ts")
     role = F.when(day <= 18, splits.TRAIN).when(day <= 22, splits.CALIBRATION).otherwise(splits.TEST)
-    r = e.select(
+    return e.select(
         "event_id", "ts", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', date_trunc('SECOND', ts))").alias("ts_s"), F.date_format("ts", "yyyy-MM-dd").alias("source_file"),
         F.when(benign, "BENIGN").otherwise(F.col("event_type")).alias("anomaly_type"), F.when(benign, 0).otherwise(1).alias("label"), "value",
         F.regexp_extract("props", r'"k": (\d+)', 1).cast("double").alias("k"), F.hour("ts").cast("double").alias("hour"), "user_id", (F.col("user_id") % 7).alias("dst"), F.col("event_type").alias("service"), role.alias("split_role"),
     )
-    return with_position(r, ["source_file"], ["ts", "event_id"], "row_index").drop("ts")
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_position(_records(spark, sf_dir), ["source_file"], ["ts", "event_id"], "row_index").drop("ts")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean, _ = clean_roles(raw_records(spark, sf_dir))
-    return windows.segment_positions(clean, SEGMENT, ["row_index"])
+    """raw_records() without contaminated rows, with pos and seg_rows as segment_positions() gives them: a file has one role here, so both come from one sort."""
+    kept = (F.col("split_role") == splits.TEST) | (F.col("label") == 0)
+    placed = with_positions(_records(spark, sf_dir), ["source_file"], ["ts", "event_id"], {"row_index": EVERY, "pos": kept}, {"pos": "seg_rows"})
+    return placed.where(kept).drop("ts")
 
 
 def clean_roles(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,11 +72,11 @@ def window_means(rec: DataFrame) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per run and window, with threshold, prediction and family."""
-    rec = materialize(records(spark, sf_dir), "records")
+    rec = records(spark, sf_dir)
     win = window_means(rec)
     fam = windows.dominant_family(rec, SEGMENT, W, STRIDE)
     win = win.join(fam, [*SEGMENT, "w"], "left").withColumn("family", F.when(F.col("label") == 1, F.coalesce("family", F.lit("BENIGN"))).otherwise("BENIGN"))
-    win = materialize(windows.numbered(win, "split_role", ROLES, ["source_file", "w"], "window"), "windows")
+    win = windows.numbered(materialize(win, "windows"), "split_role", ROLES, "source_file", "w", "window")
     train = F.col("split_role") == splits.TRAIN
     mean = win.where(train).agg(*[F.avg(f"m_{c}").alias(c) for c in SCALED]).first()
     runs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("alpha"), F.lit(s).alias("seed"), *[F.lit(float(x)).alias(f"x_{c}") for c, x in zip(SCALED, ws, strict=True)]) for m, a in MODELS.items() for s, ws in SEEDS.items()]))
@@ -81,10 +86,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         total = total + F.col(f"x_{c}") * F.pow(F.col(f"m_{c}") - F.lit(mean[c]), 2)
     wide = wide.withColumns({"sf_raw": F.round(F.sqrt(total), 9), "sd_raw": F.round("max_value", 9)})
     norm = scoring.minmax_norm(wide, {"sd_raw": "sd", "sf_raw": "sf"}, train, ["run_id"])
-    norm = norm.withColumns({c: F.round(c, DIGITS) for c in ("sd", "sf")}).withColumn("fused", F.round(scoring.fuse(F.col("sd"), F.col("sf"), F.col("alpha")), DIGITS))
+    norm = norm.withColumns({c: F.round(c, DIGITS).cast("float") for c in ("sd", "sf")}).withColumn("fused", F.round(scoring.fuse(F.col("sd"), F.col("sf"), F.col("alpha")), DIGITS).cast("float"))
     norm = norm.select("model", "seed", "run_id", "alpha", *SEGMENT, "w", "window_id", "window_index", "label", "family", "sd_raw", "sf_raw", "sd", "sf", F.col("fused").alias("score"))
     norm = materialize(norm, "scores")
-    th = threshold_from_benign_fpr(norm.where(F.col("split_role") == splits.CALIBRATION), FPR, ["run_id"])
+    th = materialize(threshold_from_benign_fpr(norm.where(F.col("split_role") == splits.CALIBRATION), FPR, ["run_id"]), "thresholds")
     return norm.join(th, "run_id").withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
 
 
@@ -120,8 +125,8 @@ SCORES = f"""{WIN}, ref as (select {", ".join(f"avg(m_{c}) as r_{c}" for c in SC
 runs(model, alpha, seed, run_id, {", ".join(f"x_{c}" for c in SCALED)}) as (values {_RUNS}),
 rawsc as (select named.*, model, cast(alpha as double) as alpha, seed, run_id, round(sqrt({" + ".join(f"x_{c} * (m_{c} - r_{c}) ** 2" for c in SCALED)}), 9) as sf_raw, round(max_value, 9) as sd_raw from named, ref, runs),
 lim as (select run_id, min(sd_raw) as sdl, max(sd_raw) as sdh, min(sf_raw) as sfl, max(sf_raw) as sfh from rawsc where split_role = '{splits.TRAIN}' group by run_id),
-nsc as (select rawsc.*, round(greatest(0.0, least(1.0, (sd_raw - sdl) / greatest(sdh - sdl, 1e-12))), {DIGITS}) as sd, round(greatest(0.0, least(1.0, (sf_raw - sfl) / greatest(sfh - sfl, 1e-12))), {DIGITS}) as sf from rawsc join lim using (run_id)),
-fsc as (select *, round(alpha * sd + (1 - alpha) * sf, {DIGITS}) as score from nsc),
-th as (select run_id, quantile_cont(score, {1 - FPR}) as threshold from fsc where split_role = '{splits.CALIBRATION}' group by run_id),
+nsc as (select rawsc.*, cast(round(greatest(0.0, least(1.0, (sd_raw - sdl) / greatest(sdh - sdl, 1e-12))), {DIGITS}) as float) as sd, cast(round(greatest(0.0, least(1.0, (sf_raw - sfl) / greatest(sfh - sfl, 1e-12))), {DIGITS}) as float) as sf from rawsc join lim using (run_id)),
+fsc as (select *, cast(round(alpha * sd + (1 - alpha) * sf, {DIGITS}) as float) as score from nsc),
+th as (select run_id, cast(quantile_cont(cast(score as double), {1 - FPR}) as float) as threshold from fsc where split_role = '{splits.CALIBRATION}' group by run_id),
 scores as (select model, seed, run_id, alpha, split_role, source_file, w, window_id, window_index, label, family, sd_raw, sf_raw, sd, sf, score, threshold, case when score >= threshold then 1 else 0 end as prediction from fsc join th using (run_id)),
 test as (select * from scores where split_role = '{splits.TEST}'), cal as (select * from scores where split_role = '{splits.CALIBRATION}')"""

@@ -8,7 +8,7 @@ import re
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from winaudit.functions.ranges import meeting_ranges
 
 # Where the data sets keep their flow files, below their folder.
 LAYOUTS = {
-    "swat": ("benign_data/*.csv", "attack_data/*.csv"),
+    "swat": ("*_data/*.csv",),
     "ton_iot": ("Processed_datasets/Processed_IoT_dataset/*.csv", "Processed_datasets/Processed_Linux_dataset/*.csv", "__Train_Test_datasets/**/*.csv"),
     "unsw_nb15": ("Training and Testing Sets/*.csv", "*.csv"),
     "generic": ("**/*.csv",),
@@ -98,7 +98,3 @@ def file_hash_check(found: DataFrame, manifest: DataFrame) -> DataFrame:
     status: Column = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("have") != F.col("want"), "mismatch")
     return both.select("path", status.when(F.col("have_inner") != F.col("want_inner"), "uncompressed mismatch").otherwise("ok").alias("status"))
 
-
-def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The last row per key."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
