@@ -535,16 +535,46 @@ def test_quality(spark, docs):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, kind string").withColumn("host_mean", F.lit(1.0))
     labels = df.where("doc_id % 2 = 0").select("doc_id", (F.col("kind") == "good").cast("int").alias("quality"))
     labels = labels.unionAll(spark.createDataFrame([(None, 1), (5, None), (7, 9)], "doc_id long, quality int"))
-    out = quality.classify(df, labels, F.col("source"), F.lit("p")).collect()
+    kind = {i: k for i, _, _, k in rows}
+    out = quality.judged(df, labels, F.col("source"), F.lit("p")).collect()
     assert len(out) == len(rows)
-    assert all(r.keep == (r.kind == "good") for r in out)
-    bounded = quality.classify(df, labels, F.col("source"), F.lit("p"), max_rows=40).collect()
-    assert sum(r.keep == (r.kind == "good") for r in bounded) > 0.95 * len(rows)
-    edge = quality.classify(docs, labels, F.col("source"), F.col("lang")).collect()
+    assert all(r.keep == (kind[r.id] == "good") for r in out)
+    bounded = quality.judged(df, labels, F.col("source"), F.lit("p"), max_rows=40).collect()
+    assert sum(r.keep == (kind[r.id] == "good") for r in bounded) > 0.95 * len(rows)
+    edge = quality.judged(docs, labels, F.col("source"), F.col("lang")).collect()
     assert len(edge) == len(TEXTS)
     assert all(0 < r.p_quality < 1 for r in edge)
-    assert all(r.keep for r in quality.classify(docs, labels.where("false"), F.col("source"), F.col("lang")).collect())
-    assert quality.classify(docs.where("false"), labels, F.col("source"), F.col("lang")).count() == 0
+    assert all(r.keep for r in quality.judged(docs, labels.where("false"), F.col("source"), F.col("lang")).collect())
+    assert quality.judged(docs.where("false"), labels, F.col("source"), F.col("lang")).count() == 0
+    # Rejected rows go, and columns named like results or inner ones stay as they are; repeated rows, ids and texts each count.
+    clash = df.unionAll(df.where("doc_id in (3, 1003)")).withColumns({c: F.lit("as it was") for c in ("keep", "p_quality", "__h", "__p", "key", "host", "path", "row", "id")})
+    left = quality.kept(clash, labels, F.col("source"), F.lit("p"))
+    assert left.columns == clash.columns
+    got = left.collect()
+    assert sorted(r.doc_id for r in got) == sorted([*range(80), 3])
+    assert all(r.keep == r["__h"] == r.key == r.row == "as it was" and r.host_mean == 1.0 for r in got)
+
+
+def test_quality_equals_a_plain_computation(spark):
+    """p_quality from p_text and the sites, computed again."""
+    rng = random.Random(8)
+    rows = [(i % 90, " ".join(rng.choice(["fine", "plain", "words", "CLICK", "###", "now"]) for _ in range(rng.randrange(0, 40))), rng.choice(["a", "b", None]), rng.choice(["x", "y", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 90, 2)], "doc_id long, quality int")
+    out = quality.judged(df, labels, F.col("source"), F.col("lang"))
+    keys = df.select("doc_id", "source", "lang", quality.judged_key(F.col("text"), F.col("source"), F.col("lang")).alias("key")).distinct()
+    got = out.join(keys, (F.col("id") == F.col("doc_id")) & (out["key"] == keys["key"])).select("source", "lang", "p_text", "host_mean", "path_mean", "p_quality", "keep").collect()
+    assert len(got) == len(rows)
+    _, prior = quality.site_posteriors(out.join(keys, (F.col("id") == F.col("doc_id")) & (out["key"] == keys["key"])).select(F.col("source").alias("host"), F.col("lang").alias("path"), F.col("p_text").alias("p")))
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in got:
+        host = [x.p_text for x in got if x.source == r.source]
+        path = [x.p_text for x in got if (x.source, x.lang) == (r.source, r.lang)]
+        host_mean = (sum(host) - r.p_text + prior["host"] * prior["top"]) / (len(host) - 1 + prior["host"])
+        path_mean = (sum(path) - r.p_text + prior["path"] * host_mean) / (len(path) - 1 + prior["path"])
+        p = 1 / (1 + math.exp(-(odds(r.p_text) + odds(path_mean) - odds(prior["top"]))))
+        assert (r.host_mean, r.path_mean, r.p_quality) == (pytest.approx(host_mean), pytest.approx(path_mean), pytest.approx(p))
+        assert r.keep == (r.p_quality >= 0.5)
 
 
 def test_site_posteriors_equal_a_plain_computation(spark):
@@ -583,7 +613,7 @@ def test_sparse_sites_shrink(spark):
 def test_quality_leaves_the_document_out_of_its_site(spark):
     df = spark.createDataFrame([(i, f"word{i} text of number {i} and more", "a" if i else "b") for i in range(30)], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
-    out = {r.doc_id: r for r in quality.classify(df, labels, F.col("source"), F.lit("p")).collect()}
+    out = {r.id: r for r in quality.judged(df, labels, F.col("source"), F.lit("p")).collect()}
     top = np.mean([r.p_text for r in out.values()])
     assert out[0].host_mean == pytest.approx(top) and out[0].path_mean == pytest.approx(top)  # alone in its site: the prior is all it has
     assert out[0].p_quality == pytest.approx(out[0].p_text)
@@ -594,7 +624,7 @@ def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    out = quality.classify(docs, labels.where(~odd), F.col("source"), F.col("lang")).join(labels.where(odd).select("doc_id", "quality"), "doc_id").where("quality in (0, 1)")
+    out = quality.judged(docs, labels.where(~odd), F.col("source"), F.col("lang")).join(labels.where(odd).select(F.col("doc_id").alias("id"), "quality"), "id").where("quality in (0, 1)")
     rows = out.select("quality", "p_quality", "keep").collect()
     good, bad = ([r.p_quality for r in rows if r.quality == v] for v in (1, 0))
     auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
@@ -627,6 +657,8 @@ def test_lm_scores(spark, docs):
             sums += (r.base_score, r.score)
     assert sums[1] > sums[0]  # held-out texts become likelier
     assert maxent.score_texts(df.where("false")).count() == 0
+    again = {n: {r.id: r.score for r in maxent.score_texts(df.where("doc_id >= 500").repartition(n)).collect()} for n in (2, 5)}
+    assert all(again[5][i] == pytest.approx(x, rel=1e-6) for i, x in again[2].items())  # however the table is partitioned
     alone = maxent.score_texts(df.where("doc_id is null")).first()
     assert (alone.train_tokens, alone.n_known) == (0, 0)
     assert math.isfinite(alone.score)

@@ -26,7 +26,7 @@ scores are those of an untrained model. An empty table gives none.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -267,15 +267,16 @@ _PARTS = "part long, block int, tokens long, changes binary"
 
 
 def _averaged(parts: DataFrame) -> np.ndarray:
-    """Token-weighted mean of what the tasks changed; parts: part, block, tokens, changes (float16). A group holds FAN blocks at most."""
+    """Token-weighted mean of what the tasks changed; parts: part, block, tokens, changes (float16). A group holds FAN blocks at most, added in the parts' order."""
 
     def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("was")
         tokens = table["tokens"].to_numpy()
         total = sum(np.frombuffer(w, np.float16).astype(np.float32) * np.float32(t / max(tokens.sum(), 1)) for w, t in zip(table["changes"].to_pylist(), tokens, strict=True))
         return pa.table({"part": table["part"][:1].combine_chunks(), "block": table["block"][:1].combine_chunks(), "tokens": pa.array([int(tokens.sum())]), "changes": pa.array([np.asarray(total, np.float16).tobytes()], pa.binary())})
 
     while parts.agg(F.max("part")).first()[0]:
-        fewer = materialize(parts.withColumn("part", F.expr(f"part div {FAN}")).groupBy("part", "block").applyInArrow(add, _PARTS), "averaged")
+        fewer = materialize(parts.withColumn("was", F.col("part")).withColumn("part", F.expr(f"was div {FAN}")).groupBy("part", "block").applyInArrow(add, _PARTS), "averaged")
         discard(parts)
         parts = fewer
     rows = sorted(parts.toLocalIterator(), key=lambda r: r.block)  # one set of weights
@@ -283,23 +284,25 @@ def _averaged(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.changes, np.float16) for r in rows]).astype(np.float32)
 
 
-def packed_tokens(docs: DataFrame, text_col: str, vocabulary: Broadcast, slices: int) -> DataFrame:
-    """(slice, tokens, numbers, classes) of docs' texts, written: 2 bytes and 1 a token, the texts of a batch to a row, a task's rows in one slice."""
+def packed_tokens(docs: DataFrame, id_col: str, text_col: str, vocabulary: Broadcast, slices: int, parts: int) -> DataFrame:
+    """(slice, part, at, tokens, numbers, classes), a row per text, written: 2 bytes and 1 a token. Hashes of id and text deal rows to slices and parts, and order them there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        known, part = vocabulary.value, TaskContext.get().partitionId() % slices
+        known = vocabulary.value
         for batch in batches:
             if batch.num_rows:
                 t, bounds = tokens_of(batch["text"])
                 at, found = known.look_up(t)
                 numbers = known.numbers_of(at, found)
                 numbers[bounds[1:] - 1] |= ENDS
-                cols = [pa.array([part]), pa.array([len(t)]), pa.array([numbers.tobytes()], pa.binary()), pa.array([known.classes_of(t, at, found).astype(np.uint8).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["slice", "tokens", "numbers", "classes"])
-
-    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "slice long, tokens long, numbers binary, classes binary")
+                classes = known.classes_of(t, at, found).astype(np.uint8)
+                cut = [[x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for x in (numbers, classes)]
+                cols = [batch["slice"], batch["part"], batch["at"], pa.array(np.diff(bounds).astype(np.int64)), pa.array(cut[0], pa.binary()), pa.array(cut[1], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["slice", "part", "at", "tokens", "numbers", "classes"])
+
+    key, text = F.col(id_col), F.col(text_col)
+    dealt = docs.select(F.pmod(F.xxhash64(key, text), F.lit(slices)).alias("slice"), F.pmod(F.xxhash64(text, key), F.lit(parts)).alias("part"), F.xxhash64(key, text, key).alias("at"), text.alias("text"))
+    packed = dealt.mapInArrow(run, "slice long, part long, at long, tokens long, numbers binary, classes binary")
     return materialize(packed, "packed", by=["slice"])
 
 
@@ -310,40 +313,41 @@ def unpacked(numbers: bytes, classes: bytes, size: int) -> tuple[np.ndarray, np.
     return features(words_ & ~ENDS, bounds, size), np.frombuffer(classes, np.uint8).astype(np.int64)
 
 
-def train(docs: DataFrame, text_col: str, vocabulary: Broadcast, tokens: int, epochs: int = EPOCHS, task_tokens: int = TASK_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights after `epochs` passes over all of docs, a slice a round. Neighbouring parts are joined to tasks of about task_tokens."""
+def _trainer(shared: Broadcast, size: int, blocks: int = 64) -> Callable[[pa.Table], pa.Table]:
+    """What one part's texts, in their order, change of the weights, in blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        own = tuple(w.copy() for w in shared.value)
+        squares = tuple(np.zeros_like(w) for w in own)
+        numbers, classes = (b"".join(table[c].to_pylist()) for c in ("numbers", "classes"))
+        for a in range(0, len(classes), PIECE):  # texts cut here lose a context of three words
+            rows, c = unpacked(numbers[2 * a : 2 * (a + PIECE)], classes[a : a + PIECE], size)
+            for b in range(0, len(c), UPDATE):
+                _update(own, squares, rows[b : b + UPDATE], c[b : b + UPDATE])
+        changes = np.concatenate([(x - y).ravel() for x, y in zip(own, shared.value, strict=True)]).astype(np.float16)
+        cut = [x.tobytes() for x in np.split(changes, blocks)]
+        return pa.table({"part": pa.array([table["part"][0].as_py()] * blocks, pa.int64()), "block": pa.array(range(blocks), pa.int32()), "tokens": pa.array([len(classes)] * blocks, pa.int64()), "changes": pa.array(cut, pa.binary())})
+
+    return run
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, vocabulary: Broadcast, tokens: int, epochs: int = EPOCHS, task_tokens: int = TASK_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after `epochs` passes over all of docs, a slice a round, whose parts of about task_tokens are worked by a task each; the same however docs is partitioned."""
     size = hashed_rows(tokens)
     weights = vocabulary.value.start(size)
     if not tokens:
         return weights
     task_tokens *= size // ROWS
     slices = max(1, round(math.sqrt(tokens / task_tokens / 2)))
-    packed = packed_tokens(docs, text_col, vocabulary, slices)
-    sums = {r.slice: r.tokens for r in packed.groupBy("slice").agg(F.sum("tokens").alias("tokens")).collect()}  # one row a round
-    spark, blocks = docs.sparkSession, 64
-    for k in sorted(sums) * epochs:
+    packed = packed_tokens(docs, id_col, text_col, vocabulary, slices, max(1, math.ceil(tokens / slices / task_tokens)))
+    full = sorted(r.slice for r in packed.select("slice").distinct().collect())  # a row a round
+    spark = docs.sparkSession
+    for k in full * epochs:
         shared = spark.sparkContext.broadcast(weights)
 
-        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            own, seen = tuple(w.copy() for w in shared.value), 0
-            squares = tuple(np.zeros_like(w) for w in own)
-            for batch in batches:
-                for numbers, classes in zip(batch["numbers"].to_pylist(), batch["classes"].to_pylist(), strict=True):
-                    for a in range(0, len(classes), PIECE):  # texts cut here lose a context of three words
-                        rows, c = unpacked(numbers[2 * a : 2 * (a + PIECE)], classes[a : a + PIECE], size)
-                        for b in range(0, len(c), UPDATE):
-                            _update(own, squares, rows[b : b + UPDATE], c[b : b + UPDATE])
-                    seen += len(classes)
-            if seen:
-                part = TaskContext.get().partitionId()
-                changes = np.concatenate([(x - y).ravel() for x, y in zip(own, shared.value, strict=True)]).astype(np.float16)
-                cut = [x.tobytes() for x in np.split(changes, blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * blocks, pa.int64()), pa.array(range(blocks), pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array(cut, pa.binary())], names=["part", "block", "tokens", "changes"])
-
-        part = packed.where(F.col("slice") == k).select("numbers", "classes").coalesce(max(1, math.ceil(sums[k] / task_tokens)))
-        change = _averaged(materialize(part.mapInArrow(run, _PARTS), "changes"))
+        parts = packed.where(F.col("slice") == k).select("part", "at", "numbers", "classes").groupBy("part")
+        change = _averaged(materialize(parts.applyInArrow(_trainer(shared, size), _PARTS), "changes"))
         cut = weights[0].size
         weights = weights[0] + change[:cut].reshape(weights[0].shape), weights[1] + change[cut:].reshape(weights[1].shape)
         shared.destroy()
@@ -409,7 +413,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for r in rare.groupBy(share.alias("share")).agg(F.sum(F.col("count") + F.lit(SMOOTH)).alias("mass")).toLocalIterator():
             mass[r.share] = r.mass
         vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, times, mass))
-        weights = spark.sparkContext.broadcast(train(training, text_col, vocabulary, total))
+        weights = spark.sparkContext.broadcast(train(training, id_col, text_col, vocabulary, total))
         scored = materialize(_score(docs, id_col, text_col, vocabulary, weights), "scored")
         met = scored.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.times").join(rare, "word", "left")
         times_, count = F.col("times"), F.coalesce("count", F.lit(0))

@@ -16,7 +16,8 @@ hash of their id; everything else covers all documents. Null or empty text has
 statistics of zeros; null hosts and paths are sites of their own. Repeated rows each
 count and are each judged; labels that contradict each other are all used. Without
 labels of both classes the model is flat at the labelled mean (0.5 if none) and all
-documents stay. An empty table gives none; extra columns pass through, but those named like the results are replaced.
+documents stay. An empty table gives none; extra columns are
+not read by judged() and pass kept() as they are.
 """
 
 from __future__ import annotations
@@ -29,14 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import discard, materialize
+from winaudit.llm.rows import without_rows
 from winaudit.llm.words import buffer_of, mix, slices
 from winaudit.llm.words import words as words_of
 from winaudit.llm.workers import tidy
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_ROWS = 20_000
-#: Site tables of so many rows at most are broadcast; larger ones are joined by shuffle.
-MAX_SITES = 100_000
 #: Bytes of text whose statistics are taken together.
 SLICE = 1 << 20
 FEATURES = ("length", "upper", "digit", "mark", "bar", "bang", "dash", "accent", "line", "word_length", "repeat", "again")
@@ -181,16 +181,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     return Model(np.array([r.x for r in got]).reshape(len(got), len(FEATURES) + 1), np.array([r.good for r in got]), log_odds(counts.sum(0)))
 
 
-def evidence(text: Column, model: Model) -> Column:
-    """The model's probability that a text is good."""
-
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from tidy(lambda all_: (pa.array(model.probability(batch)) for batch in all_))(batches)
-
-    return score(text)
-
-
 def _strength(sites: DataFrame) -> float:
     """Prior documents of a site's beta prior, from the sites' n, mean and the mean m above them."""
     row = sites.agg(
@@ -226,22 +216,37 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     return sites, {"top": top, "host": of_host, "path": of_path}
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = MAX_ROWS, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with p_text, host_mean, path_mean (both without the document itself), p_quality and keep.
+def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = MAX_ROWS, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Per row of docs: id, key (a hash of text, host and path), p_text, host_mean, path_mean (both without the document itself), p_quality and keep.
 
-    The texts are read twice, for the sums and for the verdicts, rather than shuffled.
+    Texts are scored once; what is written, joined and decided on are ids, keys and numbers. Rows equal in id, text, host and path are judged alike.
     """
     model = fit(docs, labels, max_rows, id_col, text_col)
-    scored = docs.select(host.alias("host"), path.alias("path"), evidence(F.col(text_col), model).alias("p"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], batch["host"], batch["path"], pa.array(model.probability(batch["text"]))], names=["id", "key", "host", "path", "p"])
+
+    read = docs.select(F.col(id_col).alias("id"), judged_key(F.col(text_col), host, path).alias("key"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
+    scored = read.mapInArrow(tidy(score), f"id {read.schema['id'].dataType.simpleString()}, key long, host string, path string, p double")
+    scored = materialize(scored, "judged")
     sites, prior = site_posteriors(scored)
-    sites = materialize(sites, "sites")
-    small = sites.limit(MAX_SITES + 1).count() <= MAX_SITES
-    sites = sites.select(*[F.col(c).alias(f"__{c}") for c in ("host", "path", "n", "s", "host_n", "host_s")])
-    base = docs.drop("p_text", "host_mean", "path_mean", "p_quality", "keep").withColumns({"p_text": evidence(F.col(text_col), model), "__h": host, "__p": path})
-    out = base.join(F.broadcast(sites) if small else sites, F.col("__h").eqNullSafe(F.col("__host")) & F.col("__p").eqNullSafe(F.col("__path")), "left")
+    sites = materialize(sites.drop("host_mean", "path_mean"), "sites")  # broadcast by Spark if it is small, else joined by shuffling numbers
+    same = F.col("a.host").eqNullSafe(F.col("b.host")) & F.col("a.path").eqNullSafe(F.col("b.path"))
+    out = scored.alias("a").join(sites.alias("b"), same).select("a.id", "a.key", F.col("a.p").alias("p_text"), "b.n", "b.s", "b.host_n", "b.host_s")
     others = lambda s, n, k, m: (F.col(s) - F.col("p_text") + F.lit(prior[k]) * m) / (F.col(n) - 1 + F.lit(prior[k]))
-    out = out.withColumn("host_mean", others("__host_s", "__host_n", "host", F.lit(prior["top"])))
-    out = out.withColumn("path_mean", others("__s", "__n", "path", F.col("host_mean"))).drop("__h", "__p", *sites.columns)
+    out = out.withColumn("host_mean", others("host_s", "host_n", "host", F.lit(prior["top"])))
+    out = out.withColumn("path_mean", others("s", "n", "path", F.col("host_mean")))
     odds = _log_odds(F.col("p_text")) + _log_odds(F.col("path_mean")) - _log_odds(F.lit(prior["top"]))
     out = out.withColumn("p_quality", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("keep", (F.col("p_quality") >= threshold) | F.lit(not model.fitted))
+    return out.select("id", "key", "p_text", "host_mean", "path_mean", "p_quality", ((F.col("p_quality") >= threshold) | F.lit(not model.fitted)).alias("keep"))
+
+
+def judged_key(text: Column, host: Column, path: Column) -> Column:
+    return F.xxhash64(text, host, path)
+
+
+def kept(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = MAX_ROWS, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs' rows that judged() keeps, all columns as they are, whatever their names; texts that stay aren't moved."""
+    verdicts = materialize(judged(docs, labels, host, path, max_rows, threshold, text_col, id_col).where("not keep").select("id", "key").distinct(), "rejected")
+    return without_rows(docs, verdicts, id_col, judged_key(F.col(text_col), host, path))

@@ -65,8 +65,8 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = quality.classify(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
-    return out.select("doc_id", "p_text", "host_mean", "path_mean", "p_quality", "keep")
+    out = quality.judged(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return out.select(F.col("id").alias("doc_id"), "p_text", "host_mean", "path_mean", "p_quality", "keep")
 
 
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
