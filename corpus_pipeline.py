@@ -31,12 +31,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier rejects go. Labels of documents that aren't in docs are not used.
 
     Null and empty texts are judged by their site; without labels of both classes all stay; of an empty table
-    nothing does. Repeated rows and ids are judged alike, each for itself. Null sources and languages are sites.
+    nothing does. Rows equal in id, text, source and language are judged alike. Null sources and languages are sites. Columns of any name stay as they are.
     """
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.classify(docs, labels, F.col("source"), F.col("lang"))
-    return judged.where("keep").select(*docs.columns)
+    return quality.kept(docs, labels, F.col("source"), F.col("lang"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
