@@ -321,6 +321,72 @@ def test_iforest_ranks_outliers_first(spark):
     assert scored.orderBy(F.desc("score")).first().id == 1000
 
 
+@pytest.mark.parametrize(("w", "stride", "rows"), [(4, 2, 1), (5, 3, 6), (3, 7, 10), (6, 6, 4096)])
+def test_flattened_windows(spark, w, stride, rows):
+    """Windows over the borders of pieces, of segments of several lengths, equal slices; a null feature is NaN; chosen windows only."""
+    rng = random.Random(w)
+    data = {g: [(rng.random(), rng.random() if i != 3 else None) for i in range(n)] for g, n in (("a", 61), ("b", w), ("c", w - 1), (None, 30))}
+    df = spark.createDataFrame([(g, i, len(xs), *x) for g, xs in data.items() for i, x in enumerate(xs)], "seg string, pos long, seg_rows long, x double, y double").repartition(5)
+    got = {(r.seg, r.w): r.features for r in windows.window_features(df, ["seg"], w, stride, ["x", "y"], rows=rows).collect()}
+    want = {(g, k): [v for p in xs[k * stride : k * stride + w] for v in p] for g, xs in data.items() for k in range((len(xs) - w) // stride + 1 if len(xs) >= w else 0)}
+    assert got.keys() == want.keys()
+    for key, xs in want.items():
+        assert [None if math.isnan(v) else v for v in got[key]] == [None if v is None else pytest.approx(v, rel=1e-6) for v in xs]
+    assert {(r.seg, r.w) for r in windows.window_keys(df, ["seg"], w, stride).collect()} == want.keys()
+    only = spark.createDataFrame([("a", 1), ("b", 0), ("zz", 4)], "seg string, w long")
+    assert {(r.seg, r.w) for r in windows.window_features(df, ["seg"], w, stride, ["x", "y"], only=only, rows=rows).collect()} == {("a", 1), ("b", 0)}
+
+
+def test_window_forest(spark):
+    """Planted windows rank first; each tree has its rows; scoring in pieces equals scoring vectors; partitions don't matter."""
+    from winaudit.operators import detectors
+
+    rng = random.Random(7)
+    rows = [("s", i, 400, 9.0 if 200 <= i < 208 else rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "seg string, pos long, seg_rows long, x double, y double")
+    args = (["seg"], 8, 4, ["x", "y"])
+    drawn = detectors.draw_for_trees(windows.window_keys(df, *args[:3]), ["seg", "w"], 20, rows=32)
+    assert {r["count"] for r in drawn.groupBy("tree").count().collect()} == {32} and drawn.select("tree", "w").distinct().count() == 640
+    forests = [detectors.fit_window_iforest(df.repartition(n), *args, trees=40, rows=32) for n in (1, 5)]
+    assert all((a == b).all() for a, b in zip(forests[0][0], forests[1][0], strict=True)) and len(forests[0][0]) == 40
+    scored = {r.w: r.score for r in detectors.iforest_window_score(df, *args, forests[0]).collect()}
+    assert max(scored, key=scored.get) == 50
+    vectors = windows.window_features(df, *args)
+    assert {r.w: pytest.approx(r.score) for r in detectors.iforest_score(vectors, "features", forests[0]).collect()} == scored
+    few = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, None)], "id long, v array<double>")
+    assert [r.score is None for r in detectors.iforest_score(few, "v", detectors.fit_iforest(few, "v", "id", trees=3)).orderBy("id").collect()] == [False, False, True]
+
+
+def test_principal_components(spark):
+    import numpy as np
+
+    from winaudit.operators.components import fit_pca, pca_reduce
+
+    rng = np.random.default_rng(3)
+    for d, k, n in ((5, 3, 200), (300, 4, 500)):
+        base = rng.standard_normal((n, d)) * (0.5 ** np.minimum(np.arange(d), 30)) + rng.standard_normal(d)
+        x = base @ np.linalg.qr(rng.standard_normal((d, d)))[0]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None)], "id long, v array<double>").repartition(4)
+        mean, axes, variances = fit_pca(df, "v", k)
+        _, scale, right = np.linalg.svd(x - x.mean(0))
+        assert np.allclose(mean, x.mean(0)) and np.allclose(variances, scale[:k] ** 2 / (n - 1), rtol=1e-6)
+        assert np.abs(np.abs((axes * right[:k].T).sum(0)) - 1).max() < 1e-6
+        got = {r.id: r.reduced for r in pca_reduce(df, "v", k).collect()}
+        assert got.pop(-1) is None
+        assert np.allclose([got[i] for i in range(n)], (x - x.mean(0)) @ axes)
+    with pytest.raises(ValueError, match="no vectors"):
+        fit_pca(df.where("false"), "v", 2)
+
+
+def test_many_components_of_long_vectors(spark):
+    """9,984 components: 128 rows of 78 features."""
+    df = spark.range(300, numPartitions=3).select(F.transform(F.sequence(F.lit(0), F.lit(9983)), lambda i: F.sin(i * (F.col("id") % 7 + 1)).cast("float")).alias("v"))
+    from winaudit.operators.components import fit_pca
+
+    _, axes, variances = fit_pca(df, "v", 100, passes=1)
+    assert axes.shape == (9984, 100) and (variances[:6] > 1).all() and variances[6:].max() < 1e-6
+
+
 @pytest.mark.parametrize("most", [10_000, 100])
 def test_many_ranges_lose_no_row(spark, most):
     ranges = spark.createDataFrame([(f"r{i}", 10 * i, 10 * i + (4 if i % 50 else 400)) for i in range(1500)] + [("none", 5, 4)], "split_role string, lo long, hi long")
@@ -403,6 +469,31 @@ def test_hash_check_tells_paths_and_contents_apart(spark, tmp_path):
     assert [r.path for r in flow.list_dataset_files(spark, str(tmp_path), "UNSW").collect()] == ["Training and Testing Sets/t.csv", "top.csv"]
 
 
+def test_hashes_of_large_and_packed_files(spark, tmp_path, monkeypatch):
+    """A file beyond Spark's binary reader; packed ones of several members, that unpack to much more, and that are cut; names with blanks."""
+    import gzip
+    import hashlib
+
+    with open(tmp_path / "large file.bin", "wb") as f:
+        f.truncate(2_200_000_000)
+    blank = hashlib.sha256()
+    for _ in range(2200):
+        blank.update(bytes(1_000_000))
+    packed = gzip.compress(bytes(300_000_000), 1)
+    (tmp_path / "a.csv.gz").write_bytes(packed)
+    (tmp_path / "b.csv.gz").write_bytes(gzip.compress(b"one") + gzip.compress(b"two"))
+    (tmp_path / "c.csv.gz").write_bytes(b"not packed")
+    got = {r.path: (r.sha256, r.uncompressed_sha256) for r in flow.file_hashes(spark, f"file://{tmp_path}").collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {
+        "large file.bin": (blank.hexdigest(), None), "a.csv.gz": (sha(packed), sha(bytes(300_000_000))), "b.csv.gz": (sha((tmp_path / "b.csv.gz").read_bytes()), sha(b"onetwo")),
+        "c.csv.gz": (sha(b"not packed"), None),
+    }
+    (tmp_path / "large file.bin").unlink()
+    monkeypatch.setattr(flow.re, "match", lambda *_: None)  # as with a scheme that only Spark reads
+    assert {r.path: (r.sha256, r.uncompressed_sha256) for r in flow.file_hashes(spark, f"file://{tmp_path}").collect()} == {k: v for k, v in got.items() if k != "large file.bin"}
+
+
 def test_numeric_screen_takes_nan_as_missing(spark):
     df = spark.createDataFrame([(1.0, 1.0), (float("nan"), 2.0), (1.0, float("nan"))], "a double, b double")
     assert {r.column: (r.keep, r.reason) for r in features.numeric_screen(df, ["a", "b"]).collect()} == {"a": (False, "constant_or_single_value"), "b": (True, "")}

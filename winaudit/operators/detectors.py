@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from winaudit.functions.scratch import discard, materialize
+from winaudit.operators.windows import window_features, window_keys, window_map
+
 #: Rows that an isolation tree is grown on.
 TREE_ROWS = 256
 
@@ -35,46 +38,97 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def fit_iforest(df: DataFrame, vector: str, ident: str, trees: int = 100, seed: int = 0, rows: int = TREE_ROWS) -> tuple[list[np.ndarray], int]:
-    """Trees over distinct hash samples of at most `rows` rows each, and the rows a tree got: trees * rows vectors reach the driver at most."""
-    drawn = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(ident, F.lit(seed)), ident).limit(trees * rows).select(vector).toArrow()[0].to_pylist()
-    x = np.array(drawn, float)
-    rng, out = np.random.default_rng(seed), []
-    rows = min(rows, len(x))
-    for _ in range(trees if len(x) else 0):
-        some = x[rng.choice(len(x), rows, replace=False)]
+def draw_for_trees(keys: DataFrame, ident: Sequence[str], trees: int = 100, seed: int = 0, rows: int = TREE_ROWS) -> DataFrame:
+    """(ident, tree, at): for each tree the `rows` keys with the smallest hashes among those dealt to it, all if fewer.
+
+    Keys are dealt by a hash, each to as many trees as it takes for all of them to get enough; tasks keep their own smallest before anything is shuffled.
+    """
+    n = keys.count()
+    times = min(trees, max(1, -(-2 * trees * rows // max(n, 1))))
+    dealt = keys.select(*ident, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("__j"))
+    tree = F.pmod(F.xxhash64(*ident, F.lit(seed)) + F.col("__j"), F.lit(trees)).cast("int")
+    dealt = dealt.select(*ident, tree.alias("tree")).withColumn("at", F.xxhash64(*ident, "tree", F.lit(seed)))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("at", *ident))
+    return dealt.withColumn("__place", place).where(F.col("__place") <= rows).drop("__place")
+
+
+def grow_forest(samples: DataFrame, vector: str, seed: int = 0) -> tuple[list[np.ndarray], int]:
+    """Trees over samples (tree, at, vector), each grown in a task from its own rows; and the most rows a tree got. Only nodes reach the driver, fewer than two a row."""
+
+    def grow(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        x = np.array(table[vector].to_pylist(), float).reshape(table.num_rows, -1)
+        tree = table["tree"][0].as_py()
         nodes: list[tuple[int, float, int, int]] = []
-        _grow(some, rng, max(1, int(np.ceil(np.log2(max(len(some), 2))))), nodes)
-        out.append(np.array(nodes))
-    return out, rows
+        _grow(x, np.random.default_rng([seed, tree]), max(1, int(np.ceil(np.log2(max(len(x), 2))))), nodes)
+        return pa.table({"tree": pa.array([tree], pa.int32()), "rows": pa.array([len(x)], pa.int64()), "nodes": pa.array([np.array(nodes, float).ravel()], pa.list_(pa.float64()))})
 
+    grown = samples.where(F.col(vector).isNotNull()).select("tree", "at", vector).groupBy("tree").applyInArrow(grow, "tree int, rows long, nodes array<double>")
+    found = sorted(grown.collect(), key=lambda r: r.tree)
+    return [np.array(r.nodes).reshape(-1, 4) for r in found], max((r.rows for r in found), default=0)
 
-def iforest_score(df: DataFrame, vector: str, forest: tuple[list[np.ndarray], int], name: str = "score") -> DataFrame:
-    """2 ** (-mean path / expected path): higher is more anomalous."""
+
+def fit_iforest(df: DataFrame, vector: str, ident: str, trees: int = 100, seed: int = 0, rows: int = TREE_ROWS) -> tuple[list[np.ndarray], int]:
+    """A forest over df's rows with a vector, told apart by ident."""
+    drawn = draw_for_trees(df.where(F.col(vector).isNotNull()).select(ident).distinct(), [ident], trees, seed, rows)
+    return grow_forest(df.select(ident, vector).join(drawn, ident), vector, seed)
+
+
+def fit_window_iforest(df: DataFrame, segment: Sequence[str], window: int, stride: int, cols: Sequence[str], trees: int = 100, seed: int = 0, rows: int = TREE_ROWS) -> tuple[list[np.ndarray], int]:
+    """A forest over flattened windows: they are drawn by their keys, and only the drawn ones' vectors are made."""
+    keys = [*segment, "w"]
+    drawn = materialize(draw_for_trees(window_keys(df, segment, window, stride), keys, trees, seed, rows), "drawn")
+    vectors = window_features(df, segment, window, stride, cols, only=drawn)
+    forest = grow_forest(vectors.join(drawn, keys), "features", seed)
+    discard(drawn)
+    return forest
+
+
+def _paths(x: np.ndarray, trees: list[np.ndarray]) -> np.ndarray:
+    """Summed path lengths of x's rows. NaN goes right."""
+    path = np.zeros(len(x))
+    for tree in trees:
+        at, depth, feature = np.zeros(len(x), int), np.zeros(len(x)), tree[:, 0].astype(int)
+        live = feature[at] >= 0
+        while live.any():
+            rows_ = np.flatnonzero(live)
+            node = at[rows_]
+            low = x[rows_, feature[node]] < tree[node, 1]
+            at[rows_] = np.where(low, tree[node, 2], tree[node, 3]).astype(int)
+            depth[rows_] += 1
+            live = feature[at] >= 0
+        path += depth + tree[at, 1]
+    return path
+
+
+def _anomaly(x: np.ndarray, forest: tuple[list[np.ndarray], int]) -> np.ndarray:
     trees, rows = forest
-    shared = df.sparkSession.sparkContext.broadcast(trees)  # trees of at most 2 * rows nodes
+    return 2.0 ** (-_paths(x, trees) / max(len(trees), 1) / max(_expected(rows), 1e-9))
+
+
+def iforest_score(df: DataFrame, vector: str, forest: tuple[list[np.ndarray], int], name: str = "score") -> DataFrame:
+    """2 ** (-mean path / expected path): higher is more anomalous; null for a null vector."""
+    shared = df.sparkSession.sparkContext.broadcast(forest)  # trees of fewer than 2 * rows nodes
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = np.array(batch.to_pylist(), float).reshape(len(batch), -1)
-            path = np.zeros(len(x))
-            for tree in shared.value:
-                at, depth, feature = np.zeros(len(x), int), np.zeros(len(x)), tree[:, 0].astype(int)
-                live = feature[at] >= 0
-                while live.any():
-                    rows_ = np.flatnonzero(live)
-                    node = at[rows_]
-                    low = x[rows_, feature[node]] < tree[node, 1]
-                    at[rows_] = np.where(low, tree[node, 2], tree[node, 3]).astype(int)
-                    depth[rows_] += 1
-                    live = feature[at] >= 0
-                path += depth + tree[at, 1]
-            yield pa.array(2.0 ** (-path / max(len(shared.value), 1) / max(_expected(rows), 1e-9)))
+            real = batch.drop_null()
+            out = np.full(len(batch), np.nan)
+            there = batch.is_valid().to_numpy(zero_copy_only=False)
+            if len(real):
+                out[there] = _anomaly(np.array(real.to_pylist(), float).reshape(len(real), -1), shared.value)
+            yield pa.array(out, mask=~there)
 
     return df.withColumn(name, score(F.col(vector)))
 
 
+def iforest_window_score(df: DataFrame, segment: Sequence[str], window: int, stride: int, cols: Sequence[str], forest: tuple[list[np.ndarray], int], name: str = "score") -> DataFrame:
+    """(segment, w, score) of all flattened windows, scored where they are cut."""
+    shared = df.sparkSession.sparkContext.broadcast(forest)
+    return window_map(df, segment, window, stride, cols, lambda x: {name: pa.array(_anomaly(x.astype(float), shared.value))}, f"{name} double")
+
+
 def _supervised(df: DataFrame, fit_on: DataFrame, vector: str, label: str, name: str, model) -> DataFrame:
     ready = lambda d: d.withColumn("__v", array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))))
     fitted = model.fit(ready(fit_on).withColumn("__y", F.col(label).cast("double")))

@@ -7,7 +7,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,11 +102,3 @@ def unified_scores(frames: dict[str, DataFrame], test: str = "test") -> DataFram
     kinds = {"is_tp": y & p, "is_fp": ~y & p, "is_tn": ~y & ~p, "is_fn": y & ~p}
     return out.withColumns({k: F.when(in_test, c.cast("int")) for k, c in kinds.items()})
 
-
-def pca_reduce(df: DataFrame, vector: str, k: int, fit_on: DataFrame | None = None, name: str = "reduced") -> DataFrame:
-    """First k principal components, fitted on `fit_on` (a sample, or df)."""
-    from pyspark.ml.feature import PCA
-
-    ready = lambda d: d.withColumn("__v", array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))))
-    model = PCA(k=k, inputCol="__v", outputCol="__r").fit(ready(fit_on if fit_on is not None else df))
-    return model.transform(ready(df)).withColumn(name, vector_to_array("__r")).drop("__v", "__r")

@@ -9,14 +9,19 @@ A segment shorter than the window has none, and the last partial window is dropp
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winaudit.functions.ordering import with_position
 from winaudit.functions.scratch import materialize
 
+#: Rows of a piece of a segment whose windows a task cuts.
+PIECE_ROWS = 4096
+
 
 def segment_positions(df: DataFrame, segment: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add pos, 0-based in the segment, and seg_rows, its length."""
@@ -135,12 +140,61 @@ def record_manifest(df: DataFrame, roles: Sequence[str]) -> DataFrame:
     return out.withColumn("benign_flag", F.col("label") == 0)
 
 
-def window_features(df: DataFrame, segment: Sequence[str], window: int, stride: int, cols: Sequence[str]) -> DataFrame:
-    """(segment, w, features): the window's rows in order, flattened; only for a detector job, never stored."""
-    first = F.greatest(F.ceil((F.col("pos") - (window - 1)) / stride), F.lit(0))
-    last = F.least(F.floor(F.col("pos") / stride), F.floor((F.col("seg_rows") - window) / stride))
-    rows = df.withColumn("__ws", F.when(first <= last, F.sequence(first, last))).select(*segment, F.explode("__ws").alias("w"), "pos", F.array(*[F.col(c).cast("float") for c in cols]).alias("x"))
-    return rows.groupBy(*segment, "w").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"])).alias("features"))
+def window_map(df: DataFrame, segment: Sequence[str], window: int, stride: int, cols: Sequence[str], work: Callable[[np.ndarray], dict[str, pa.Array]], schema: str, only: DataFrame | None = None, rows: int = PIECE_ROWS) -> DataFrame:
+    """(segment, w and schema's columns): `work` on the windows' vectors, row after row of the window, as float32 matrices of one window a row.
+
+    Segments are cut into pieces of about `rows` rows; a piece gets the window - 1 rows after its end once more, and its windows are cut
+    inside the task, a few megabytes at a time. So a row moves 1 + window / rows times, not window / stride times, and vectors don't move.
+    only (segment, w): the windows wanted. df: segment, pos, seg_rows as segment_positions() gives them; null features are NaN.
+    """
+    length = stride * math.ceil(max(rows, 2 * window) / stride)
+    piece = F.floor(F.col("pos") / length)
+    held = F.when((F.col("pos") % length < window - 1) & (piece > 0), F.array(piece - 1, piece)).otherwise(F.array(piece))
+    x = F.array(*[F.col(f"`{c}`").cast("float") for c in cols])
+    read = df.select(*segment, "pos", "seg_rows", x.alias("__x"))
+    if only is None:
+        read = read.withColumn("__wanted", F.lit(True))
+    else:
+        wanted = only.select(*segment, (F.col("w") * stride).alias("pos"), F.lit(True).alias("__wanted")).distinct()
+        read = read.join(wanted, [*segment, "pos"], "left")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in segment)
+
+    def cut(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        pos, n = table["pos"].to_numpy(), table.num_rows
+        if pos[-1] - pos[0] + 1 != n:
+            raise ValueError("positions in a segment must count on from 0 without gaps")
+        flat = table["__x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, len(cols))
+        begin = table["piece"][0].as_py() * length - int(pos[0])  # 0, or later where a segment's piece begins inside the table
+        starts = np.arange(begin, min(begin + length, n - window + 1), stride)
+        starts = starts[table["__wanted"].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)[starts]]
+        step = max(1, (1 << 21) // (window * len(cols)))
+        out = []
+        for s in range(0, max(len(starts), 1), step):
+            few = starts[s : s + step]
+            made = work(np.stack([flat[i : i + window].ravel() for i in few]) if len(few) else np.zeros((0, window * len(cols)), np.float32))
+            keys = {c: table[c].combine_chunks().take(pa.array(np.zeros(len(few), np.int64))) for c in segment}
+            out.append(pa.table({**keys, "w": pa.array((pos[few] // stride).astype(np.int64)), **made}))
+        return pa.concat_tables(out)
+
+    pieces = read.withColumn("piece", F.explode(held))
+    return pieces.groupBy(*segment, "piece").applyInArrow(cut, f"{kinds}, w long, {schema}")
+
+
+def window_features(df: DataFrame, segment: Sequence[str], window: int, stride: int, cols: Sequence[str], only: DataFrame | None = None, rows: int = PIECE_ROWS) -> DataFrame:
+    """(segment, w, features): the window's rows in order, flattened; for a job that needs the vectors themselves. A detector scores them in window_map()."""
+
+    def vectors(x: np.ndarray) -> dict[str, pa.Array]:
+        return {"features": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))}
+
+    return window_map(df, segment, window, stride, cols, vectors, "features array<float>", only, rows)
+
+
+def window_keys(df: DataFrame, segment: Sequence[str], window: int, stride: int) -> DataFrame:
+    """(segment, w) of all windows; from the segments' lengths alone."""
+    last = F.floor((F.col("n") - window) / stride)
+    sizes = df.groupBy(*segment).agg(F.count("*").alias("n")).where(F.col("n") >= window)
+    return sizes.select(*segment, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("w"))
 
 
 def window_size_sweep(df: DataFrame, segment: Sequence[str], sizes: Sequence[int], stride: int, ratio: float) -> DataFrame:

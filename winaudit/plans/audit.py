@@ -431,39 +431,61 @@ def reconstruction(spark, sf_dir):
     return rounded(e.select("vec_id", scoring.reconstruction_error(F.col("embedding"), F.reverse("embedding")).alias("error")), "error")
 
 
-def _vectors(spark, sf_dir) -> DataFrame:
-    return base_windows(spark, sf_dir).withColumn("vector", F.array("m_value", "m_k", "m_hour", "max_value"))
+FEATURES = views.SCALED
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    """Scaled records of the test role, each file's first part to fit on (split_role train), the rest to judge; windows cross no part."""
+    rec = views.scaled(records(spark, sf_dir)).where(is_role(TEST)).drop("split_role", "pos", "seg_rows")
+    cut = splits.split_mixed(rec, 0.5, W, ["row_index"], strict=False).where("split_role is not null")
+    return materialize(windows.segment_positions(cut.drop("pos"), SEGMENT, ["row_index"]), "parts")
+
+
+def _labelled_windows(rec: DataFrame) -> DataFrame:
+    """(segment, w, features, label): flattened windows of all feature rows with their labels."""
+    label = windows.with_label(windows.sliding_windows(rec, SEGMENT, W, STRIDE, {"n_anomaly": F.col("label")}), W, RATIO).select(*SEGMENT, "w", "label")
+    return materialize(windows.window_features(rec, SEGMENT, W, STRIDE, FEATURES).join(label, [*SEGMENT, "w"]), "flattened")
 
 
 @query("iforest_score")
 def iforest(spark, sf_dir):
+    """100 trees on flattened training windows; every window of all roles is scored."""
     from winaudit.operators import detectors
 
-    v = _vectors(spark, sf_dir)
-    forest = detectors.fit_iforest(v.where(is_role(TRAIN)), "vector", "window_id")
-    return rounded(detectors.iforest_score(v, "vector", forest), "score").select("window_id", "split_role", "label", "score")
+    rec = materialize(views.scaled(records(spark, sf_dir)), "scaled")
+    forest = detectors.fit_window_iforest(rec.where(is_role(TRAIN)), SEGMENT, W, STRIDE, FEATURES)
+    return rounded(detectors.iforest_window_score(rec, SEGMENT, W, STRIDE, FEATURES, forest), "score")
 
 
-@query("rf_window_score")
-def rf_score(spark, sf_dir):
+def _judged(spark, sf_dir, score) -> DataFrame:
     from winaudit.operators import detectors
 
-    v = _vectors(spark, sf_dir)
-    return rounded(detectors.rf_window_score(v.where(is_role(TEST)), v, "vector", trees=20, depth=8), "score").select("window_id", "label", "score")
+    w = _labelled_windows(_parts(spark, sf_dir))
+    out = score(detectors)(w.where(is_role(TEST)), w.where(is_role(TRAIN)), "features")
+    return rounded(out, "score").select("source_file", "w", "label", "score")
+
+
+@query("rf_window_score")
+def rf_score(spark, sf_dir):
+    """100 trees of depth 20, fitted on one part of each file, judging the other."""
+    return _judged(spark, sf_dir, lambda d: d.rf_window_score)
 
 
 @query("mlp_window_score")
 def mlp_score(spark, sf_dir):
-    from winaudit.operators import detectors
-
-    v = _vectors(spark, sf_dir)
-    return rounded(detectors.mlp_window_score(v.where(is_role(TEST)), v, "vector", 4, layers=(16, 8), steps=30), "score").select("window_id", "label", "score")
+    """Layers of 256, 128 and 64, fitted on one part of each file, judging the other."""
+    return _judged(spark, sf_dir, lambda d: lambda df, fit_on, vector: d.mlp_window_score(df, fit_on, vector, W * len(FEATURES)))
 
 
 @query("pca_reduce")
 def pca(spark, sf_dir):
-    out = scoring.pca_reduce(_vectors(spark, sf_dir), "vector", 2)
-    return out.select("window_id", *[F.round(F.abs(F.element_at("reduced", i + 1)), R).alias(f"c{i}") for i in range(2)])
+    """Flattened windows on up to 100 components (all there are here), fitted on the training role's."""
+    from winaudit.operators.components import pca_reduce
+
+    v = materialize(windows.window_features(views.scaled(records(spark, sf_dir)), SEGMENT, W, STRIDE, FEATURES), "vectors")
+    out = pca_reduce(v, "features", 100, v.where(is_role(TRAIN)))
+    norm = F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x))
+    return out.select(*SEGMENT, "w", F.size("reduced").alias("components"), F.round(norm, 6).alias("length"), *[F.round(F.element_at("reduced", i + 1), 6).alias(f"c{i}") for i in range(2)])
 
 
 _ORACLE = "pt as (select run_id, score, sum(label) as pos, count(*) - sum(label) as neg from test group by all), cum as (select *, sum(pos) over (partition by run_id order by score desc) as tp, sum(neg) over (partition by run_id order by score desc) as fp, sum(pos) over (partition by run_id) as p, sum(neg) over (partition by run_id) as n from pt), of1 as (select *, round(case when tp + fp + p = 0 then null else 2.0 * tp / (tp + fp + p) end, 12) as f1 from cum), best as (select run_id, score as oracle_threshold, f1 as oracle_f1 from of1 qualify row_number() over (partition by run_id order by f1 desc, score {0}) = 1)"
@@ -913,22 +935,33 @@ def write_table(spark, sf_dir):
     return spark.read.parquet(path).groupBy("split_role", "source_file").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-#: The folder whose files the SQL below reads; the driver's comparison runs on it.
-_FOLDER = "/root/testdata/sf0.01"
+def _event_files(spark, sf_dir) -> str:
+    """A folder with one text file per day, which holds its events' ids in order, a line each."""
+    path = scratch_path(spark, "days")
+    e = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
+    e.repartition("day").sortWithinPartitions("day", "event_id").select("day", F.col("event_id").cast("string")).write.partitionBy("day").text(path)
+    return path
+
+
+_DAYS_SQL = "select strftime(ts, '%Y-%m-%d') as day, event_id from events"
 
 
-@query("list_dataset_files", f"select replace(filename, '{_FOLDER}/', '') as path, cast(size as bigint) as length from read_blob('{_FOLDER}/*.parquet')")
+@query("list_dataset_files", f"select 'day=' || day as folder, count(*) over () as files, sum(strlen(cast(event_id as varchar)) + 1)::bigint as length from ({_DAYS_SQL}) group by day")
 def list_files(spark, sf_dir):
-    return flow.list_dataset_files(spark, sf_dir, globs=["**/*.parquet"])
+    """Files that days of events were written to, found by their layout; names are Spark's, so the folders and lengths are told."""
+    found = flow.list_dataset_files(spark, _event_files(spark, sf_dir), globs=["day=*/*.txt"])
+    found = materialize(found, "listed")
+    return found.select(F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"), F.lit(found.count()).cast("long").alias("files"), "length")
 
 
-@query("file_hash_check", f"with f as (select replace(filename, '{_FOLDER}/', '') as path from read_blob('{_FOLDER}/*.parquet')) select path, case when path = (select min(path) from f) then 'mismatch' else 'ok' end as status from f union all select 'gone.parquet', 'missing'")
+@query("file_hash_check", f"with d as (select 'day=' || day as folder, sha256(string_agg(event_id || chr(10), '' order by event_id)) as sha256 from ({_DAYS_SQL}) group by day) select folder, sha256, case when folder = (select min(folder) from d) then 'mismatch' else 'ok' end as status from d union all select 'gone', null, 'missing'")
 def hash_check(spark, sf_dir):
-    """Hashes of all files of the folder against a manifest with one wrong and one missing entry."""
-    found = materialize(flow.file_hashes(spark, sf_dir), "hashes")
+    """Hashes of the days' files against a manifest with one wrong and one missing entry."""
+    found = materialize(flow.file_hashes(spark, _event_files(spark, sf_dir)), "hashes")
     least = found.agg(F.min("path").alias("wrong"))
     manifest = found.join(F.broadcast(least)).select("path", F.when(F.col("path") == F.col("wrong"), "0").otherwise(F.col("sha256")).alias("sha256"), "uncompressed_sha256")  # least: one row
-    return flow.file_hash_check(found, manifest.unionByName(spark.createDataFrame([("gone.parquet", "0", None)], manifest.schema)))
+    checked = flow.file_hash_check(found, manifest.unionByName(spark.createDataFrame([("gone/file", "0", None)], manifest.schema)))
+    return checked.join(found.select("path", "sha256"), "path", "left").select(F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"), "sha256", "status")
 
 
 @query("write_summary_csv", f"with {views.RAW} select anomaly_type, count(*) as n from raw group by 1")

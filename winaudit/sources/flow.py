@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,16 +80,67 @@ def write_summary_csv(df: DataFrame, path: str, mode: str = "errorifexists") ->
     df.coalesce(1).write.mode(mode).option("header", "true").csv(path)
 
 
-def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """path below folder, sha256, and uncompressed_sha256 of .gz files. Files above 2 GB are beyond Spark's binary reader, which says so."""
+#: Bytes of a file that a hashing task holds at a time.
+PIECE_BYTES = 1 << 20
+
 
-    @F.arrow_udf("string")
-    def unpacked(contents: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(gzip.decompress(c.as_py())).hexdigest() for c in contents], pa.string())
+def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """path below folder, sha256, and uncompressed_sha256 of .gz files (null if one can't be unpacked).
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(_below(folder).alias("path"), "content")
-    plain = files.where(~F.col("path").endswith(".gz")).select("path", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("uncompressed_sha256"))
-    return plain.unionAll(files.where(F.col("path").endswith(".gz")).select("path", F.sha2("content", 256), unpacked("content")))
+    Tasks get paths, not contents, and read each file once in pieces, hashing it and what it unpacks to together; so neither size matters.
+    Where Python has no file system for the folder's scheme, files come through Spark's binary reader, which takes up to 2 GB each.
+    Empty files aren't listed, as Spark's readers pass them over.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    listed = files.select(_below(folder).alias("path"), F.col("path").alias("at"), "length").withColumn("gz", F.col("path").endswith(".gz"))
+    if re.match(r"(?:file:)?/", folder):
+        listed = listed.select("path", "at", "length", "gz").repartition(max(1, spark.sparkContext.defaultParallelism), "path")
+        return listed.mapInArrow(_hash_paths, "path string, sha256 string, uncompressed_sha256 string")
+    contents = files.select(_below(folder).alias("path"), "content").withColumn("gz", F.col("path").endswith(".gz"))
+    return contents.mapInArrow(_hash_contents, "path string, sha256 string, uncompressed_sha256 string")
+
+
+def _hashes(pieces: Iterator[bytes], gz: bool) -> tuple[str, str | None]:
+    """SHA-256 of the joined pieces, and of what they unpack to, however many gzip members they are."""
+    whole, inner, unpack = hashlib.sha256(), hashlib.sha256(), zlib.decompressobj(31)
+    fine, rest = gz, b""
+    for piece in pieces:
+        whole.update(piece)
+        rest = piece if fine else b""
+        while rest and fine:
+            try:
+                inner.update(unpack.decompress(rest, PIECE_BYTES))
+                if unpack.eof:
+                    rest, unpack = unpack.unused_data, zlib.decompressobj(31)
+                else:
+                    rest = unpack.unconsumed_tail
+            except zlib.error:
+                fine = False
+    while fine and not unpack.eof and (more := unpack.decompress(unpack.unconsumed_tail, PIECE_BYTES)):
+        inner.update(more)
+    return whole.hexdigest(), inner.hexdigest() if fine else None
+
+
+def _found(names: list, results: list[tuple[str, str | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([a for a, _ in results], pa.string()), pa.array([b for _, b in results], pa.string())], names=["path", "sha256", "uncompressed_sha256"])
+
+
+def _hash_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(at: str) -> Iterator[bytes]:
+        with open(unquote(re.sub("^file:/*", "/", at)), "rb") as f:
+            while piece := f.read(PIECE_BYTES):
+                yield piece
+
+    for batch in batches:
+        for path, at, gz in zip(*(batch[c].to_pylist() for c in ("path", "at", "gz")), strict=True):
+            yield _found([path], [_hashes(pieces(at), gz)])
+
+
+def _hash_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content, gz in zip(batch["path"].to_pylist(), batch["content"], batch["gz"].to_pylist(), strict=True):
+            view = memoryview(content.as_buffer())
+            yield _found([path], [_hashes((bytes(view[i : i + PIECE_BYTES]) for i in range(0, len(view), PIECE_BYTES)), gz)])
 
 
 def file_hash_check(found: DataFrame, manifest: DataFrame) -> DataFrame:
