@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -89,7 +90,7 @@ def test_url_filter(spark):
         fit = [(len(h + p), h + p, v) for h, p, v in rules[:4] if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, *(max(fit)[1:] if fit else (None, "allow")))
 
-    for bound in (url_filter.MAX_FILTER_BYTES, 0):  # the cascades, and the join beyond their bound
+    for bound in (url_filter.MAX_FILTER_BYTES, 5, 0):  # one cascade, and several
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, table, max_bytes=bound).collect()}
         assert got == {i: want(u) for i, u in enumerate(urls)}
     assert url_filter.filter_urls(pages.where("false"), table).count() == 0
@@ -119,6 +120,20 @@ def test_license_scan(spark):
     assert license_scan.scan(df.where("false"), license_scan.known_licenses(spark)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts")
+def test_license_texts_from_a_folder(spark):
+    """Published texts of the folder are found again in capitals, wrapped anew and in comment marks, below a copyright notice; cut ones are not."""
+    folder = "/usr/share/common-licenses"
+    known = license_scan.read_licenses(spark, f"file://{folder}")
+    texts = {n: open(f"{folder}/{n}", encoding="utf-8").read() for n in ("Apache-2.0", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")}
+    rows = [(f"{n}|up", t.upper()) for n, t in texts.items()] + [(f"{n}|wrapped", "\n\n".join(textwrap.fill(p, 58) for p in t.split("\n\n"))) for n, t in texts.items() if n in ("MPL-2.0", "CC0-1.0")]  # in the others wrapping moves copyright lines of an appendix
+    rows += [(f"{n}|comment", "\n".join("# " + x for x in t.split("\n"))) for n, t in texts.items()] + [(f"{n}|below", f"Copyright 2021 Some One\nand others\n\n{t}") for n, t in texts.items()]
+    rows += [(f"{n}|cut", t[: len(t) // 2]) for n, t in texts.items()]
+    got = {r.id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), known).collect()}
+    same = lambda a, b: a == b or {a, b} in ({"GPL", "GPL-3"}, {"LGPL", "LGPL-3"})  # noqa: E731  links of the folder
+    assert [i for i, x in got.items() if (x is not None if i.endswith("|cut") else x is None or not same(x, i.split("|")[0]))] == []
+
+
 def test_license_scan_of_wrapped_and_spelled_texts(spark):
     """Published texts wrapped at any width, below copyright lines of many kinds; and spellings side by side."""
     import textwrap
@@ -126,9 +141,16 @@ def test_license_scan_of_wrapped_and_spelled_texts(spark):
     full = {n: t for n, t in license_scan.PUBLISHED if len(t) > 500}
     heads = ["Copyright (c) 2021 Some One", "Copyright 2020, 2021 The Authors. All rights reserved.", "(C) 1999 X", "© Some One", "Copyright Some One <a@b.c>", "Copyright (c)"]
     rows = [(f"{n}-{w}-{k}", head + "\n\n" + "\n\n".join(textwrap.fill(x, w) for x in t.split("\n\n"))) for n, t in full.items() for w in (30, 47, 72, 10_000) for k, head in enumerate(heads)]
-    rows += [(f"{n}--untitled", t.split("\n\n", 1)[1]) for n, t in full.items() if t.startswith(license_scan.TITLES)]
+    rows += [(f"{n}--untitled", t.split("\n\n", 1)[1]) for n, t in full.items() if t.startswith(tuple(license_scan.TITLES))]
     got = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), license_scan.known_licenses(spark)).collect()
     assert len(got) == len(rows) and {r.id: r.license for r in got if r.license != r.id.rsplit("-", 2)[0]} == {}
+    body = full["MIT"].split("\n\n", 2)[2]
+    shipped = {
+        "holder below": f"MIT License\n\nCopyright (c) 2020\nJane Doe\n\n{body}", "more below": f"The MIT License (MIT)\n\nCopyright (c) 2020 Jane Doe\nand contributors\n\n{body}",
+        "no blank line": f"The MIT License\nCopyright (c) 2020 Jane Doe\n{body}", "comment": "/*\n" + "".join(f" * {x}\n" for x in f"MIT License\n\nCopyright 2020 Jane Doe\n  and others\n\n{body}".split("\n")) + " */",
+    }
+    got = license_scan.scan(spark.createDataFrame(list(shipped.items()) + [("cut", f"MIT License\n\nCopyright (c) 2020\n{body}"[:-30])], "doc_id string, text string"), license_scan.known_licenses(spark)).collect()
+    assert {r.id: r.license for r in got} == dict.fromkeys(shipped, "MIT") | {"cut": None}
     pairs = [("organisation organisation sub licence sub licence", "organization organization sublicense sublicense"), ("favour favour favour", "favor favor favor")]
     forms = spark.createDataFrame(pairs, "a string, b string").select(license_scan.canonical(F.col("a")).alias("a"), license_scan.canonical(F.col("b")).alias("b")).collect()
     assert all(r.a == r.b for r in forms)

@@ -4,7 +4,9 @@ A text is brought to a canonical form: case, punctuation and line breaks go,
 copyright lines are left out, equivalent spellings become one. The SHA-256 of the whole
 form is joined to the digests of known licence texts. The same is done for each
 line of a document, each being a whole text of its own, so a notice line in a
-larger document is found too. Never a prefix: a digest covers its text to the end.
+larger document is found too. A text with a copyright notice has a second form, in which the rest
+of the notice's paragraph is left out as well, as holders' names may stand on lines of their own; it is
+that licence if either form is known. Never a prefix: a digest covers its text to the end.
 
 Null text counts as empty, and an empty canonical form matches nothing. Repeated
 rows and ids: each row gives a row. Known texts whose forms coincide: the smallest
@@ -56,13 +58,20 @@ PUBLISHED = [
     ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"),
     ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 ]
-#: Names of licences that texts are often found without.
-TITLES = ("MIT License", "ISC License", "BSD 2-Clause License", "BSD 3-Clause License")
-KNOWN = PUBLISHED + [(name, text[len(t) :].strip()) for name, text in PUBLISHED for t in TITLES if text.startswith(t + "\n")]
+# Titles that licence texts are found under, or without, each with its usual variants.
+TITLES = {
+    "MIT License": ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "MIT"),
+    "ISC License": ("The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "BSD 2-Clause License": ("The BSD 2-Clause License", "BSD-2-Clause", "Simplified BSD License", "The Simplified BSD License", "FreeBSD License"),
+    "BSD 3-Clause License": ("The BSD 3-Clause License", "BSD-3-Clause", "BSD License", "The BSD License", "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License"),
+}
+KNOWN = PUBLISHED + [(name, f"{v}{text[len(t) :]}".strip()) for name, text in PUBLISHED for t, variants in TITLES.items() if text.startswith(t + "\n") for v in ("", *variants)]
 
 #: A line that starts so is a copyright line, if it doesn't go on about copyright as such.
 COPYRIGHT = r"^\W*(?:copyright\b|\(c\)\W*(?:\d{4}|copyright\b)|©|all rights reserved)"
 ABOUT_COPYRIGHT = r"^\W*copyright\W+(?:notices?|holders?|owners?|ownership|and|or|laws?|licen[cs]\w*|statements?|disclaimers?|interests?|acts?|is|in|of|on|to|as|protect\w*|treat\w*|for)\b"
+#: What stands between paragraphs: lines without letters or digits, as in comments.
+PARAGRAPH = r"\n[^\p{L}\p{N}\n]*\n"
 COPYRIGHT_HINTS = ("copyright", "(c)", "©", "all rights reserved")
 #: Words that equivalent spellings may touch; only texts that hold one are rewritten.
 _HINTS = sorted({a.split()[0] for a, _ in SPELLINGS})
@@ -84,15 +93,38 @@ def spaced(words: str) -> str:
     return "".join(f" {w} " for w in words.split())
 
 
-def _line_words(text: Column) -> Column:
-    """The words of each line, one space between, without copyright lines and empty ones."""
-    low = F.lower(text)
+def _is_copyright(line: Column) -> Column:
+    return F.rlike(line, F.lit(COPYRIGHT)) & ~F.rlike(line, F.lit(ABOUT_COPYRIGHT))
+
+
+def _words_of(lines: Column) -> Column:
+    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))), lambda x: x != "")
+
+
+def _holds_copyright(low: Column) -> Column:
     held = F.lit(False)
     for h in COPYRIGHT_HINTS:
         held = held | F.contains(low, F.lit(h))
+    return held
+
+
+def _line_words(text: Column) -> Column:
+    """The words of each line, one space between, without copyright lines and empty ones."""
+    low = F.lower(text)
     lines = F.split(low, "\n")
-    lines = F.when(held, F.filter(lines, lambda x: ~(F.rlike(x, F.lit(COPYRIGHT)) & ~F.rlike(x, F.lit(ABOUT_COPYRIGHT))))).otherwise(lines)
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))), lambda x: x != "")
+    return _words_of(F.when(_holds_copyright(low), F.filter(lines, lambda x: ~_is_copyright(x))).otherwise(lines))
+
+
+def _without_notices(text: Column) -> Column:
+    """The same without what follows a copyright line in its paragraph either: a notice may go on over several lines. Null for a text without any."""
+    low = F.lower(text)
+    paragraphs = F.transform(F.split(low, PARAGRAPH), lambda p: F.split(p, "\n"))
+
+    def before(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, _is_copyright), True)
+        return F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines)
+
+    return F.when(_holds_copyright(low), _words_of(F.flatten(F.transform(paragraphs, before))))
 
 
 def canonical(text: Column) -> Column:
@@ -101,8 +133,9 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(known: DataFrame) -> DataFrame:
-    """known: license, text -> digest, license, n: the canonical form's length in bytes."""
-    form = known.select("license", canonical(F.col("text")).alias("form")).where("form <> '' and license is not null")
+    """known: license, text -> digest of either canonical form, license, n: the form's length in bytes."""
+    forms = F.array_compact(F.array(canonical(F.col("text")), _spelled(F.array_join(_without_notices(F.col("text")), " "))))
+    form = known.select("license", F.explode(forms).alias("form")).where("form <> '' and license is not null")
     return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.octet_length("form")).alias("n"))
 
 
@@ -110,6 +143,12 @@ def known_licenses(spark) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license string, text string")
 
 
+def read_licenses(spark, folder: str) -> DataFrame:
+    """(license, text) of a folder's texts, each file named by its licence: known texts beyond those here."""
+    read = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    return read.select(F.regexp_replace("name", r"\.(txt|md)$", "").alias("license"), F.col("value").alias("text"))
+
+
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, digest of the whole canonical form, license (whole text) and notices (names found on lines).
 
@@ -118,11 +157,11 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     """
     digests = known_digests(known).cache()
     longest = digests.agg(F.max("n")).first()[0] or 0
-    words = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), _line_words(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    words = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), _line_words(F.coalesce(F.col(text_col), F.lit(""))).alias("words"), _without_notices(F.col(text_col)).alias("bare"))
     # A spelling changes a form's length by less than 2 bytes a word: a line of more than twice the longest known form matches nothing.
     lines = F.transform(F.filter("words", lambda x: F.octet_length(x) <= 2 * longest), _spelled)
-    parts = words.select("row_id", "id", F.sha2(_spelled(F.array_join("words", " ")), 256).alias("whole"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("lines"))
-    units = parts.select("row_id", "id", "whole", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("is_whole"), F.col("whole").alias("digest"))), F.transform(F.array_distinct("lines"), lambda d: F.struct(F.lit(False).alias("is_whole"), d.alias("digest"))))).alias("u"))
+    parts = words.select("row_id", "id", F.sha2(_spelled(F.array_join("words", " ")), 256).alias("whole"), F.sha2(_spelled(F.array_join("bare", " ")), 256).alias("bare"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("lines"))
+    units = parts.select("row_id", "id", "whole", F.explode(F.concat(F.transform(F.array_compact(F.array("whole", "bare")), lambda d: F.struct(F.lit(True).alias("is_whole"), d.alias("digest"))), F.transform(F.array_distinct("lines"), lambda d: F.struct(F.lit(False).alias("is_whole"), d.alias("digest"))))).alias("u"))
     named = units.select("row_id", "id", "whole", "u.*").join(digests.select("digest", "license"), "digest", "left")
     per = named.groupBy("row_id", "id", "whole", "license").agg(F.max("is_whole").alias("as_whole"), F.count(F.when(~F.col("is_whole"), 1)).alias("as_line"))
     out = per.groupBy("row_id", "id", "whole").agg(

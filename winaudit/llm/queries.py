@@ -139,17 +139,22 @@ def _license_sql() -> str:
     for a, b in license_scan.SPELLINGS:
         spelled = f"replace({spelled}, '{license_scan.spaced(a)}', '{license_scan.spaced(b)}')"
     spelled = f"trim(replace({spelled}, '  ', ' '))"
-    words = "list_filter(list_transform(list_filter(string_split(lower(@), chr(10)), lambda x: not (regexp_matches(x, '" + license_scan.COPYRIGHT + "') and not regexp_matches(x, '" + license_scan.ABOUT_COPYRIGHT + "'))), lambda x: trim(regexp_replace(x, '[^\\p{L}\\p{N}]+', ' ', 'g'))), lambda x: x <> '')"
+    copyright = "(regexp_matches(x, '" + license_scan.COPYRIGHT + "') and not regexp_matches(x, '" + license_scan.ABOUT_COPYRIGHT + "'))"
+    clean = "list_filter(list_transform(@, lambda x: trim(regexp_replace(x, '[^\\p{L}\\p{N}]+', ' ', 'g'))), lambda x: x <> '')"
+    words = at(clean, f"list_filter(string_split(lower(@), chr(10)), lambda x: not {copyright})")
+    paragraphs = f"list_transform(regexp_split_to_array(lower(@), '{license_scan.PARAGRAPH}'), lambda p: string_split(p, chr(10)))"
+    begins = f"list_position(list_transform(q, lambda x: {copyright}), true)"
+    bare = at(clean, f"flatten(list_transform({paragraphs}, lambda q: case when coalesce({begins}, 0) > 0 then q[:{begins} - 1] else q end))")
     return f"""
 with known(license, body) as (values {values}),
 kd as (select sha256(form) as digest, min(license) as license from
-  (select license, {at(spelled, f"array_to_string({at(words, 'body')}, ' ')")} as form from known) where form <> '' group by 1),
-d as (select doc_id, {at(words, "coalesce(text, '')")} as words from documents),
-whole as (select doc_id, sha256({at(spelled, "array_to_string(words, ' ')")}) as digest from d),
+  (select license, {at(spelled, f"array_to_string({at(words, 'body')}, ' ')")} as form from known union all select license, {at(spelled, f"array_to_string({at(bare, 'body')}, ' ')")} from known) where form <> '' group by 1),
+d as (select doc_id, {at(words, "coalesce(text, '')")} as words, {at(bare, "coalesce(text, '')")} as bare from documents),
+whole as (select doc_id, sha256({at(spelled, "array_to_string(words, ' ')")}) as digest, sha256({at(spelled, "array_to_string(bare, ' ')")}) as bare from d),
 lines as (select distinct doc_id, license from (select doc_id, sha256({at(spelled, "line")}) as digest from (select doc_id, unnest(words) as line from d)) join kd using (digest)),
 n as (select doc_id, string_agg(license, ',' order by license) as notices from lines group by 1)
-select w.doc_id, w.digest, kd.license, coalesce(n.notices, '') as notices
-from whole w left join kd using (digest) left join n on n.doc_id = w.doc_id"""
+select w.doc_id, w.digest, least(kd.license, ks.license) as license, coalesce(n.notices, '') as notices
+from whole w left join kd using (digest) left join kd ks on ks.digest = w.bare left join n on n.doc_id = w.doc_id"""
 
 
 ORACLES: dict[str, str] = {

@@ -16,18 +16,19 @@ wins. An empty table gives an empty table, extra columns pass through.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winaudit.functions.scratch import materialize
+from winaudit.functions.scratch import discard, materialize
 from winaudit.llm.text import LOWER, UPPER
 
 #: Bits a key and hash functions of level 1, and of the levels above it.
 FIRST, LATER = (10, 4), (4, 2)
-#: A cascade may hold so many bytes; it travels with each task, like a broadcast.
-MAX_FILTER_BYTES = 16 << 20
+#: A cascade may hold so many bytes; it travels with each task, like a broadcast. Parts that keys are dealt to where one can't hold them.
+MAX_FILTER_BYTES, PARTS = 16 << 20, 4096
 
 
 def url_host(url: Column) -> Column:
@@ -80,7 +81,7 @@ def _level(keys: DataFrame, n: int, seed: int) -> Level:
 
 
 class FilterTooLarge(ValueError):
-    """The cascade would exceed its size bound; use listed_by_join."""
+    """The cascade would exceed its size bound."""
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> list[Level]:
@@ -115,7 +116,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", max_bytes:
     """Add host, path, rule and verdict to pages. rules: host, path, verdict ('allow' or 'block').
 
     Without a fitting rule the cascades answer "not listed": rule null, verdict allow.
-    Lists beyond max_bytes of filters are matched by a hash join on the same keys.
+    Lists beyond max_bytes of filters are dealt to several cascades, which are asked one after the other.
     """
     rules = rules.where("host is not null and path is not null and verdict in ('allow', 'block')")
     keyed = materialize(rules.groupBy(F.concat(F.translate("host", UPPER, LOWER), "path").alias("key")).agg(F.max("verdict").alias("verdict"), F.max(F.length("path")).alias("n")), "rules")
@@ -126,16 +127,47 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", max_bytes:
     try:
         blocked, allowed = (build_cascade(keyed.where(F.col("verdict") == v), universe, max_bytes) for v in ("block", "allow"))
     except FilterTooLarge:
-        return _by_join(base, keys, keyed)
+        return _by_parts(base, keys, keyed, max_bytes)
     longest = lambda found: F.aggregate(found, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
     named = base.withColumn("rule", longest(F.filter(keys, lambda k: is_listed(k, blocked) | is_listed(k, allowed))))
     return named.withColumn("verdict", F.when(F.col("rule").isNotNull() & is_listed(F.col("rule"), blocked), "block").otherwise("allow"))
 
 
-def _by_join(base: DataFrame, keys: Column, keyed: DataFrame) -> DataFrame:
-    """The same answer for lists whose filters are too large: distinct (host, path) pairs against the rules' keys."""
-    sites = base.select("host", "path").distinct()
-    hits = sites.select("host", "path", F.posexplode(keys).alias("at", "key")).join(keyed, "key")
+def _by_parts(base: DataFrame, keys: Column, keyed: DataFrame, max_bytes: int) -> DataFrame:
+    """The same for lists whose filters are too large for one cascade: a hash deals keys to parts, each with cascades of its own.
+
+    The corpus' distinct (host, path) pairs are asked part by part, one part's filters at a time; what fits a pair best is then joined to its pages.
+    """
+    asked = base.select("host", "path").distinct().select("host", "path", F.posexplode(keys).alias("at", "key"))
+    asked = materialize(asked.withColumn("part", _part(F.col("key"))), "asked")
+    dealt = materialize(keyed.withColumn("part", _part(F.col("key"))), "dealt")
+    hits = None
+    for low, high in _ranges(dealt, max_bytes):
+        mine = F.col("part").between(low, high)
+        some, universe = dealt.where(mine), asked.where(mine)
+        blocked, allowed = (build_cascade(some.where(F.col("verdict") == v), universe.select("key"), sys.maxsize) for v in ("block", "allow"))
+        fits = universe.where(is_listed(F.col("key"), blocked) | is_listed(F.col("key"), allowed))
+        fits = materialize(fits.select("host", "path", "at", "key", F.when(is_listed(F.col("key"), blocked), "block").otherwise("allow").alias("verdict")), "fits")
+        hits = fits if hits is None else hits.unionAll(fits)
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), -F.col("at"))).alias("best"))
     best = materialize(best.select("host", "path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("verdict")), "fitting")
+    discard(asked, dealt)
     return base.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(*base.columns, "rule", "verdict")
+
+
+def _part(key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(PARTS), key), F.lit(PARTS)).cast("int")
+
+
+def _ranges(dealt: DataFrame, max_bytes: int) -> list[tuple[int, int]]:
+    """Ranges of parts whose keys' filters come to about half of max_bytes at level 1; one part at least."""
+    most = max(1, max_bytes * 8 // FIRST[0] // 2)
+    counts = {r.part: r["count"] for r in dealt.groupBy("part").count().collect()}  # PARTS rows at most
+    out, low, n = [], 0, 0
+    for part in range(PARTS):
+        here = counts.get(part, 0)
+        if n and n + here > most:
+            out.append((low, part - 1))
+            low, n = part, 0
+        n += here
+    return [*out, (low, PARTS - 1)]
