@@ -301,26 +301,33 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         at = till
 
 
-def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, most: int | None = None) -> DataFrame:
+def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, most: int | None = None, same: str | None = None) -> DataFrame:
     """Add the column `ids`: each whole text's token ids, packed as little-endian 32-bit integers.
 
-    decoded: also add what the ids decode to, bytes, in the same pass. most: pieces that a worker's tables hold
+    decoded: also add what the ids decode to, bytes, in the same pass. same: instead of the text itself there is only
+    a column that tells whether the ids decode to it; so no text comes back from the worker. most: pieces that a worker's tables hold
     between tasks, fewer for workers that other stages share. The columns go through the Python
     worker in small parts, so what a task holds doesn't grow with its texts.
     """
-    df = df.drop(ids, *([decoded] if decoded else []))
-    extra = [pa.field(ids, pa.binary())] + ([pa.field(decoded, pa.binary())] if decoded else [])
+    df = df.drop(ids, *[c for c in (decoded, same) if c])
+    more = [(ids, pa.binary(), T.BinaryType())] + [(decoded, pa.binary(), T.BinaryType())] * bool(decoded) + [(same, pa.bool_(), T.BooleanType())] * bool(same)
+    passed = [f.name for f in df.schema.fields if not (same and f.name == text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern, most)
         for batch in batches:
             for part in _slices(batch, text):
-                coded = own.encode_all([x or "" for x in part.column(text).to_pylist()])
-                new = [coded] + ([[own.decode(x) for x in coded]] if decoded else [])
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa.binary()) for x in new]], schema=pa.schema([*part.schema, *extra]))
-
-    schema = T.StructType([*df.schema.fields, *[T.StructField(f.name, T.BinaryType()) for f in extra]])
-    return df.mapInArrow(tidy(run), schema)
+                texts = [x or "" for x in part.column(text).to_pylist()]
+                coded = own.encode_all(texts)
+                new = [pa.array(coded, pa.binary())]
+                if decoded:
+                    new.append(pa.array([own.decode(x) for x in coded], pa.binary()))
+                if same:
+                    new.append(pa.array([own.decode(x) == t.encode() for x, t in zip(coded, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in passed], *new], names=[*passed, *[n for n, _, _ in more]])
+
+    kept = [df.schema[c] for c in passed]
+    return df.mapInArrow(tidy(run), T.StructType([*kept, *[T.StructField(n, kind) for n, _, kind in more]]))
 
 
 def with_decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
