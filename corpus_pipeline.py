@@ -16,7 +16,7 @@ from winaudit.functions.scratch import materialize
 from winaudit.llm import bpe, exact_dedup, jaccard, mixing, quality, rows
 
 #: Pieces that the token stage's tables hold in a Python worker, which it shares with the other stages.
-PIECES = 50_000
+PIECES = 25_000
 #: Rows and bytes that Python workers get at a time.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
@@ -78,9 +78,8 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     small_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.with_ids(docs.select("doc_id", "source", "text"), path, pattern, decoded="decoded", most=PIECES)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.select("doc_id", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = bpe.with_ids(docs.select("doc_id", "source", "text"), path, pattern, most=PIECES, same="round_trip")
+    return coded.select("doc_id", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
