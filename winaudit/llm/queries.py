@@ -188,6 +188,13 @@ r(rhost, rpath, verdict) as (values {", ".join(f"('{h}', '{p}', '{v}')" for h, p
 f as (select page_id, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(verdict, length(rhost || rpath)) as verdict
   from p join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
 select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join f using (page_id)""",
+    "op8_embedding_near_dedup": f"""
+with recursive e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where {_SOUND} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as materialized (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as l from e),
+k as materialized (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id where {_INNER.replace("as bigint", "as double")} >= 0.9e0 * a.l * b.l),
+r(vec_id, reached) as (select vec_id, vec_id from n union select r.vec_id, k.b from r join k on k.a = r.reached),
+c as (select vec_id, min(reached) as component_id from r group by vec_id), d as (select a as vec_id, count(*) as n_links from k group by a)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept from embeddings left join c using (vec_id) left join d using (vec_id)""",
     "op12_exact_top_k": f"""
 with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings where {_SOUND}),
 s as (select a.vec_id as query_id, b.vec_id, {_INNER} as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)
