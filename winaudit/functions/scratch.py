@@ -1,8 +1,8 @@
 """Tables written to the folder that every executor shares.
 
 Lineage is cut by writing Parquet there and reading it back: a lost executor
-then costs a re-read, never a recomputation of what came before. A table that
-nothing will read any more is discarded, so a job's disk holds its live tables only.
+then costs a re-read, never a recomputation of what came before. Tables of steps that are
+over are discarded; those that a returned frame still reads stay until the folder is cleared.
 """
 
 from __future__ import annotations
