@@ -418,11 +418,11 @@ def fuse(spark, sf_dir):
     return rounded(s.select("run_id", "window_id", scoring.fuse(F.col("sd"), F.col("sf")).alias("fused")), "fused")
 
 
-@query("score_mode", f"with {views.SCORES} select window_id, {r('sd as prob', 'sf as feat_l2', 'sf_raw as feat_mahal', '0.24e0 * sd + 0.76e0 * sf as fused')} from scores where run_id = 'near-0'")
+@query("score_mode", f"with {views.SCORES} select run_id, window_id, {r('sd as prob', 'sf as feat_l2', 'sf_raw as feat_mahal', '0.24e0 * sd + 0.76e0 * sf as fused')} from scores")
 def score_mode(spark, sf_dir):
-    s = scores(spark, sf_dir).where("run_id = 'near-0'")
+    s = scores(spark, sf_dir)
     modes = {m: scoring.score_mode(m, F.col("sd"), F.col("sf"), F.col("sf_raw")) for m in ("prob", "feat_l2", "feat_mahal", "fused")}
-    return rounded(s.select("window_id", *[c.alias(m) for m, c in modes.items()]), *modes)
+    return rounded(s.select("run_id", "window_id", *[c.alias(m) for m, c in modes.items()]), *modes)
 
 
 @query("reconstruction_error", f"select vec_id, round(sum((cast(embedding[i] as double) - embedding[65 - i]) ** 2) / 64, {R}) as error from embeddings, range(1, 65) r(i) group by vec_id")
@@ -667,9 +667,9 @@ def family_precision(spark, sf_dir):
 _QUANT = [f"quantile_cont(cast(score as double), {q}) as q{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)]
 
 
-@query("class_score_stats", f"with {views.SCORES} select run_id, case when label = 0 then 'BENIGN' else family end as class, count(*) as n, {r('avg(score) as mean', 'stddev_samp(score) as std', *_QUANT, 'avg(score - threshold) as mean_margin')} from test where family = 'error' or label = 0 group by all")
+@query("class_score_stats", f"with {views.SCORES} select run_id, case when label = 0 then 'BENIGN' else family end as class, count(*) as n, {r('avg(score) as mean', 'stddev_samp(score) as std', *_QUANT, 'avg(score - threshold) as mean_margin')} from test where family in ('error', 'signup') or label = 0 group by all")
 def class_stats(spark, sf_dir):
-    return rounded(evaluate.class_score_stats(test_scores(spark, sf_dir), ["run_id"], ["error"]), "mean", "std", "q05", "q25", "q50", "q75", "q95", "mean_margin")
+    return rounded(evaluate.class_score_stats(test_scores(spark, sf_dir), ["run_id"], ["error", "signup"]), "mean", "std", "q05", "q25", "q50", "q75", "q95", "mean_margin")
 
 
 @query("separation_summary", f"""with {views.SCORES}, s as (select run_id, avg(score) filter (split_role = '{TEST}' and label = 0) as mb, avg(score) filter (split_role = '{TEST}' and label = 1) as ma, stddev_pop(score) filter (split_role = '{CAL}') as sc, stddev_pop(score) filter (split_role = '{TEST}') as st,
@@ -842,10 +842,10 @@ def feature_inventory(spark, sf_dir):
     return rounded(leakage.feature_inventory(dirty(spark, sf_dir), {"txt": "categorical", "num": "numeric", "p_size": "numeric"}), "missing_ratio")
 
 
-@query("anomaly_mix", f"with {views.WIN} select family, count(*) as windows from named where split_role = '{TEST}' group by 1")
+@query("anomaly_mix", f"with {views.SCORES} select family, count(*) as windows from test group by 1")
 def anomaly_mix(spark, sf_dir):
-    s = scores(spark, sf_dir).where("run_id = 'near-0'")
-    return leakage.anomaly_mix(s)
+    """Over all runs' windows."""
+    return leakage.anomaly_mix(scores(spark, sf_dir))
 
 
 # ---- run summaries
