@@ -32,8 +32,9 @@ _SHORT = (2, 1)
 MAX_PIECES, MAX_PAIRS = 250_000, 250_000
 #: Beginnings of pieces whose prefix tables are kept, and their bytes.
 MAX_HEADS, HEAD = 100_000, 8
-#: Texts whose words are looked up together; characters of them at most, about.
-BATCH, BATCH_CHARS = 1024, 4 << 20
+#: Texts whose words are looked up together; characters of them at most, about, and for each piece that small tables hold: what
+#: one part of a batch brings may exceed the tables by so much.
+BATCH, BATCH_CHARS, CHARS_A_PIECE = 1024, 4 << 20, 16
 #: Characters of context beyond a piece's end on which its extent can depend ("'re" and its like).
 LOOKAHEAD = 3
 
@@ -146,6 +147,7 @@ class Vocabulary:
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int | None = None):
         self.vocabulary, self.most = Vocabulary(ranks), most or MAX_PIECES
+        self.part_chars = min(BATCH_CHARS, CHARS_A_PIECE * self.most)
         self.pieces = regex.compile(pattern)
         self._packed: dict[str, bytes] = {}  # piece -> ids as little-endian 32-bit integers
         self._words: dict[str, bytes | None] = {}  # the same for a space and the word behind it; None: it can't stand alone
@@ -289,14 +291,14 @@ def tokenizer(path: str, pattern: str, most: int | None = None) -> Tokenizer:
     return _loaded[path, pattern, most]
 
 
-def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded number of texts and, but for a longer single one, of characters."""
     sizes = batch.column(text).cast(pa.large_string()) if not pa.types.is_binary(batch.column(text).type) else batch.column(text)
     ends = np.cumsum(pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
-        till = min(at + BATCH, max(at + 1, int(np.searchsorted(ends, before + BATCH_CHARS, side="right"))))
+        till = min(at + BATCH, max(at + 1, int(np.searchsorted(ends, before + chars, side="right"))))
         yield batch.slice(at, till - at)
         at = till
 
@@ -316,7 +318,7 @@ def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern, most)
         for batch in batches:
-            for part in _slices(batch, text):
+            for part in _slices(batch, text, own.part_chars):
                 texts = [x or "" for x in part.column(text).to_pylist()]
                 coded = own.encode_all(texts)
                 new = [pa.array(coded, pa.binary())]
