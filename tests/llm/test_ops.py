@@ -233,6 +233,23 @@ def test_bpe_tables_may_overflow(reference, monkeypatch):
         assert np.frombuffer(small.encode(part), "<u4").tolist() == plain.encode_ordinary(part)
 
 
+def test_bpe_small_tables_cut_batches_small(spark, docs, reference):
+    plain, own = reference
+    path, most = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), 50
+    small = bpe.Tokenizer(own.vocabulary.ranks, public_tokenizers.PATTERN, most)
+    texts = [f"word{i} and numb{i * 7} " * (1 + i % 9) for i in range(400)] + ["z" * 5000, None, ""]
+    parts = list(bpe._slices(pa.RecordBatch.from_pydict({"text": texts}), "text", small.part_chars))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == texts
+    for part in parts:
+        inside = [x or "" for x in part.column("text").to_pylist()]
+        assert part.num_rows == 1 or sum(map(len, inside)) <= most * bpe.CHARS_A_PIECE
+        for text, ids in zip(inside, small.encode_all(inside), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(text)
+        assert max(map(len, (small._packed, small._words))) <= most + max(sum(map(len, inside)), small.part_chars)
+    for r in bpe.with_ids(docs.withColumn("was", F.col("text")), path, public_tokenizers.PATTERN, most=most, same="fine").collect():
+        assert r.fine and np.frombuffer(r.ids, "<u4").tolist() == plain.encode_ordinary(r.was or "")
+
+
 def shingles(text):
     w = tokens(text)
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
