@@ -497,3 +497,79 @@ def test_hashes_of_large_and_packed_files(spark, tmp_path, monkeypatch):
 def test_numeric_screen_takes_nan_as_missing(spark):
     df = spark.createDataFrame([(1.0, 1.0), (float("nan"), 2.0), (1.0, float("nan"))], "a double, b double")
     assert {r.column: (r.keep, r.reason) for r in features.numeric_screen(df, ["a", "b"]).collect()} == {"a": (False, "constant_or_single_value"), "b": (True, "")}
+
+
+def _noisy_rows(spark, n=3000):
+    """(i, label, v): the label follows from two of six features for nine rows in ten; one vector in 50 is null, one value in 40 NaN or null."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(n):
+        x = [rng.gauss(0, 1) for _ in range(6)]
+        y = int(x[0] + x[3] > 0) if rng.random() < 0.9 else rng.randrange(2)
+        if i % 40 == 3:
+            x[5] = None if i % 80 == 3 else float("nan")
+        rows.append((i, y, None if i % 50 == 7 else x))
+    return spark.createDataFrame(rows, "i int, label int, v array<float>")
+
+
+def test_forest_does_not_depend_on_partitions(spark, monkeypatch):
+    from winaudit.operators import detectors, forest
+
+    df = _noisy_rows(spark)
+    fit, rest = df.where("i % 2 = 0"), df.where("i % 2 = 1")
+
+    def scores(parts):
+        out = detectors.rf_window_score(rest.repartition(parts, "i"), fit.repartition(parts, F.hash("i")), "v", trees=20, depth=20)
+        assert out.columns == ["i", "label", "v", "score"]
+        return {r.i: (r.label, r.score) for r in out.collect()}
+
+    one = scores(1)
+    assert set(one) == set(range(1, 3000, 2)) and one == scores(5)
+    assert {i for i, (_, s) in one.items() if s is None} == {i for i in one if i % 50 == 7}
+    got = spark.createDataFrame([(y, s) for y, s in one.values() if s is not None], "label int, score double")
+    assert curves.roc_auc(curves.curve_points(got)).first().auc > 0.9
+    # With small nodes the upper levels are grown from counts, and with few rows a task nodes are grown in several.
+    monkeypatch.setattr(forest, "NODE_ROWS", 100)
+    few = scores(2)
+    monkeypatch.setattr(forest, "JUDGED_ROWS", 50)
+    assert few == scores(3)
+    got = spark.createDataFrame([(y, s) for y, s in few.values() if s is not None], "label int, score double")
+    assert curves.roc_auc(curves.curve_points(got)).first().auc > 0.9
+    assert few.keys() == one.keys() and few != one
+
+
+def test_forest_of_one_class_and_of_none(spark):
+    from winaudit.operators import detectors
+
+    df = _noisy_rows(spark, 60)
+    assert {r.score for r in detectors.rf_window_score(df, df.where("label = 0"), "v", trees=3).where("v is not null").collect()} == {0.0}
+    assert detectors.rf_window_score(df.where("false"), df, "v", trees=3).count() == 0
+    with pytest.raises(ValueError, match="no rows"):
+        detectors.rf_window_score(df, df.where("v is null"), "v")
+
+
+def test_trees_split_as_gini_says():
+    """A tree on all features, against every split tried; rows that count twice."""
+    import numpy as np
+
+    from winaudit.operators import forest
+
+    rng = np.random.default_rng(3)
+    bins, y, w = rng.integers(0, 5, (60, 3)).astype(np.uint8), rng.integers(0, 2, 60), rng.integers(1, 4, 60)
+    tree = forest.grow(bins, y, w, 20, 3, rng)
+
+    def check(at, rows, depth):
+        feature, cut, left, right, share = (c[at] for c in tree)
+        tot, pos = w[rows].sum(), (w * y)[rows].sum()
+        assert share == pytest.approx(pos / tot)
+        purity = lambda m: ((w * y)[m].sum() ** 2 + (w * (1 - y))[m].sum() ** 2) / w[m].sum() if len(m) else 0
+        gains = {(f, c): purity(rows[bins[rows, f] <= c]) + purity(rows[bins[rows, f] > c]) - purity(rows) for f in range(3) for c in range(5)}
+        top = max(gains.values())
+        if feature < 0:
+            assert top <= 1e-6 or pos in (0, tot)
+            return 1
+        assert gains[feature, cut] == pytest.approx(top)
+        low = bins[rows, feature] <= cut
+        return 1 + check(left, rows[low], depth + 1) + check(right, rows[~low], depth + 1)
+
+    assert check(0, np.arange(60), 0) == len(tree[0])

@@ -1,4 +1,4 @@
-"""Detectors that score window vectors: isolation forest, and Spark ML's supervised ones."""
+"""Detectors that score window vectors: isolation forest, random forest, and Spark ML's perceptron."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winaudit.functions.scratch import discard, materialize
+from winaudit.operators.forest import forest_score
 from winaudit.operators.windows import window_features, window_keys, window_map
 
 #: Rows that an isolation tree is grown on.
@@ -137,10 +138,7 @@ def _supervised(df: DataFrame, fit_on: DataFrame, vector: str, label: str, name:
 
 def rf_window_score(df: DataFrame, fit_on: DataFrame, vector: str, label: str = "label", trees: int = 100, depth: int = 20, seed: int = 0, name: str = "score") -> DataFrame:
     """Probability of an anomaly by a random forest."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    model = RandomForestClassifier(featuresCol="__v", labelCol="__y", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__out", numTrees=trees, maxDepth=depth, seed=seed)
-    return _supervised(df, fit_on, vector, label, name, model)
+    return forest_score(df, fit_on, vector, label, trees, depth, seed, name)
 
 
 def mlp_window_score(df: DataFrame, fit_on: DataFrame, vector: str, dim: int, label: str = "label", layers: tuple[int, ...] = (256, 128, 64), steps: int = 100, seed: int = 0, name: str = "score") -> DataFrame:
