@@ -573,3 +573,46 @@ def test_trees_split_as_gini_says():
         return 1 + check(left, rows[low], depth + 1) + check(right, rows[~low], depth + 1)
 
     assert check(0, np.arange(60), 0) == len(tree[0])
+
+
+def _sweep_rows(spark):
+    """Two runs of 300 rows with ties and a null score, a third without calibration rows."""
+    rng = random.Random(11)
+    score = lambda: rng.choice([rng.random(), 0.25, 0.5])
+    rows = [(run, rng.choice(["cal", "test", "other"]), rng.randrange(2), score(), score()) for run in (1, 2) for _ in range(300)]
+    rows += [(1, "test", 1, None, 0.5), (3, "test", 1, 0.5, 0.5)]
+    return rows, spark.createDataFrame(rows, "run int, role string, label int, sd float, sf float").repartition(3)
+
+
+def test_sweep_against_definitions(spark):
+    import numpy as np
+
+    rows, df = _sweep_rows(spark)
+    role = F.col("role")
+    sweep = lambda **more: {(r.run, r.alpha): r for r in evaluate.alpha_sweep(df, 0.2, ["run"], role == "cal", role == "test", [0.0, 0.3, 1.0], **more).collect()}
+    full, plain = sweep(), sweep(curve=False)
+    assert set(full) == set(plain) == {(r, a) for r in (1, 2) for a in (0.0, 0.3, 1.0)}
+    for (run, a), got in full.items():
+        fused = [(p, y, np.float32(round(a * float(np.float32(sd)) + (1 - a) * float(np.float32(sf)), 6))) for r, p, y, sd, sf in rows if r == run and sd is not None]
+        t = np.float32(np.quantile(np.array([s for p, _, s in fused if p == "cal"], float), 0.8))
+        pos, neg = ([s for p, y, s in fused if p == "test" and y == k] for k in (1, 0))
+        assert got.threshold == t and (got.tp, got.fp, got.tn, got.fn) == (sum(s >= t for s in pos), sum(s >= t for s in neg), sum(s < t for s in neg), sum(s < t for s in pos))
+        assert got.auc == pytest.approx(sum((x > z) + (x == z) / 2 for x in pos for z in neg) / len(pos) / len(neg))
+        assert {c: v for c, v in got.asDict().items() if c not in ("auc", "ap")} == plain[run, a].asDict()
+
+
+def test_broad_peak_sweeps_seeds_without_curves(spark, monkeypatch):
+    """Models of a seed aren't swept one by one, and no distinct fused score is moved for metrics that need none."""
+    from winaudit.plans import audit, views
+
+    seen, sweep = [], evaluate.alpha_sweep
+    monkeypatch.setattr(evaluate, "alpha_sweep", lambda df, *a, **k: (seen.append(df.groupBy("seed").count().count()), sweep(df, *a, **k))[1])
+    monkeypatch.setattr(evaluate, "swept", lambda *a: pytest.fail("swept"))
+    assert audit.broad_peak(spark, "/root/testdata/sf0.001").count() == 1
+    assert seen == [len(views.SEEDS)]
+
+
+def test_quantiles_of_counted_values(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 0), ("a", 4.0, 2), ("a", None, 5), ("b", 7.0, 1)], "g string, v double, n int")
+    got = {r.g: (r.low, r.mid, r.high) for r in radix.quantiles(df, ["g"], "v", {"low": 0.0, "mid": 0.625, "high": 1.0}, count="n").collect()}
+    assert got == {"a": (1.0, 2.5, 4.0), "b": (7.0, 7.0, 7.0)}
