@@ -601,15 +601,16 @@ def test_sweep_against_definitions(spark):
         assert {c: v for c, v in got.asDict().items() if c not in ("auc", "ap")} == plain[run, a].asDict()
 
 
-def test_broad_peak_sweeps_seeds_without_curves(spark, monkeypatch):
+def test_best_alpha_sweeps_seeds_without_curves(spark, monkeypatch):
     """Models of a seed aren't swept one by one, and no distinct fused score is moved for metrics that need none."""
     from winaudit.plans import audit, views
 
     seen, sweep = [], evaluate.alpha_sweep
     monkeypatch.setattr(evaluate, "alpha_sweep", lambda df, *a, **k: (seen.append(df.groupBy("seed").count().count()), sweep(df, *a, **k))[1])
     monkeypatch.setattr(evaluate, "swept", lambda *a: pytest.fail("swept"))
+    assert audit.best_alpha(spark, "/root/testdata/sf0.001").count() == 3
     assert audit.broad_peak(spark, "/root/testdata/sf0.001").count() == 1
-    assert seen == [len(views.SEEDS)]
+    assert seen == [len(views.SEEDS)] * 2
 
 
 def test_quantiles_of_counted_values(spark):
