@@ -2,8 +2,8 @@
 
 Features are cut into bins at quantiles. The upper levels of all trees are grown together, from counts per bin that tasks sum up before they
 are shuffled. A node with few rows is grown to its end by one task, which gets that node's rows, and judges the rows that fall there; so
-the trees below never leave their tasks, and neither the driver nor a task holds a tree's rows. Rows travel packed, many to a record.
-Draws are hashes of a row and a tree, and features are drawn by tree and node: results don't depend on partitions.
+the trees below never leave their tasks, and a task holds NODE_ROWS or a NODE_SHARE-th of the rows for a node. Rows travel packed, many to a record.
+Draws are hashes of a row and a tree, and features are drawn by tree and node; only Spark's approximate quantiles, that bins are cut at, may depend on partitions.
 """
 
 from __future__ import annotations
